@@ -1,0 +1,151 @@
+"""From a stream of messages to raw history, machine states, readings log and live buffer."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StreamingQuery
+
+from thermoline import constants as C
+from thermoline import schemas
+from thermoline.operators import aggregates, cleaning, combine, sequence
+from thermoline.sources import history, topic
+from thermoline.sources.versions import VersionedTable
+
+_LANDING = [T.StructField("arrived_at", T.TimestampType()), T.StructField("offset", T.LongType()),
+            T.StructField("dt", T.DateType()), T.StructField("batch", T.StringType())]
+RAW_FILES = T.StructType([*schemas.READING.fields, *_LANDING])
+LOG_FILES = T.StructType([*schemas.LOG.fields, *_LANDING])
+
+
+def telemetry_stream(messages: DataFrame) -> DataFrame:
+    """Messages (key, value, offset) → typed, classified readings. Stateless.
+
+    `arrived_at` is the micro-batch's own time, which the checkpoint records: a replayed batch
+    gives the same rows, also where a missing event time falls back to it.
+    """
+    arrived = messages.withColumn("arrived_at", F.current_timestamp())
+    return topic.normalize_records(topic.decode_records(arrived), now=F.col("arrived_at"))
+
+
+def dedupe_stream(readings: DataFrame, delay: str = "1 hour", key: str = "reading_id",
+                  time: str = "txn_timestamp") -> DataFrame:
+    """Drops redeliveries that come within `delay`; the state holds the ids of that span only."""
+    return readings.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+
+
+def land_raw(readings: DataFrame, path: str, checkpoint: str,
+             trigger: dict[str, object] | None = None) -> StreamingQuery:
+    """Appends readings to the raw history by event date. The file sink's log makes each batch
+    land exactly once; the trigger interval sets how large the files get."""
+    dated = cleaning.with_partition_date(readings)
+    return (dated.writeStream.format("parquet").partitionBy("dt").outputMode("append")
+            .option("path", path).option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+
+
+@dataclass(frozen=True)
+class Targets:
+    """Where `run_pipeline` keeps its four tables."""
+
+    spark: SparkSession
+    root: str
+
+    @property
+    def raw(self) -> str:
+        return f"{self.root}/raw"
+
+    @property
+    def log(self) -> str:
+        return f"{self.root}/log"
+
+    @property
+    def status(self) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/machine_status", schemas.STATUS)
+
+    @property
+    def live(self) -> VersionedTable:
+        return VersionedTable(self.spark, f"{self.root}/live_buffer", schemas.READING)
+
+
+def append_batch(rows: DataFrame, path: str, batch: str) -> None:
+    """Lands one micro-batch under dt=…/batch=…; a replay overwrites its own folders only."""
+    dated = cleaning.with_partition_date(rows).withColumn("batch", F.lit(batch))
+    history.write_history(dated, path, ("dt", "batch"))
+
+
+def live_buffer(current: DataFrame, batch: DataFrame, n: int = C.LIVE_BUFFER) -> DataFrame:
+    """The `n` newest readings of the buffer and a batch. The batch is cut to its own newest
+    readings first, so the union stays small."""
+    names = schemas.READING.names
+    last = [F.desc("txn_timestamp"), F.desc("offset")]
+    fresh = sequence.newest(sequence.dedupe(batch.select(*names, "offset"), "reading_id", last), n)
+    known = current.select(*names, F.lit(-1).cast("bigint").alias("offset"))
+    both = sequence.dedupe(known.unionByName(fresh), "reading_id", last)
+    return sequence.newest(both, n).drop("offset")
+
+
+def live_counts(buffer: DataFrame) -> DataFrame:
+    """Alert and normal readings in the live buffer."""
+    return aggregates.reading_counts(buffer).select(
+        F.col("returned_readings_count").alias("buffer_size"),
+        F.col("alert_readings_count").alias("live_alert_count"),
+        F.col("normal_readings_count").alias("live_normal_count"))
+
+
+def write_batch(readings: DataFrame, targets: Targets, batch: str,
+                buffer_size: int = C.LIVE_BUFFER) -> None:
+    """Writes one micro-batch of readings to the four tables. Each write is idempotent, so a
+    batch that failed half-way is simply repeated."""
+    readings.persist()
+    try:
+        append_batch(readings, targets.raw, batch)
+        append_batch(readings.select(*schemas.LOG.names, "arrived_at", "offset")
+                     .filter(F.col("reading_id").isNotNull()), targets.log, batch)
+        status = targets.status
+        status.replace(combine.upsert_status(status.read(), combine.status_rows(readings)))
+        status.prune()
+        live = targets.live
+        live.replace(live_buffer(live.read(), readings, buffer_size))
+        live.prune()
+    finally:
+        readings.unpersist()
+
+
+def run_pipeline(readings: DataFrame, targets: Targets, checkpoint: str,
+                 trigger: dict[str, object] | None = None) -> StreamingQuery:
+    """Feeds every micro-batch to `write_batch`. Offsets are committed after the batch is
+    written; a failing write fails the batch, and a restart repeats it."""
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        # The query id lives in the checkpoint: a new checkpoint never reuses old folders.
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        write_batch(batch, targets, f"{query}-{batch_id:012d}")
+
+    return (readings.writeStream.foreachBatch(sink)
+            .option("checkpointLocation", checkpoint)
+            .trigger(**(trigger or {"processingTime": "1 minute"})).start())
+
+
+def read_raw(spark: SparkSession, path: str) -> DataFrame:
+    """Landed raw history, every delivery."""
+    return history.read_history(spark, path, RAW_FILES)
+
+
+def read_log(spark: SparkSession, path: str,
+             update_cols: tuple[str, ...] | str = combine.LOG_UPDATES) -> DataFrame:
+    """The readings log: one row per reading, merged over all deliveries on read. Appending
+    costs a batch only its own size; `compact_log` keeps reading cheap."""
+    rows = history.read_history(spark, path, LOG_FILES)
+    folded = combine.fold_by_key(rows, "reading_id", update_cols,
+                                 ("arrived_at", "batch", "offset", "txn_timestamp"))
+    return folded.select(*schemas.LOG.names, "arrived_at", "offset")
+
+
+def compact_log(spark: SparkSession, path: str, target: str, batch: str = "0-compacted") -> None:
+    """Writes the merged log to a new place, in the layout that `read_log` reads and that later
+    batches may be appended to."""
+    merged = cleaning.with_partition_date(read_log(spark, path)).withColumn("batch", F.lit(batch))
+    history.write_history(merged, target, ("dt", "batch"))
