@@ -23,6 +23,7 @@ from pyspark.sql.types import DoubleType
 from thermoline import constants as C
 from thermoline.functions import values
 from thermoline.operators import sequence
+from thermoline.session import materialize
 
 MAX_BRANCHES = 10_000
 WEIGHT = "weight"
@@ -105,20 +106,31 @@ def train(counts: DataFrame, max_iter: int = C.LEARNING_ITERATIONS) -> PipelineM
 def evaluate(scored: DataFrame, raw: str = "rawPrediction",
              weight: str | None = None) -> DataFrame:
     """One row of metrics: area under ROC, weighted precision, weighted recall, and the
-    recall of the failures alone. `raw` is MLlib's raw prediction or a plain margin."""
+    recall of the failures alone. `raw` is MLlib's raw prediction or a plain margin.
+
+    The evaluators make several passes. Plain margins are therefore counted by (margin,
+    prediction, label) first; rows with MLlib's vectors should come counted already.
+    """
+    size = F.lit(1.0) if weight is None else F.col(weight)
+    rows = scored.select("breakdown_soon", raw, size.alias(WEIGHT),
+                         F.col("prediction").cast("double").alias("prediction"))
     if isinstance(scored.schema[raw].dataType, DoubleType):
-        scored = scored.withColumn(raw, array_to_vector(F.array(-F.col(raw), F.col(raw))))
-    extra = {"weightCol": weight} if weight else {}
-    label = {"labelCol": "breakdown_soon", **extra}
-    area = BinaryClassificationEvaluator(rawPredictionCol=raw, numBins=0, **label)
+        counted = rows.groupBy("breakdown_soon", raw, "prediction").agg(
+            F.sum(WEIGHT).alias(WEIGHT))
+        rows = materialize(counted, "margins").withColumn(
+            raw, array_to_vector(F.array(-F.col(raw), F.col(raw))))
+    common = {"labelCol": "breakdown_soon", "weightCol": WEIGHT}
+
+    def by_label(name: str, **extra: float) -> float:
+        return MulticlassClassificationEvaluator(metricName=name, **common,
+                                                 **extra).evaluate(rows)
+
+    area = BinaryClassificationEvaluator(rawPredictionCol=raw, numBins=0, **common)
     metrics = {
-        "auc": area.evaluate(scored),
-        "weighted_precision": MulticlassClassificationEvaluator(
-            metricName="weightedPrecision", **label).evaluate(scored),
-        "weighted_recall": MulticlassClassificationEvaluator(
-            metricName="weightedRecall", **label).evaluate(scored),
-        "failure_recall": MulticlassClassificationEvaluator(
-            metricName="recallByLabel", metricLabel=1.0, **label).evaluate(scored),
+        "auc": area.evaluate(rows),
+        "weighted_precision": by_label("weightedPrecision"),
+        "weighted_recall": by_label("weightedRecall"),
+        "failure_recall": by_label("recallByLabel", metricLabel=1.0),
     }
     return scored.sparkSession.createDataFrame(
         [tuple(metrics.values())], ", ".join(f"{name} double" for name in metrics))

@@ -769,11 +769,11 @@ singles AS (
   WHERE rn = 1)"""
 
 
-def _recent(t: DataFrame, **wanted) -> DataFrame:
+def _recent(t: DataFrame, search=combine.recent_telemetry, **wanted) -> DataFrame:
     rows = t.select(*READING_COLUMNS)
     buffer = sequence.recent_buffer(rows).withColumn("status", F.lit(C.ALERT))
     log = cleaning.classify_status(combine.log_rows(t.filter(F.hour("txn_timestamp") < 12)))
-    return combine.recent_telemetry(buffer, log, inputs.raw(t), **wanted)
+    return search(buffer, log, inputs.raw(t), **wanted)
 
 
 @query("u1_recent_telemetry", sql(f"""
@@ -791,6 +791,13 @@ def _(t):
     return _recent(t, machine_id="wm_0007", breakdown_soon=0, since="2024-01-05")
 
 
+@query("u1_newest_first", sql(f"""
+SELECT {FULL}, source FROM singles WHERE lower(branch) = 'huye' AND status = 'ALERT'
+ORDER BY singles.txn_timestamp DESC, reading_id DESC LIMIT 100""", RECENT))
+def _(t):
+    return _recent(t, combine.newest_first, limit=100, branch="huye", status="alert")
+
+
 @query("u2_dedupe", sql(f"""
 SELECT {LOG} FROM (
   SELECT *, row_number() OVER (PARTITION BY reading_id ORDER BY arrival) AS rn

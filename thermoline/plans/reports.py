@@ -12,7 +12,7 @@ from thermoline.streaming import pipeline
 def readings_report(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: object = None,
                     **wanted: object) -> dict[str, DataFrame]:
     """Recent readings over all sources, with alert counts of what is returned."""
-    rows = combine.recent_telemetry(buffer, log, raw, limit, **wanted)
+    rows = combine.newest_first(buffer, log, raw, limit, **wanted)
     return {"readings": rows, "counts": aggregates.reading_counts(rows)}
 
 

@@ -28,7 +28,8 @@ def build_session(app: str = "thermoline", master: str | None = None,
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
         "spark.sql.files.maxPartitionBytes": "256m",
-        "spark.sql.parquet.aggregatePushdown": "true",
+        "spark.sql.streaming.stateStore.providerClass":
+            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         "spark.sql.parquet.compression.codec": "zstd",
         **(conf or {}),
     }
