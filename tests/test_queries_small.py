@@ -221,3 +221,15 @@ def test_predictions_join_keeps_machines_without_one(spark, readings):
     rows = {r["machine_id"]: r["prediction"] for r in
             combine.status_with_predictions(states, scored).collect()}
     assert rows == {"M": 1, "N": None}
+
+
+def test_status_by_arrival(spark, readings):
+    rows = readings([("b", "M", 90, "2024-01-09"), ("a", "M", 10, "2024-01-01")])
+    arrived = F.lit("2024-02-01").cast("timestamp")
+    numbered = rows.withColumn("offset", F.when(F.col("reading_id") == "a", 2).otherwise(1)
+                               .cast("bigint"))
+    empty = spark.createDataFrame([], schemas.STATUS)
+    by_event = combine.upsert_status(empty, combine.status_rows(numbered))
+    assert by_event.first()["reading_id"] == "b"
+    by_arrival = combine.upsert_status(empty, combine.status_rows(numbered, arrived), "arrival")
+    assert by_arrival.first()["reading_id"] == "a"

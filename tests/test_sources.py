@@ -186,3 +186,41 @@ def test_reports(spark, telemetry):
     assert fleet["machines"].count() == fleet["kpis"].first()["total_machines"] == 15
     live = reports.live_report(sequence.recent_buffer(telemetry, 50))
     assert live["readings"].count() == 25 and live["counts"].first()["buffer_size"] == 50
+
+
+def test_ingress(spark):
+    from thermoline.plans import ingress
+    bodies = spark.createDataFrame([
+        ('{"machine_id": "WM_0001", "cycle_temperature": 80}',),
+        ('{"machine_id": "WM_0002", "branch": "Huye", "cycle_temperature": "50", '
+         '"timestamp": "2024-01-01T00:00:00Z", "status": "NORMAL"}',),
+        ('{"branch": "Huye"}',), ("[]",), ("{",)], "body string")
+    now = F.lit("2024-05-01").cast("timestamp")
+    readings, refused = ingress.receive(bodies, now=now)
+    assert [(r["machine_id"], r["status"], str(r["txn_timestamp"])) for r in readings.collect()] \
+        == [("WM_0001", "ALERT", "2024-05-01 00:00:00"), ("WM_0002", "NORMAL",
+                                                         "2024-01-01 00:00:00")]
+    assert [r["payload_error"] for r in refused.collect()] == [
+        "Missing required field: machine_id", "Payload must be a JSON object",
+        "Invalid JSON body"]
+    strict, refused = ingress.receive_strict(bodies, now=now)
+    assert [r["machine_id"] for r in strict.collect()] == ["WM_0002"]
+    assert refused.first()["payload_error"] == "Missing required field: branch"
+    sent = topic.normalize_records(topic.decode_records(ingress.messages(readings)), now=now)
+    assert sent.select("reading_id", "txn_timestamp").exceptAll(
+        readings.select("reading_id", "txn_timestamp")).isEmpty()
+
+
+def test_publish(spark, telemetry, tmp_path):
+    from thermoline.plans import publish
+    source, target = str(tmp_path / "source"), str(tmp_path / "target")
+    rows = dated(telemetry).select(*schemas.READING.names, "dt")
+    history.write_history(rows, f"{source}/raw")
+    insights.run_insights(spark, f"{source}/raw", f"{source}/insights")
+    for _ in range(2):
+        report = publish.publish(spark, source, target)
+    assert sum(r["row_count"] for r in report.collect()) == rows.count()
+    for name in publish.RESULTS[:4]:
+        copied, given = (spark.read.parquet(f"{p}/{name}") for p in (target, source))
+        assert copied.exceptAll(given).isEmpty() and copied.count() == given.count()
+    assert not os.path.exists(f"{target}/predictions")

@@ -150,14 +150,18 @@ def status_rows(readings: DataFrame, updated: Column | None = None) -> DataFrame
                            *[c for c in ("offset",) if c in readings.columns])
 
 
-def upsert_status(target: DataFrame, batch: DataFrame) -> DataFrame:
-    """Latest state per machine of the table and a batch of states. Between deliveries of one
-    reading the batch wins over the table, and in the batch the higher offset."""
+def upsert_status(target: DataFrame, batch: DataFrame, by: str = "event") -> DataFrame:
+    """Latest state per machine of the table and a batch of states: the last event, or
+    (`by="arrival"`) the last to arrive. Between deliveries of one reading the batch wins over
+    the table, and in the batch the higher offset."""
+    if by not in ("event", "arrival"):
+        raise ValueError(f"unknown order: {by}")
     arrival = F.col("offset") if "offset" in batch.columns else F.lit(0).cast("bigint")
     fresh = batch.select(*target.columns, arrival.alias("_arrival"))
     known = target.withColumn("_arrival", F.lit(-1).cast("bigint"))
-    return sequence.latest_per_key(known.unionByName(fresh), "machine_id",
-                                   ("last_updated", "reading_id", "_arrival")).drop("_arrival")
+    order = ("last_updated", "reading_id", "_arrival") if by == "event" else (
+        "last_updated", "_arrival", "reading_id")
+    return sequence.latest_per_key(known.unionByName(fresh), "machine_id", order).drop("_arrival")
 
 
 def log_rows(readings: DataFrame) -> DataFrame:

@@ -36,27 +36,34 @@ def _spread(time: str, tie: str) -> Column:
     return F.pmod(F.xxhash64(tie, time), F.lit(_SPREAD))
 
 
-def _largest(df: DataFrame, groups: Sequence[str | Column]) -> int:
-    counts = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.agg(F.max("_n")).first()[0] or 0
+def _largest_groups(rows: DataFrame, key: str, time: str, grains: Sequence[str]) -> dict[str, int]:
+    """Rows of the largest (key, slice) for each grain, coarse to fine, in one pass: a rollup
+    over nested slices, then the maximum per level."""
+    slices = rows.select(key, *[F.date_trunc(g, F.col(time)).alias(g) for g in grains])
+    sizes = slices.rollup(key, *grains).agg(F.count(F.lit(1)).alias("n"),
+                                            F.grouping_id().alias("level"))
+    found = {r["level"]: r["n"] for r in sizes.groupBy("level").agg(F.max("n").alias("n")).collect()}
+    return {g: found.get(2 ** (len(grains) - 1 - i) - 1, 0) for i, g in enumerate(grains)}
 
 
 def choose_grain(df: DataFrame, key: str, time: str, tie: str,
                  rows_per_task: int = ROWS_PER_TASK) -> str | None:
     """The coarsest slice that keeps every (key, slice) within `rows_per_task`; None if no
-    key is that large. Counts only: a pruned scan with partial aggregation, and one number
-    back to the driver."""
-    keyed = df.select(key, time, tie).filter(F.col(key).isNotNull())
+    key is that large. Counts only: a pruned scan with partial aggregation.
+
+    The hot keys come to the driver; there are at most (all rows / `rows_per_task`) of them.
+    """
+    keyed = df.select(key, time).filter(F.col(key).isNotNull())
     counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > rows_per_task).select(key)
-    if hot.isEmpty():
+    hot = counts.filter(F.col("_n") > rows_per_task).select(key).collect()
+    if not hot:
         return None
-    hot_rows = keyed.join(hot, key, "left_semi")
-    for grain in _GRAINS[:-1]:
-        sliced = hot_rows.select(key, *[c.alias(n) for n, c in
-                                        _slice_columns(grain, key, time, tie, 0).items()])
-        if _largest(sliced, [key, "_slice"]) <= rows_per_task:
-            return grain
+    names = df.sparkSession.createDataFrame(hot, counts.select(key).schema)
+    hot_rows = keyed.join(F.broadcast(names), key, "left_semi")
+    for grains in (_GRAINS[:3], _GRAINS[3:5]):
+        for grain, rows in _largest_groups(hot_rows, key, time, grains).items():
+            if rows <= rows_per_task:
+                return grain
     return _GRAINS[-1]
 
 

@@ -97,7 +97,7 @@ def live_counts(buffer: DataFrame) -> DataFrame:
 
 
 def write_batch(readings: DataFrame, targets: Targets, batch: str,
-                buffer_size: int = C.LIVE_BUFFER) -> None:
+                buffer_size: int = C.LIVE_BUFFER, status_by: str = "event") -> None:
     """Writes one micro-batch of readings to the four tables. Each write is idempotent, so a
     batch that failed half-way is simply repeated."""
     readings.persist()
@@ -106,7 +106,9 @@ def write_batch(readings: DataFrame, targets: Targets, batch: str,
         append_batch(readings.select(*schemas.LOG.names, "arrived_at", "offset")
                      .filter(F.col("reading_id").isNotNull()), targets.log, batch)
         status = targets.status
-        status.replace(combine.upsert_status(status.read(), combine.status_rows(readings)))
+        updated = F.col("arrived_at") if status_by == "arrival" else None
+        states = combine.status_rows(readings, updated)
+        status.replace(combine.upsert_status(status.read(), states, status_by))
         status.prune()
         live = targets.live
         live.replace(live_buffer(live.read(), readings, buffer_size))
@@ -116,13 +118,14 @@ def write_batch(readings: DataFrame, targets: Targets, batch: str,
 
 
 def run_pipeline(readings: DataFrame, targets: Targets, checkpoint: str,
-                 trigger: dict[str, object] | None = None) -> StreamingQuery:
+                 trigger: dict[str, object] | None = None,
+                 status_by: str = "event") -> StreamingQuery:
     """Feeds every micro-batch to `write_batch`. Offsets are committed after the batch is
     written; a failing write fails the batch, and a restart repeats it."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         # The query id lives in the checkpoint: a new checkpoint never reuses old folders.
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        write_batch(batch, targets, f"{query}-{batch_id:012d}")
+        write_batch(batch, targets, f"{query}-{batch_id:012d}", status_by=status_by)
 
     return (readings.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint)
