@@ -48,9 +48,21 @@ def test_parse_timestamp(spark):
 
 
 def test_to_number(spark):
-    df = column(spark, ["74.5", " 7 ", "1e2", "n/a", "", None, "NaN", "1d", "2f", "-3"])
+    df = column(spark, ["74.5", " 7 ", "1e2", "n/a", "", None, "NaN", "1d", "2f", "-3", "inf",
+                        "-Infinity", "1e999"])
     assert results(df, parse.to_number(F.col("v"), 45.0)) == [
-        74.5, 7.0, 100.0, 45.0, 45.0, 45.0, 45.0, 45.0, 45.0, -3.0]
+        74.5, 7.0, 100.0, 45.0, 45.0, 45.0, 45.0, 45.0, 45.0, -3.0, 45.0, 45.0, 45.0]
+
+
+def test_wild_numbers_do_not_fail_the_job(spark):
+    df = spark.createDataFrame([("1e9", "1e12"), ("-1e9", "x"), ("999.994", "1.0")],
+                               "cycle_temperature string, breakdown_soon string")
+    rows = cleaning.classify_status(cleaning.canonicalize(df)).collect()
+    assert [(str(r["cycle_temperature"]), r["status"], r["breakdown_soon"]) for r in rows] == [
+        ("999.99", "ALERT", None), ("-999.99", "NORMAL", None), ("999.99", "ALERT", 1)]
+    doubles = spark.createDataFrame([(1e9,), (float("nan"),)], "cycle_temperature double")
+    assert [r[0] for r in cleaning.canonicalize(doubles).select("cycle_temperature").collect()] \
+        == [Decimal("999.99"), None]
 
 
 def test_machine_number(spark):

@@ -106,3 +106,25 @@ def test_no_python_in_the_plans(telemetry):
     for df in (cleaning.impute_reading(telemetry), sequence.with_next(telemetry),
                combine.fold_by_key(telemetry), insights.profile(telemetry)):
         assert "Python" not in plan(df) and "Pandas" not in plan(df)
+
+
+def test_mixed_history_is_pruned_on_both_sides(spark, landed, tmp_path):
+    path = str(tmp_path / "mixed")
+    history.write_history(landed.filter("dt < '2024-01-10'"), path)
+    history.write_history(landed.filter("dt >= '2024-01-10'"), path, file_format="json")
+    hot = filters.over_threshold(history.load_history(spark, path).filter("dt >= '2024-01-05'"))
+    text = plan(hot.select("machine_id"))
+    assert len(re.findall(r"PartitionFilters: \[.*dt#\d+ >= 2024-01-05", text)) == 2
+    assert "GreaterThan(cycle_temperature,70.00)" in text
+    parquet, lines = read_columns(text)
+    assert parquet == {"machine_id", "cycle_temperature"}
+    assert lines == {"machine_id", "cycle_temperature"}
+
+
+def test_recent_log_reads_recent_dates(spark, telemetry, tmp_path):
+    from thermoline.streaming import pipeline
+    rows = combine.log_rows(telemetry).withColumns(
+        {"arrived_at": F.col("txn_timestamp"), "offset": F.lit(0).cast("bigint")})
+    pipeline.append_batch(rows, str(tmp_path), "q-0")
+    text = plan(pipeline.read_log(spark, str(tmp_path), since="2024-01-20"))
+    assert re.search(r"PartitionFilters: \[.*dt#\d+ >= 2024-01-20", text)

@@ -155,6 +155,12 @@ def test_insights_job(spark, telemetry, tmp_path):
     whole = spark.read.parquet(f"{out}/time_in_alert")
     assert whole.exceptAll(aggregates.alert_counts(telemetry)).isEmpty()
     insights.run_insights(spark, raw, out)        # replaces its results
+    report = reports.insights_report(spark, out)
+    assert report["top_overheating_machines"].collect() == aggregates.top_overheating(
+        telemetry).collect()
+    assert report["hourly_alert_distribution"].collect() == aggregates.alert_hours(
+        telemetry).collect()
+    assert report["fleet_health_summary"].first()["total_machines"] == telemetry.count()
 
 
 def test_snapshot_refuses_to_list_without_end(spark, telemetry, monkeypatch):
@@ -184,7 +190,8 @@ def test_reports(spark, telemetry):
     assert predicted["predictions"].count() == predicted["summary"].first()["normal_machines"]
     fleet = reports.fleet_report(status, scored)
     assert fleet["machines"].count() == fleet["kpis"].first()["total_machines"] == 15
-    live = reports.live_report(sequence.recent_buffer(telemetry, 50))
+    nothing = spark.createDataFrame([], schemas.READING)
+    live = reports.live_report(nothing, sequence.recent_buffer(telemetry, 50))
     assert live["readings"].count() == 25 and live["counts"].first()["buffer_size"] == 50
 
 
@@ -224,3 +231,21 @@ def test_publish(spark, telemetry, tmp_path):
         copied, given = (spark.read.parquet(f"{p}/{name}") for p in (target, source))
         assert copied.exceptAll(given).isEmpty() and copied.count() == given.count()
     assert not os.path.exists(f"{target}/predictions")
+
+
+def test_parquet_files_with_different_columns(spark, tmp_path):
+    """Rows as a data-frame library writes them, beside rows as a topic sink writes them."""
+    plain = spark.sql("SELECT 'a' reading_id, 'WM_0001' machine_id, 'Huye' branch, "
+                      "71.25D cycle_temperature, '2024-01-01 10:00:00' txn_timestamp, "
+                      "'ALERT' status, 1L breakdown_soon")
+    sink = spark.sql("SELECT 'b' reading_id, 'WM_0002' machine_id, 60.5D cycle_temperature, "
+                     "95.5D vibration_hz, '2024-01-01T11:00:00.5+00:00' timestamp, "
+                     "0L breakdown_soon")
+    folder = str(tmp_path / "dt=2024-01-01")
+    plain.write.mode("append").parquet(folder)
+    sink.write.mode("append").parquet(folder)
+    rows = {r["reading_id"]: r for r in history.load_history(spark, str(tmp_path)).collect()}
+    assert str(rows["a"]["txn_timestamp"]) == "2024-01-01 10:00:00"
+    assert str(rows["b"]["txn_timestamp"]) == "2024-01-01 11:00:00.500000"
+    assert (rows["a"]["vibration_hz"], rows["b"]["vibration_hz"]) == (None, 95.5)
+    assert str(rows["a"]["cycle_temperature"]) == "71.25"

@@ -132,6 +132,9 @@ def test_compacted_log_reads_the_same_and_takes_more(spark, message_files, tmp_p
     pipeline.compact_log(spark, targets.log, packed)
     read = lambda path: rows(pipeline.read_log(spark, path), schemas.LOG.names)
     assert read(packed) == read(targets.log)
+    recent = pipeline.read_log(spark, packed, since="2024-01-20")
+    want = batch(spark, message_files).filter("txn_timestamp >= '2024-01-20'")
+    assert recent.count() == want.select("reading_id").distinct().count()
     later = batch(spark, message_files).limit(1).select(
         *schemas.LOG.names, F.current_timestamp().alias("arrived_at"), "offset")
     later = later.withColumn("cycle_temperature", F.lit(99.5).cast("decimal(5,2)"))

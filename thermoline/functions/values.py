@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
+
+
+LARGEST_DOUBLE = 1.7976931348623157e308
+
+
+def finite(number: Column) -> Column:
+    """The double, or null for NaN and infinities."""
+    return F.when((number >= -LARGEST_DOUBLE) & (number <= LARGEST_DOUBLE), number)
 
 
 def to_number(value: Column, default: float | None) -> Column:
-    """Double, or `default` where the text is missing, no number, or NaN."""
-    # Java also reads "1d" and "1f" as numbers; those are not.
+    """Double, or `default` where the text is missing or no finite number."""
     text = F.trim(value.cast("string"))
-    number = F.when(~F.lower(text).rlike("[df]$") | F.lower(text).rlike("inf$"),
-                    text.try_cast("double"))
-    return F.coalesce(F.nanvl(number, F.lit(None).cast("double")),
-                      F.lit(default).cast("double"))
+    # Java also reads "1d" and "1f" as numbers; those are not.
+    number = F.when(~F.right(text, F.lit(1)).isin("d", "D", "f", "F"), text.try_cast("double"))
+    known = finite(number)
+    return known if default is None else F.coalesce(known, F.lit(float(default)))
+
+
+def to_decimal(number: Column, kind: DecimalType) -> Column:
+    """Rounded decimal. A number beyond its range takes the nearest value in range, so that one
+    wild reading neither fails a job nor changes sides of a threshold."""
+    top = 10 ** (kind.precision - kind.scale) - 10 ** -kind.scale
+    within = F.when(number > top, F.lit(top)).when(number < -top, F.lit(-top)).otherwise(number)
+    return within.cast(kind)
 
 
 def parse_timestamp(value: Column) -> Column:

@@ -58,28 +58,31 @@ def canonicalize(df: DataFrame) -> DataFrame:
     """One name and type per field: `txn_timestamp` (else `timestamp`) as timestamp,
     temperature as decimal(5,2), sensors as double, flag as int. Sensor columns that are
     absent appear as nulls; other columns pass through."""
-    times = [F.col(n) for n in ("txn_timestamp", "timestamp") if n in df.columns]
-    kinds = dict((n, df.schema[n].dataType) for n in df.columns)
+    kinds = {f.name: f.dataType for f in df.schema.fields}
 
-    def time_of(column: Column, name: str) -> Column:
+    def time_of(name: str) -> Column:
         if isinstance(kinds[name], T.StringType):
-            return values.parse_timestamp(column)
-        return column.cast("timestamp")
-
-    named = [n for n in ("txn_timestamp", "timestamp") if n in df.columns]
-    when = F.coalesce(*[time_of(c, n) for c, n in zip(times, named)]) if times else None
-
-    columns = []
-    for field in schemas.READING.fields:
-        if field.name == "txn_timestamp":
-            value = when if when is not None else F.lit(None).cast("timestamp")
-        else:
-            value = _or_null(df, field.name)
-            if isinstance(kinds.get(field.name), T.StringType):
-                value = value.cast("string") if isinstance(field.dataType, T.StringType) \
-                    else values.to_number(value, None)
-            value = value.cast(field.dataType)
-        columns.append(value.alias(field.name))
+            return values.parse_timestamp(F.col(name))
+        return F.col(name).cast("timestamp")
+
+    times = [time_of(n) for n in ("txn_timestamp", "timestamp") if n in kinds]
+    when = F.coalesce(*times) if times else None
+
+    def typed(field: T.StructField) -> Column:
+        have, want = kinds.get(field.name), field.dataType
+        column = _or_null(df, field.name)
+        if have is None or have == want:
+            return column.cast(want)
+        if isinstance(want, T.StringType):
+            return column.cast(want)
+        number = (values.to_number(column, None) if isinstance(have, T.StringType)
+                  else values.finite(column.cast("double")))
+        return (values.to_decimal(number, want) if isinstance(want, T.DecimalType)
+                else number.try_cast(want))
+
+    columns = [(when if when is not None else F.lit(None).cast("timestamp"))
+               .alias("txn_timestamp") if field.name == "txn_timestamp"
+               else typed(field).alias(field.name) for field in schemas.READING.fields]
     known = set(schemas.READING.names) | {"timestamp"}
     return df.select(*columns, *[n for n in df.columns if n not in known])
 
@@ -95,7 +98,7 @@ def normalize_temperature(df: DataFrame, column: str = "cycle_temperature",
                           default: float = C.DEFAULT_TEMPERATURE) -> DataFrame:
     """Number or `default`, as decimal(5,2)."""
     number = values.to_number(F.col(column), default)
-    return df.withColumn(column, number.cast(schemas.TEMPERATURE))
+    return df.withColumn(column, values.to_decimal(number, schemas.TEMPERATURE))
 
 
 def impute_reading(df: DataFrame, now: Column | None = None,
@@ -124,7 +127,7 @@ def impute_reading(df: DataFrame, now: Column | None = None,
         "error_code": F.coalesce("error_code", rules.error_code_of(temperature)),
         "status": F.coalesce("status", rules.status_of(temperature, vibration)),
         "breakdown_soon": F.coalesce(
-            values.to_number(F.col("breakdown_soon"), None).cast("int"),
+            values.to_number(F.col("breakdown_soon"), None).try_cast("int"),
             rules.breakdown_flag(temperature, C.ALERT_TEMPERATURE, vibration)),
     })
     return normalize_timestamp(out, now=now).drop("timestamp")

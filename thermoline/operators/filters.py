@@ -74,19 +74,25 @@ def in_partition(df: DataFrame, dt: str | None = None) -> DataFrame:
     return df.filter(F.col("dt") == newest)
 
 
+def history_rows(df: DataFrame, dt: str | None = None, branch: str | None = None,
+                 status: str | None = None) -> DataFrame:
+    """Time travel: all rows of one date partition that pass the filters."""
+    return filter_readings(in_partition(df, dt), branch=branch, status=status)
+
+
 def history(df: DataFrame, dt: str | None = None, branch: str | None = None,
             status: str | None = None, limit: object = None) -> DataFrame:
-    """Time travel: one date partition, filtered, newest first, with `limit` clamped."""
-    rows = filter_readings(in_partition(df, dt), branch=branch, status=status)
-    return (rows.orderBy(F.desc("txn_timestamp"), F.desc("reading_id"))
+    """The newest of `history_rows`, with `limit` clamped."""
+    return (history_rows(df, dt, branch, status)
+            .orderBy(F.desc("txn_timestamp"), F.desc("reading_id"))
             .limit(clamp_limit(limit, *C.READINGS_LIMIT)))
 
 
 def history_total(df: DataFrame, dt: str | None = None, branch: str | None = None,
                   status: str | None = None) -> DataFrame:
     """How many rows `history` found before its limit."""
-    rows = filter_readings(in_partition(df, dt), branch=branch, status=status)
-    return rows.agg(F.count(F.lit(1)).alias("total_partition_records"))
+    return history_rows(df, dt, branch, status).agg(
+        F.count(F.lit(1)).alias("total_partition_records"))
 
 
 def valid_machine(column: Column, low: int = C.MACHINE_RANGE[0], high: int = C.MACHINE_RANGE[1],

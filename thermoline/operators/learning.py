@@ -53,6 +53,12 @@ def split(df: DataFrame, key: str = "reading_id", train_percent: int = C.TRAIN_S
     return df.filter(training), df.filter(~training)
 
 
+def random_split(df: DataFrame, train_percent: int = C.TRAIN_SHARE,
+                 seed: int = C.SPLIT_SEED) -> list[DataFrame]:
+    """Spark's own random split, which follows the partitioning: use it on a written table."""
+    return df.randomSplit([train_percent / 100, 1 - train_percent / 100], seed)
+
+
 def split_counts(df: DataFrame, key: str = "reading_id",
                  train_percent: int = C.TRAIN_SHARE, seed: int = C.SPLIT_SEED) -> DataFrame:
     """Training and test samples, in one pass."""

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from thermoline import constants as C
 from thermoline.operators import aggregates, cleaning, combine, filters, sequence
@@ -56,6 +57,22 @@ def fleet_report(status: DataFrame, predictions: DataFrame) -> dict[str, DataFra
             "machines": combine.status_with_predictions(status, predictions)}
 
 
-def live_report(buffer: DataFrame, shown: int = 25) -> dict[str, DataFrame]:
-    """Live buffer: counts over all of it, and its newest rows."""
-    return {"counts": pipeline.live_counts(buffer), "readings": sequence.newest(buffer, shown)}
+def live_report(buffer: DataFrame, *fallbacks: DataFrame,
+                shown: int = C.STREAM_TAIL) -> dict[str, DataFrame]:
+    """Live buffer, or the first fallback that holds rows: counts, and the newest readings."""
+    source = next((df for df in (buffer, *fallbacks) if not df.isEmpty()), buffer)
+    return {"counts": pipeline.live_counts(source), "readings": sequence.newest(source, shown)}
+
+
+def insights_report(spark: SparkSession, out: str,
+                    top_n: int = C.TOP_MACHINES) -> dict[str, DataFrame]:
+    """The insights that a job wrote to `out`."""
+    def ordered(name: str, *order: str) -> DataFrame:
+        first, *rest = order
+        return spark.read.parquet(f"{out}/{name}").orderBy(F.desc(first), *rest)
+
+    return {"avg_temp_by_branch": ordered("avg_temp_by_branch", "avg_temperature", "branch"),
+            "top_overheating_machines": ordered("time_in_alert", "alert_count", "machine_id",
+                                                "branch").limit(top_n),
+            "hourly_alert_distribution": ordered("busiest_alert_hour", "alert_count", "hour"),
+            "fleet_health_summary": spark.read.parquet(f"{out}/fleet_health")}

@@ -20,9 +20,15 @@ PARQUET_HISTORY = T.StructType([*schemas.READING.fields, T.StructField("dt", T.D
 JSON_HISTORY = T.StructType([*schemas.MESSAGE.fields, T.StructField("dt", T.DateType())])
 
 
-def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """Parquet files of the tree, whatever else lies in it; `dt` comes from the folders."""
-    reader = spark.read.option("pathGlobFilter", "*.parquet")
+def read_history(spark: SparkSession, path: str, schema: T.StructType | None = None,
+                 merge_schema: bool = False) -> DataFrame:
+    """Parquet files of the tree, whatever else lies in it; `dt` comes from the folders.
+
+    Without `schema` the columns are those of one file; `merge_schema` collects them from all
+    files, which takes a job over their footers.
+    """
+    reader = (spark.read.option("pathGlobFilter", "*.parquet")
+              .option("mergeSchema", str(merge_schema).lower()))
     if schema is not None:
         reader = reader.schema(schema)
     return reader.parquet(path)
@@ -34,15 +40,19 @@ def read_history_json(spark: SparkSession, path: str,
     return spark.read.schema(schema).option("pathGlobFilter", "*.json*").json(path)
 
 
-def load_history(spark: SparkSession, path: str, dedupe: bool = False) -> DataFrame:
+def load_history(spark: SparkSession, path: str, dedupe: bool = False,
+                 merge_schema: bool = True) -> DataFrame:
     """Parquet and JSON-Lines files of the same date folders as one canonical table.
 
-    With `dedupe` a reading delivered more than once counts once (its latest copy).
+    Parquet files may differ in columns (rows without sensors, either time name); where all are
+    known to have the same, `merge_schema=False` spares the look at every footer. With `dedupe`
+    a reading delivered more than once counts once (its latest copy).
     """
     parts = []
-    for read in (read_history, read_history_json):
+    for read in (lambda: read_history(spark, path, merge_schema=merge_schema),
+                 lambda: read_history_json(spark, path)):
         try:
-            parts.append(cleaning.canonicalize(read(spark, path)))
+            parts.append(cleaning.canonicalize(read()))
         except AnalysisException as error:
             if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
                 raise

@@ -138,11 +138,18 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str,
-             update_cols: tuple[str, ...] | str = combine.LOG_UPDATES) -> DataFrame:
+             update_cols: tuple[str, ...] | str = combine.LOG_UPDATES,
+             since: str | None = None) -> DataFrame:
     """The readings log: one row per reading, merged over all deliveries on read. Appending
-    costs a batch only its own size; `compact_log` keeps reading cheap."""
+    costs a batch only its own size; `compact_log` keeps reading cheap.
+
+    `since` reads the date partitions from that day on; a reading that was delivered again
+    with another event date needs the whole log.
+    """
     rows = history.read_history(spark, path, LOG_FILES)
-    folded = combine.fold_by_key(rows, "reading_id", update_cols,
+    if since is not None:
+        rows = rows.filter(F.col("dt") >= F.lit(since).cast("date"))
+    folded = combine.fold_by_key(rows.drop("dt"), "reading_id", update_cols,
                                  ("arrived_at", "batch", "offset", "txn_timestamp"))
     return folded.select(*schemas.LOG.names, "arrived_at", "offset")
 
