@@ -25,7 +25,7 @@ HEADLINE = (
     "j2_status_with_predictions", "k3_insights_snapshot", "k5_upsert_status", "k6_merge_by_key",
     "k8_sync_partitions", "m1_label_next_breach", "m4_train", "m5_labelled_counts",
     "m8_score_with_coefficients", "o1_newest", "s3_load_history", "s5_decode_records",
-    "t1_telemetry_stream", "t2_pipeline_status", "u1_recent_telemetry", "u1_newest_first",
+    "t1_telemetry_stream", "t2_fan_out_status", "u1_recent_telemetry", "u1_newest_first",
     "u2_dedupe", "w1_with_next", "w2_latest_per_key",
 )
 

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import functions as F
 
 from thermoline import schemas
@@ -55,7 +55,10 @@ def test_index_order_follows_frequency(spark):
     df = spark.createDataFrame([(b,) for b in "ccbbaad"], "branch string")
     assert list(learning.index_branch(df).labels) == ["a", "b", "c", "d"]
     counts = df.groupBy("branch").agg(F.count(F.lit(1)).cast("double").alias(learning.WEIGHT))
-    assert list(learning._index_from_counts(counts).labels) == ["a", "b", "c", "d"]
+    counted = learning.index_branch(counts, weight=learning.WEIGHT)
+    assert list(counted.labels) == ["a", "b", "c", "d"]
+    fitted = StringIndexer(inputCol="branch", outputCol="i", handleInvalid="keep").fit(df)
+    assert list(fitted.labels) == list(counted.labels)
 
 
 def test_separable_readings_are_told_apart(readings):
@@ -97,8 +100,8 @@ def test_training_and_scoring_jobs(spark, telemetry, tmp_path):
 def test_too_many_branches_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(learning, "MAX_BRANCHES", 2)
     df = spark.createDataFrame([(b, 1.0) for b in "abc"], "branch string, weight double")
-    with pytest.raises(ValueError, match="more than 2 branches"):
-        learning._index_from_counts(df)
+    with pytest.raises(ValueError, match="more than 2 values of branch"):
+        learning.index_branch(df)
 
 
 def test_given_coefficients_match_the_model(telemetry, labelled):

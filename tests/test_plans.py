@@ -122,9 +122,29 @@ def test_mixed_history_is_pruned_on_both_sides(spark, landed, tmp_path):
 
 
 def test_recent_log_reads_recent_dates(spark, telemetry, tmp_path):
-    from thermoline.streaming import pipeline
+    from thermoline.streaming import ingest
     rows = combine.log_rows(telemetry).withColumns(
         {"arrived_at": F.col("txn_timestamp"), "offset": F.lit(0).cast("bigint")})
-    pipeline.append_batch(rows, str(tmp_path), "q-0")
-    text = plan(pipeline.read_log(spark, str(tmp_path), since="2024-01-20"))
+    ingest.append_batch(rows, str(tmp_path), "q-0")
+    text = plan(ingest.read_log(spark, str(tmp_path), since="2024-01-20"))
     assert re.search(r"PartitionFilters: \[.*dt#\d+ >= 2024-01-20", text)
+
+
+def test_newest_landed_reads_newest_dates(landed):
+    text = plan(sequence.newest_landed(landed, 50))
+    assert re.search(r"PartitionFilters: \[.*dt#\d+ >= Subquery", text)
+    assert "TakeOrderedAndProject" in text
+
+
+@pytest.mark.parametrize("n", [1, 40, 5000])
+def test_newest_landed_equals_newest(landed, n):
+    assert sequence.newest_landed(landed, n).collect() == sequence.newest(landed, n).collect()
+
+
+def test_newest_landed_of_nothing(landed):
+    assert sequence.newest_landed(landed.filter("dt > '2030-01-01'"), 5).count() == 0
+
+
+def test_writes_rebalance_by_date(landed):
+    hinted = landed.hint("rebalance", F.col("dt"))
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan(hinted)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from thermoline import schemas
 from thermoline.operators import aggregates, combine, sequence
 from thermoline.sources import history, topic
-from thermoline.streaming import pipeline
+from thermoline.streaming import ingest
 
 ONCE = {"availableNow": True}
 
@@ -29,7 +29,7 @@ def message_files(spark, telemetry, tmp_path):
 def stream(spark, path, files=3):
     source = (spark.readStream.schema("key binary, value binary, offset bigint")
               .option("maxFilesPerTrigger", files).parquet(path))
-    return pipeline.telemetry_stream(source)
+    return ingest.telemetry_stream(source)
 
 
 def batch(spark, path):
@@ -37,7 +37,7 @@ def batch(spark, path):
 
 
 def run(spark, path, targets, checkpoint, files=3):
-    query = pipeline.run_pipeline(stream(spark, path, files), targets, str(checkpoint), ONCE)
+    query = ingest.run_pipeline(stream(spark, path, files), targets, str(checkpoint), ONCE)
     query.awaitTermination()
 
 
@@ -45,15 +45,15 @@ def tables(targets):
     spark = targets.spark
     return {
         "status": rows(targets.status.read(), schemas.STATUS.names),
-        "log": rows(pipeline.read_log(spark, targets.log), schemas.LOG.names),
+        "log": rows(ingest.read_log(spark, targets.log), schemas.LOG.names),
         "live": rows(targets.live.read(), schemas.READING.names),
-        "raw": rows(sequence.dedupe(pipeline.read_raw(spark, targets.raw)),
+        "raw": rows(sequence.dedupe(ingest.read_raw(spark, targets.raw)),
                     schemas.READING.names),
     }
 
 
 def test_pipeline_equals_batch(spark, telemetry, message_files, tmp_path):
-    targets = pipeline.Targets(spark, str(tmp_path / "out"))
+    targets = ingest.Targets(spark, str(tmp_path / "out"))
     run(spark, message_files, targets, tmp_path / "checkpoint")
     single = sequence.dedupe(batch(spark, message_files))
     have = tables(targets)
@@ -62,13 +62,13 @@ def test_pipeline_equals_batch(spark, telemetry, message_files, tmp_path):
     assert have["status"] == rows(combine.status_rows(sequence.latest_per_key(single)),
                                   schemas.STATUS.names)
     assert have["live"] == rows(sequence.newest(single, 50), schemas.READING.names)
-    assert pipeline.read_raw(spark, targets.raw).count() > telemetry.count()
-    counts = pipeline.live_counts(targets.live.read()).first()
+    assert ingest.read_raw(spark, targets.raw).count() > telemetry.count()
+    counts = ingest.live_counts(targets.live.read()).first()
     assert counts["live_alert_count"] + counts["live_normal_count"] == 50
 
 
 def test_replay_from_a_new_checkpoint_changes_nothing(spark, message_files, tmp_path):
-    targets = pipeline.Targets(spark, str(tmp_path / "out"))
+    targets = ingest.Targets(spark, str(tmp_path / "out"))
     run(spark, message_files, targets, tmp_path / "first")
     before = tables(targets)
     run(spark, message_files, targets, tmp_path / "second", files=5)
@@ -76,8 +76,8 @@ def test_replay_from_a_new_checkpoint_changes_nothing(spark, message_files, tmp_
 
 
 def test_failed_batch_is_repeated_in_full(spark, message_files, tmp_path, monkeypatch):
-    targets = pipeline.Targets(spark, str(tmp_path / "out"))
-    calls, real = [], pipeline.live_buffer
+    targets = ingest.Targets(spark, str(tmp_path / "out"))
+    calls, real = [], ingest.live_buffer
 
     def fails_second_time(*args):
         calls.append(1)
@@ -85,29 +85,29 @@ def test_failed_batch_is_repeated_in_full(spark, message_files, tmp_path, monkey
             raise RuntimeError("target is down")
         return real(*args)
 
-    monkeypatch.setattr(pipeline, "live_buffer", fails_second_time)
+    monkeypatch.setattr(ingest, "live_buffer", fails_second_time)
     checkpoint = tmp_path / "checkpoint"
     with pytest.raises(StreamingQueryException, match="target is down"):
         run(spark, message_files, targets, checkpoint)
     run(spark, message_files, targets, checkpoint)      # same checkpoint: goes on
-    whole = pipeline.Targets(spark, str(tmp_path / "whole"))
+    whole = ingest.Targets(spark, str(tmp_path / "whole"))
     run(spark, message_files, whole, tmp_path / "other")
     assert tables(targets) == tables(whole)
     deliveries = spark.read.parquet(message_files).count()
-    assert pipeline.read_raw(spark, targets.raw).count() == deliveries
+    assert ingest.read_raw(spark, targets.raw).count() == deliveries
 
 
 def test_land_raw_appends_by_event_date(spark, message_files, tmp_path):
     out, checkpoint = str(tmp_path / "raw"), str(tmp_path / "checkpoint")
     for _ in range(2):                                   # nothing lands twice
-        pipeline.land_raw(stream(spark, message_files), out, checkpoint, ONCE).awaitTermination()
+        ingest.land_raw(stream(spark, message_files), out, checkpoint, ONCE).awaitTermination()
     landed = history.read_history(spark, out)
     assert landed.count() == spark.read.parquet(message_files).count()
     assert landed.filter(F.col("dt") != F.to_date("txn_timestamp")).isEmpty()
 
 
 def test_dedupe_stream(spark, telemetry, message_files, tmp_path):
-    single = pipeline.dedupe_stream(stream(spark, message_files), "60 days")
+    single = ingest.dedupe_stream(stream(spark, message_files), "60 days")
     out = str(tmp_path / "single")
     (single.writeStream.format("parquet").option("path", out)
      .option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(**ONCE)
@@ -119,33 +119,33 @@ def test_message_without_time_takes_the_batch_time(spark, tmp_path):
     path = str(tmp_path / "in")
     spark.createDataFrame([(b"M", b'{"reading_id": "a", "machine_id": "M"}', 0)],
                           "key binary, value binary, offset bigint").write.parquet(path)
-    targets = pipeline.Targets(spark, str(tmp_path / "out"))
+    targets = ingest.Targets(spark, str(tmp_path / "out"))
     run(spark, path, targets, tmp_path / "checkpoint")
-    row = pipeline.read_raw(spark, targets.raw).first()
+    row = ingest.read_raw(spark, targets.raw).first()
     assert row["txn_timestamp"] == row["arrived_at"] is not None
 
 
 def test_compacted_log_reads_the_same_and_takes_more(spark, message_files, tmp_path):
-    targets = pipeline.Targets(spark, str(tmp_path / "out"))
+    targets = ingest.Targets(spark, str(tmp_path / "out"))
     run(spark, message_files, targets, tmp_path / "checkpoint")
     packed = str(tmp_path / "packed")
-    pipeline.compact_log(spark, targets.log, packed)
-    read = lambda path: rows(pipeline.read_log(spark, path), schemas.LOG.names)
+    ingest.compact_log(spark, targets.log, packed)
+    read = lambda path: rows(ingest.read_log(spark, path), schemas.LOG.names)
     assert read(packed) == read(targets.log)
-    recent = pipeline.read_log(spark, packed, since="2024-01-20")
+    recent = ingest.read_log(spark, packed, since="2024-01-20")
     want = batch(spark, message_files).filter("txn_timestamp >= '2024-01-20'")
     assert recent.count() == want.select("reading_id").distinct().count()
     later = batch(spark, message_files).limit(1).select(
         *schemas.LOG.names, F.current_timestamp().alias("arrived_at"), "offset")
     later = later.withColumn("cycle_temperature", F.lit(99.5).cast("decimal(5,2)"))
     changed = later.first()["reading_id"]
-    pipeline.append_batch(later, packed, "1-later")
-    log = pipeline.read_log(spark, packed)
+    ingest.append_batch(later, packed, "1-later")
+    log = ingest.read_log(spark, packed)
     assert log.count() == len(read(targets.log))
     assert float(log.filter(F.col("reading_id") == changed).first()["cycle_temperature"]) == 99.5
 
 
 def test_counts_over_empty_buffer(spark):
     empty = spark.createDataFrame([], schemas.READING)
-    assert tuple(pipeline.live_counts(empty).first()) == (0, 0, 0)
+    assert tuple(ingest.live_counts(empty).first()) == (0, 0, 0)
     assert aggregates.reading_counts(empty).count() == 1

@@ -14,7 +14,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
                                    MulticlassClassificationEvaluator)
-from pyspark.ml.feature import StringIndexer, StringIndexerModel, VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,21 +75,20 @@ def labelled_counts(labelled: DataFrame, key: str = "reading_id",
             .agg(F.count(F.lit(1)).cast("double").alias(WEIGHT)))
 
 
-def index_branch(df: DataFrame, column: str = "branch",
-                 out: str = "branch_idx") -> StringIndexerModel:
-    """Index by falling frequency, ties by name; an unseen branch gets the index after the last."""
-    return StringIndexer(inputCol=column, outputCol=out, handleInvalid="keep",
-                         stringOrderType="frequencyDesc").fit(df)
+def index_branch(df: DataFrame, column: str = "branch", out: str = "branch_idx",
+                 weight: str | None = None) -> StringIndexerModel:
+    """Index by falling frequency, ties by name; an unseen value gets the index after the last.
 
-
-def _index_from_counts(counts: DataFrame) -> StringIndexerModel:
-    rows = (counts.filter(F.col("branch").isNotNull())
-            .groupBy("branch").agg(F.sum(WEIGHT).alias("n"))
-            .orderBy(F.desc("n"), "branch").limit(MAX_BRANCHES + 1).collect())
+    The labels become part of the model, so they pass the driver: more than MAX_BRANCHES of
+    them are an error.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    rows = (df.filter(F.col(column).isNotNull()).groupBy(column).agg(size.alias("n"))
+            .orderBy(F.desc("n"), column).limit(MAX_BRANCHES + 1).collect())
     if len(rows) > MAX_BRANCHES:
-        raise ValueError(f"more than {MAX_BRANCHES} branches: not a categorical feature")
-    return StringIndexerModel.from_labels([r["branch"] for r in rows], inputCol="branch",
-                                          outputCol="branch_idx", handleInvalid="keep")
+        raise ValueError(f"more than {MAX_BRANCHES} values of {column}: not a category")
+    return StringIndexerModel.from_labels([r[column] for r in rows], inputCol=column,
+                                          outputCol=out, handleInvalid="keep")
 
 
 def with_temperature(df: DataFrame) -> DataFrame:
@@ -103,7 +102,7 @@ def feature_assembler() -> VectorAssembler:
 def train(counts: DataFrame, max_iter: int = C.LEARNING_ITERATIONS) -> PipelineModel:
     """Fits index, features and logistic regression on the counts of training readings."""
     data = with_temperature(counts)
-    stages = [_index_from_counts(counts), feature_assembler(),
+    stages = [index_branch(counts, weight=WEIGHT), feature_assembler(),
               LogisticRegression(labelCol="breakdown_soon", featuresCol="features",
                                  weightCol=WEIGHT, maxIter=max_iter)]
     return Pipeline(stages=stages).fit(data)

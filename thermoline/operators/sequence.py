@@ -148,6 +148,19 @@ def newest(df: DataFrame, n: int | None = C.LOG_LIMIT[0], time: str = "txn_times
     return rows if n is None else rows.limit(n)
 
 
+def newest_landed(df: DataFrame, n: int = C.LOG_LIMIT[0], partition: str = "dt",
+                  time: str = "txn_timestamp", tie: str = "reading_id") -> DataFrame:
+    """`newest` of a table partitioned by the day of `time`: only the newest dates that hold
+    `n` rows between them are read. How many that takes is a subquery over the rows per date,
+    which needs file footers but no data."""
+    counts = df.groupBy(partition).agg(F.count(F.lit(1)).alias("n"))
+    # One row per date, so this window stays small however long the history is.
+    newer = Window.orderBy(F.desc(partition)).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    oldest = needed.filter(F.col("newer") < n).agg(F.min(partition)).scalar()
+    return newest(df.filter(F.col(partition) >= oldest), n, time, tie)
+
+
 def newest_states(status: DataFrame, n: int | None = 100) -> DataFrame:
     """Machine states, last updated first."""
     return newest(status, n, "last_updated", "machine_id")

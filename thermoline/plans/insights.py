@@ -53,7 +53,8 @@ def _listed(df: DataFrame, name: str, order: list[Column], fields: list[str]) ->
                         F.struct(*fields).alias("item"))
     items = F.transform(F.sort_array(F.collect_list(numbered)), lambda x: x["item"])
     too_many = F.raise_error(F.lit(f"{name}: more than {MAX_LISTED} rows to list"))
-    return df.agg(F.when(F.count(F.lit(1)) > MAX_LISTED, too_many).otherwise(items).alias(name))
+    # One row more than allowed is enough to see that there are too many.
+    return df.limit(MAX_LISTED + 1).agg(F.when(F.count(F.lit(1)) > MAX_LISTED, too_many).otherwise(items).alias(name))
 
 
 def snapshot(results: dict[str, DataFrame], top_n: int = C.TOP_MACHINES) -> DataFrame:

@@ -20,7 +20,7 @@ from thermoline.plans.oracles import (DELIVERIES, EDGES, LATEST, MESSAGES, ODD_I
                                       sql)
 from thermoline.session import scratch_path
 from thermoline.sources import history, models, topic
-from thermoline.streaming import pipeline
+from thermoline.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -178,7 +178,7 @@ def _(t):
     t.select(*READING_COLUMNS).write.parquet(source)
     stream = spark.readStream.schema(schemas.READING).parquet(source)
     out = scratch_path(spark, "k4")
-    pipeline.land_raw(stream, out, out + "-checkpoint", {"availableNow": True}).awaitTermination()
+    ingest.land_raw(stream, out, out + "-checkpoint", {"availableNow": True}).awaitTermination()
     return history.read_history(spark, out)
 
 
@@ -727,6 +727,13 @@ def _(t):
     return sequence.newest(combine.log_rows(t))
 
 
+@query("o1_newest_landed", sql(f"""
+SELECT {FULL} FROM telemetry ORDER BY telemetry.txn_timestamp DESC, reading_id DESC LIMIT 1000"""))
+def _(t):
+    landed = history.read_history(t.sparkSession, land(t, "o1"))
+    return sequence.newest_landed(landed, 1000).drop("dt")
+
+
 @query("o2_newest_states", sql(f"""
 SELECT {STATUS} FROM machine_status
 ORDER BY machine_status.last_updated DESC, machine_id DESC LIMIT 100""", LATEST))
@@ -986,10 +993,10 @@ def message_stream(t: DataFrame, name: str, again: bool = True) -> DataFrame:
             .option("maxFilesPerTrigger", 4).parquet(path))
 
 
-def _run(t: DataFrame, name: str) -> pipeline.Targets:
-    targets = pipeline.Targets(t.sparkSession, scratch_path(t.sparkSession, name))
-    stream = pipeline.telemetry_stream(message_stream(t, name + "-in"))
-    pipeline.run_pipeline(stream, targets, targets.root + "/checkpoint",
+def _run(t: DataFrame, name: str) -> ingest.Targets:
+    targets = ingest.Targets(t.sparkSession, scratch_path(t.sparkSession, name))
+    stream = ingest.telemetry_stream(message_stream(t, name + "-in"))
+    ingest.run_pipeline(stream, targets, targets.root + "/checkpoint",
                           {"availableNow": True}).awaitTermination()
     return targets
 
@@ -1011,13 +1018,13 @@ SELECT {READING}, vibration_hz, power_kw, water_pressure_bar, error_code,
 
 @query("t1_telemetry_stream", sql(f"{NORMALIZED} FROM deliveries", DELIVERIES))
 def _(t):
-    stream = pipeline.telemetry_stream(message_stream(t, "t1-in"))
+    stream = ingest.telemetry_stream(message_stream(t, "t1-in"))
     return _written(stream, "t1").select(*READING_COLUMNS)
 
 
-@query("t2_pipeline_raw", sql(f"{NORMALIZED} FROM deliveries", DELIVERIES))
+@query("t2_fan_out_raw", sql(f"{NORMALIZED} FROM deliveries", DELIVERIES))
 def _(t):
-    return pipeline.read_raw(t.sparkSession, _run(t, "t2r").raw).select(*READING_COLUMNS)
+    return ingest.read_raw(t.sparkSession, _run(t, "t2r").raw).select(*READING_COLUMNS)
 
 
 LAST_DELIVERY = """
@@ -1027,7 +1034,7 @@ last_delivery AS (
     FROM deliveries) WHERE rn = 1)"""
 
 
-@query("t2_pipeline_status", sql("""
+@query("t2_fan_out_status", sql("""
 SELECT machine_id, reading_id, branch, cast(cycle_temperature AS double) AS cycle_temperature,
        CASE WHEN cycle_temperature > 70 THEN 'ALERT' ELSE 'NORMAL' END AS status,
        cast(cycle_temperature > 68 AS int) AS breakdown_soon,
@@ -1039,21 +1046,21 @@ def _(t):
     return _run(t, "t2s").status.read()
 
 
-@query("t2_pipeline_log", sql(f"""
+@query("t2_fan_out_log", sql(f"""
 SELECT {READING}, {shown('txn_timestamp')},
        CASE WHEN cycle_temperature > 70 THEN 'ALERT' ELSE 'NORMAL' END AS status,
        cast(first_temperature > 68 AS int) AS breakdown_soon
 FROM last_delivery JOIN (SELECT reading_id, cycle_temperature AS first_temperature FROM telemetry)
      USING (reading_id)""", DELIVERIES, LAST_DELIVERY))
 def _(t):
-    log = pipeline.read_log(t.sparkSession, _run(t, "t2l").log)
+    log = ingest.read_log(t.sparkSession, _run(t, "t2l").log)
     return log.select(*LOG_COLUMNS)
 
 
 @query("t4_dedupe_stream", sql("SELECT reading_id, machine_id FROM telemetry"))
 def _(t):
-    stream = pipeline.telemetry_stream(message_stream(t, "t4-in"))
-    single = pipeline.dedupe_stream(stream, "60 days")
+    stream = ingest.telemetry_stream(message_stream(t, "t4-in"))
+    single = ingest.dedupe_stream(stream, "60 days")
     return _written(single, "t4").select("reading_id", "machine_id")
 
 
@@ -1071,11 +1078,11 @@ FROM (SELECT cycle_temperature,
       FROM last_delivery ORDER BY txn_timestamp DESC, reading_id DESC LIMIT 50)""",
     DELIVERIES, LAST_DELIVERY))
 def _(t):
-    return pipeline.live_counts(_run(t, "t6").live.read())
+    return ingest.live_counts(_run(t, "t6").live.read())
 
 
 @query("t7_next_from_shuffled_arrival", sql(f"""
 SELECT reading_id, cast(next_temp AS double) AS next_temp FROM ({NEXT})"""))
 def _(t):
-    stream = pipeline.telemetry_stream(message_stream(t, "t7-in", again=False))
+    stream = ingest.telemetry_stream(message_stream(t, "t7-in", again=False))
     return sequence.with_next(_written(stream, "t7")).select("reading_id", "next_temp")

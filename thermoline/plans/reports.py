@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from thermoline import constants as C
 from thermoline.operators import aggregates, cleaning, combine, filters, sequence
-from thermoline.streaming import pipeline
+from thermoline.streaming import ingest
 
 
 def readings_report(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: object = None,
@@ -61,7 +61,7 @@ def live_report(buffer: DataFrame, *fallbacks: DataFrame,
                 shown: int = C.STREAM_TAIL) -> dict[str, DataFrame]:
     """Live buffer, or the first fallback that holds rows: counts, and the newest readings."""
     source = next((df for df in (buffer, *fallbacks) if not df.isEmpty()), buffer)
-    return {"counts": pipeline.live_counts(source), "readings": sequence.newest(source, shown)}
+    return {"counts": ingest.live_counts(source), "readings": sequence.newest(source, shown)}
 
 
 def insights_report(spark: SparkSession, out: str,
