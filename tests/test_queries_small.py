@@ -233,3 +233,13 @@ def test_status_by_arrival(spark, readings):
     assert by_event.first()["reading_id"] == "b"
     by_arrival = combine.upsert_status(empty, combine.status_rows(numbered, arrived), "arrival")
     assert by_arrival.first()["reading_id"] == "a"
+
+
+def test_next_with_numeric_ties(spark):
+    rows = [(1, i, 1.0 * i) for i in (9, 10, 100, 11)] + [(2, 5, 0.5)]
+    df = spark.createDataFrame(rows, "k int, n long, v double").withColumn(
+        "t", F.lit("2024-01-01").cast("timestamp"))
+    for grain in (None, "day", "instant"):
+        found = {r["n"]: r["next"] for r in
+                 sequence.with_next(df, "v", "k", "t", "n", "next", grain).collect()}
+        assert found == {9: 10.0, 10: 11.0, 11: 100.0, 100: None, 5: None}

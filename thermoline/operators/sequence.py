@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from thermoline import constants as C
 
@@ -17,16 +18,18 @@ _GRAINS = ("month", "day", "hour", "minute", "second", "instant")
 _SPREAD = 4096
 
 
-def _slice_columns(grain: str, key: str, time: str, tie: str,
+def _slice_columns(df: DataFrame, grain: str, key: str, time: str, tie: str,
                    prefix: int) -> dict[str, Column]:
     """Order-preserving slice of a sequence: a time bucket, or for `instant` the exact time
-    with the leading characters of the tie-breaker. Rows without a key need no order and
+    with the leading characters of a text tie-breaker. Rows without a key need no order and
     would all meet in one task; `_part` spreads them."""
-    if grain == "instant":
-        begin, part = F.col(time).cast("timestamp"), F.substring(F.col(tie).cast("string"),
-                                                                 1, prefix)
+    part = F.lit("")
+    if grain != "instant":
+        begin = F.date_trunc(grain, F.col(time))
     else:
-        begin, part = F.date_trunc(grain, F.col(time)), F.lit("")
+        begin = F.col(time).cast("timestamp")
+        if isinstance(df.schema[tie].dataType, StringType):
+            part = F.substring(F.col(tie), 1, prefix)
     return {"_slice": F.coalesce(begin, F.lit("0001-01-01").cast("timestamp")),
             "_part": F.when(F.col(key).isNull(), _spread(time, tie).cast("string"))
             .otherwise(F.coalesce(part, F.lit("")))}
@@ -78,7 +81,7 @@ def with_next(df: DataFrame, value: str = "cycle_temperature", key: str = "machi
     `rows_per_task` rows its sequence is cut into time slices: the window then runs per
     (key, slice), and only the last row of a slice looks up the first value of the key's
     next slice, in a table with one row per slice. The readings are shuffled once either way.
-    Rows of a single instant are cut by the first `tie_prefix` characters of `tie`.
+    Rows of a single instant are cut by the first `tie_prefix` characters of a text `tie`.
     """
     if grain == "auto":
         grain = choose_grain(df, key, time, tie, rows_per_task)
@@ -88,7 +91,7 @@ def with_next(df: DataFrame, value: str = "cycle_temperature", key: str = "machi
         following = F.lead(value, 1).over(window)
         return df.withColumn(out, F.when(F.col(key).isNotNull(), following))
 
-    sliced = df.withColumns(_slice_columns(grain, key, time, tie, tie_prefix))
+    sliced = df.withColumns(_slice_columns(df, grain, key, time, tie, tie_prefix))
     slice_key = [key, "_slice", "_part"]
     heads = (sliced.filter(F.col(key).isNotNull()).groupBy(*slice_key)
              .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(time, tie)).alias("_head")))

@@ -18,7 +18,7 @@ from thermoline.plans import inputs, insights
 from thermoline.plans import learning as learning_jobs
 from thermoline.plans.oracles import (DELIVERIES, EDGES, LATEST, MESSAGES, ODD_IDS, RAW, shown,
                                       sql)
-from thermoline.session import scratch_path
+from thermoline.session import materialize, scratch_path
 from thermoline.sources import history, models, topic
 from thermoline.streaming import ingest
 
@@ -38,6 +38,18 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+def table_query(name: str, table: str, oracle: str):
+    """Registers a function of one given table: the operators take any keyed table."""
+    def register(build: Callable[[DataFrame], DataFrame]):
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+            return cleaning.present(build(spark.read.parquet(f"{folder}/{table}.parquet")))
+
+        QUERIES[name], ORACLES[name] = run, oracle
+        return build
+    return register
+
+
 READING = "reading_id, machine_id, branch, cast(cycle_temperature AS double) AS cycle_temperature"
 FULL = (f"{READING}, vibration_hz, power_kw, water_pressure_bar, error_code, "
         f"{shown('txn_timestamp')}, status, breakdown_soon")
@@ -891,6 +903,29 @@ def _(t):
     return learning_jobs.train_on(t)[1]
 
 
+@query("m4_fit_conditions", sql(f"""
+SELECT count(*) AS train_rows, cast(sum(y) AS bigint) AS failures,
+       cast(sum(y) AS bigint) AS expected_failures, 1.0::double AS temperature_ratio
+FROM (SELECT cast(next_temp > 70 AS int) AS y,
+             cast(('0x' || substring(md5(reading_id || ':42'), 1, 8)) AS bigint) % 100 < 80
+               AS training
+      FROM ({NEXT}) WHERE next_temp IS NOT NULL)
+WHERE training"""))
+def _(t):
+    # At the optimum the expected failures equal the observed ones, also weighted by feature.
+    counts = materialize(learning.labelled_counts(learning.label_next_breach(t)),
+                         "counts").filter("training")
+    scored = learning.train(counts).transform(learning.with_temperature(counts))
+    weight, label = F.col(learning.WEIGHT), F.col("breakdown_soon")
+    chance, heat = vector_to_array("probability")[1], F.col("temperature")
+    return scored.agg(
+        F.sum(weight).cast("bigint").alias("train_rows"),
+        F.sum(weight * label).cast("bigint").alias("failures"),
+        F.round(F.sum(weight * chance)).cast("bigint").alias("expected_failures"),
+        F.round(F.sum(weight * chance * heat) / F.sum(weight * label * heat), 3)
+        .alias("temperature_ratio"))
+
+
 @query("m5_split", sql("""
 SELECT reading_id, cast(('0x' || substring(md5(reading_id || ':42'), 1, 8)) AS bigint) % 100 < 80
                      AS training
@@ -1086,3 +1121,52 @@ SELECT reading_id, cast(next_temp AS double) AS next_temp FROM ({NEXT})"""))
 def _(t):
     stream = ingest.telemetry_stream(message_stream(t, "t7-in", again=False))
     return sequence.with_next(_written(stream, "t7")).select("reading_id", "next_temp")
+
+
+# -- the same operators on other keyed tables ----------------------------------------------------
+
+@table_query("a1_avg_price_by_flag", "lineitem", """
+SELECT l_returnflag, cast(round(avg(cast(l_extendedprice AS decimal(9,2))), 2) AS double)
+                       AS avg_price
+FROM lineitem GROUP BY l_returnflag""")
+def _(lines):
+    price = lines.select("l_returnflag",
+                         F.col("l_extendedprice").cast("decimal(9,2)").alias("price"))
+    return aggregates.avg_by_group(price, "l_returnflag", "price", 2, "avg_price", ordered=True)
+
+
+@table_query("w1_next_order_of_customer", "orders", """
+SELECT o_orderkey, lead(o_totalprice) OVER (PARTITION BY o_custkey
+                                            ORDER BY o_orderdate, o_orderkey) AS next_price
+FROM orders""")
+def _(orders):
+    return sequence.with_next(orders, "o_totalprice", "o_custkey", "o_orderdate", "o_orderkey",
+                              "next_price").select("o_orderkey", "next_price")
+
+
+@table_query("w2_latest_order_of_customer", "orders", """
+SELECT o_custkey, o_orderkey, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey
+                               ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders) WHERE rn = 1""")
+def _(orders):
+    return sequence.latest_per_key(orders, "o_custkey", ("o_orderdate", "o_orderkey")).select(
+        "o_custkey", "o_orderkey", "o_totalprice")
+
+
+@table_query("u2_first_line_of_order", "lineitem", """
+SELECT l_orderkey, l_linenumber, l_partkey, l_quantity FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_orderkey
+                               ORDER BY l_linenumber, l_partkey, l_quantity) AS rn
+  FROM lineitem) WHERE rn = 1""")
+def _(lines):
+    return sequence.dedupe(lines, "l_orderkey", ["l_linenumber", "l_partkey", "l_quantity"]).select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+
+
+@table_query("o1_newest_orders", "orders", """
+SELECT o_orderkey, o_custkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') AS o_orderdate
+FROM orders ORDER BY orders.o_orderdate DESC, o_orderkey DESC LIMIT 50""")
+def _(orders):
+    return sequence.newest(orders, 50, "o_orderdate", "o_orderkey").select(
+        "o_orderkey", "o_custkey", "o_orderdate")
