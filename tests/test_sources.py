@@ -249,3 +249,27 @@ def test_parquet_files_with_different_columns(spark, tmp_path):
     assert str(rows["b"]["txn_timestamp"]) == "2024-01-01 11:00:00.500000"
     assert (rows["a"]["vibration_hz"], rows["b"]["vibration_hz"]) == (None, 95.5)
     assert str(rows["a"]["cycle_temperature"]) == "71.25"
+
+
+def test_jdbc_merge_reads_all_before_it_writes(spark, readings, monkeypatch):
+    target = combine.log_rows(readings([("a", "M", 10, "2024-01-01")]))
+    batch = combine.log_rows(readings([("a", "M", 80, "2024-01-02"), ("b", "M", 5, "2024-01-02")]))
+    written = []
+    monkeypatch.setattr(jdbc, "read_table_jdbc", lambda *args: target)
+    monkeypatch.setattr(jdbc, "write_table_jdbc", lambda df, *args: written.append(df))
+    jdbc.merge_table_jdbc(batch, "jdbc:x", "readings_log")
+    rows = {r["reading_id"]: float(r["cycle_temperature"]) for r in written[0].collect()}
+    assert rows == {"a": 80.0, "b": 5.0}
+    assert written[0].inputFiles()               # files of the shared folder, not the table
+
+
+def test_heavy_date_is_written_by_several_tasks(spark, telemetry, tmp_path):
+    rows = telemetry.select(*schemas.READING.names).repartition(8)
+    rows = rows.withColumn("dt", F.lit("2024-01-01").cast("date"))
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16k")
+    try:
+        history.write_history(rows, str(tmp_path / "raw"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
+    landed = history.read_history(spark, str(tmp_path / "raw"))
+    assert len(landed.inputFiles()) > 2 and landed.count() == telemetry.count()

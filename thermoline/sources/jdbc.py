@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from thermoline.operators import combine
+from thermoline.session import materialize
+
 
 @dataclass(frozen=True)
 class Slices:
@@ -49,3 +53,17 @@ def write_table_jdbc(df: DataFrame, url: str, table: str,
     `connections` bounds what the database sees."""
     (df.write.format("jdbc").options(**write_options(url, table, properties, connections))
      .option("truncate", "true").mode(mode).save())
+
+
+def merge_table_jdbc(batch: DataFrame, url: str, table: str, key: str = "reading_id",
+                     update_cols: Sequence[str] | str = combine.LOG_UPDATES,
+                     order: Sequence[str] = ("txn_timestamp",),
+                     properties: dict[str, str] | None = None,
+                     slices: Slices | None = None) -> None:
+    """Merges a batch into a table by key. The merged rows are written to the shared folder
+    before the table is replaced: it must not be emptied while it is still being read, and a
+    failed load can be repeated from there."""
+    spark = batch.sparkSession
+    target = read_table_jdbc(spark, url, table, properties, slices)
+    merged = combine.merge_by_key(target, batch, key, update_cols, order)
+    write_table_jdbc(materialize(merged, "jdbc-merge"), url, table, properties)
