@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Callable, Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from thermoline.session import materialize
 
 #: The six bytes that part words.
 SPACES = " \t\n\x0b\x0c\r"
@@ -129,3 +137,69 @@ def blocks(sizes: list[int], most: int) -> list[tuple[int, int]]:
             first, total = i, 0
         total += size
     return [*out, (first, len(sizes))] if len(sizes) > first else out
+
+
+def library_path(spark: SparkSession) -> None:
+    """Python workers find this library where the driver found it, also if the driver's own
+    sys.path was set by hand. On a cluster the library is installed at one place on all nodes."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [known, root]))
+
+
+#: Texts of so many bytes together are handed to Python code at once, or a single longer one.
+PORTION = 4 << 20
+
+
+def arrow_map(df: DataFrame, column: str, made: list[T.StructField],
+              run: Callable[[pa.RecordBatch, list], list[pa.Array]],
+              portion: int = PORTION) -> DataFrame:
+    """`df` with the columns that `run` makes of each portion of rows: it gets the portion and the
+    values of `column`. Portions are bounded by bytes, so that long texts don't add up."""
+    schema = T.StructType([*df.schema.fields, *made])
+
+    def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+            for first, end in blocks(sizes, portion):
+                part = batch.slice(first, end - first)
+                new = run(part, part.column(column).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, *new], [
+                    *part.schema.names, *(f.name for f in made)])
+
+    return df.mapInArrow(portions, schema)
+
+
+#: A table of at most so many rows (of a few numbers each) may be sent to all executors.
+SMALL_ROWS = 100_000
+
+
+def small(df: DataFrame, name: str) -> DataFrame:
+    """`df`, computed and written; marked for a broadcast join only if it was counted to be small."""
+    written = materialize(df, name)
+    return F.broadcast(written) if written.count() <= SMALL_ROWS else written
+
+
+def bounded_sample(rows: DataFrame, group: str, max_rows: int, max_bytes: int) -> DataFrame:
+    """Rows (group, text) to learn from: of each group, in the order of a hash of the text, at most
+    `max_rows` different texts, until they hold an equal share of `max_bytes` (one in any case).
+    Rows without group or with a null or empty text are left out.
+
+    Up to 1,000 rows a group are cut in each task before anything is shuffled, so that a group with
+    most of the rows costs no more than others; texts move only once they are chosen.
+    """
+    named = rows.where(F.col(group).isNotNull() & (F.col("text") != "")).select(
+        F.col(group).alias("_group"), "text", F.xxhash64("text").alias("_h"))
+    keys = named.select("_group", "_h", F.octet_length("text").alias("size"))
+    first = keys.distinct().withColumn("rank", F.row_number().over(
+        Window.partitionBy("_group").orderBy("_h", "size"))).where(F.col("rank") <= max_rows)
+    groups = first.select("_group").distinct().agg(F.count("*")).scalar()
+    total = F.sum("size").over(Window.partitionBy("_group").orderBy("rank"))
+    chosen = small(first.withColumn("total", total).where(
+        (F.col("total") <= F.lit(max_bytes) / groups) | (F.col("rank") == 1)
+    ).select("_group", "_h", F.lit(True).alias("_take")), "sample")
+    return named.join(chosen, ["_group", "_h"]).select(
+        F.col("_group").alias(group), "text").distinct()

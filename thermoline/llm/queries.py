@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoline.llm import licences, lines, ngram_ratio, revisits
+from thermoline.llm import bpe, byte_cnn, chosen_path, licences, lines, ngram_ratio, ppm, revisits
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,12 @@ def op1_revisits(spark: SparkSession, folder: str) -> DataFrame:
     return done.withColumn("headers_md5", revisits.header_digest(F.col("headers"))).drop("headers")
 
 
+@query()
+def op2_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return chosen_path.near_duplicates(docs, shingle=3, percent=85).drop("text")
+
+
 @query(lines.SQL)
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
@@ -49,3 +55,36 @@ def op10_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
     trusted = table(spark, folder, "labels").where("quality = 1")
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return ngram_ratio.quality_rules(docs, trusted).drop("text")
+
+
+@query()
+def op4_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    models = ppm.learn(docs.where(~held_out).select("lang", "text"))
+    done = ppm.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), models)
+    return done.drop("text")
+
+
+@query()
+def op5_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1
+    network = byte_cnn.learn(docs.where(~held_out), table(spark, folder, "labels"))
+    done = byte_cnn.classify(docs.withColumn("held_out", held_out), network)
+    return done.drop("text")
+
+
+@query()
+def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path, pattern = tokenizer()
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    done = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+def tokenizer() -> tuple[str, str]:
+    """File and pattern of the public vocabulary that the queries use."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
