@@ -10,7 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thermoline.llm.common import FOLD, blocks, library_path, mix, others, words_by_text
+from thermoline.llm.common import (
+    FOLD,
+    arrow_groups,
+    blocks,
+    library_path,
+    mix,
+    others,
+    words_by_text,
+)
 from thermoline.llm.components import connected_components
 from thermoline.session import materialize
 
@@ -141,7 +149,7 @@ def _agreeing(limit: int):
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for node in _groups(batches, "node"):
+        for node in arrow_groups(batches, "node"):
             out = edges(node["id"], np.frombuffer(b"".join(node["mh"]), ">u4").reshape(-1, COORDS))
             if out:
                 yield pa.RecordBatch.from_arrays(
@@ -150,33 +158,13 @@ def _agreeing(limit: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
-    """Rows with one key, which must lie together, as lists by column; batches may cut groups."""
-    held, last = None, None
-    for batch in batches:
-        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
-        keys = columns[key]
-        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            part = {name: values[a:b] for name, values in columns.items()}
-            if held is not None and part[key][0] == last:
-                for name, values in part.items():
-                    held[name].extend(values)
-            else:
-                if held is not None:
-                    yield held
-                held, last = part, part[key][0]
-    if held is not None:
-        yield held
-
-
 def _verify(shingle: int, percent: int):
     """Links within each cell: forests of the pairs whose full sets are similar enough. Rows of
     one `side` of a cell (0 or 1) are compared with the other side only, those of side 2 with all;
     documents that have one `label` already are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for cell in _groups(batches, "cell"):
+        for cell in arrow_groups(batches, "cell"):
             ids = np.array(cell["id"])
             sets = shingle_sets(cell["text"], shingle)
             links = _forest(intersections(sets), np.array([len(s) for s in sets]),

@@ -203,3 +203,23 @@ def bounded_sample(rows: DataFrame, group: str, max_rows: int, max_bytes: int) -
     ).select("_group", "_h", F.lit(True).alias("_take")), "sample")
     return named.join(chosen, ["_group", "_h"]).select(
         F.col("_group").alias(group), "text").distinct()
+
+
+def arrow_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
+    """Rows with one key, which must lie together, as lists by column; batches may cut groups."""
+    held, last = None, None
+    for batch in batches:
+        columns = {name: batch.column(name).to_pylist() for name in batch.schema.names}
+        keys = columns[key]
+        cuts = [0, *(i for i in range(1, len(keys)) if keys[i] != keys[i - 1]), len(keys)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            part = {name: values[a:b] for name, values in columns.items()}
+            if held is not None and part[key][0] == last:
+                for name, values in part.items():
+                    held[name].extend(values)
+            else:
+                if held is not None:
+                    yield held
+                held, last = part, part[key][0]
+    if held is not None:
+        yield held

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoline.llm import bpe, byte_cnn, chosen_path, licences, lines, ngram_ratio, ppm, revisits
+from thermoline.llm import (
+    bpe,
+    byte_cnn,
+    chosen_path,
+    licences,
+    lines,
+    ngram_ratio,
+    ppm,
+    revisits,
+    suffix_merge,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -57,6 +67,15 @@ def op10_ngram_ratio(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_ratio.quality_rules(docs, trusted).drop("text")
 
 
+@query()
+def op3_suffix_merge(spark: SparkSession, folder: str) -> DataFrame:
+    done = suffix_merge.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["begin"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"),
+                       F.size("spans").cast("long").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_ppm_language(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
