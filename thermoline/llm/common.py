@@ -97,18 +97,19 @@ def window_codes(block: np.ndarray, width: int) -> np.ndarray:
     return mix((sums[width:] - sums[:n]) * POWERS.to(n)[1][:n])
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start and 64-bit hash of each word of `data`; blocks end between words."""
+def word_hashes(data: bytes, space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of each word of `data`; blocks end between words. `space` marks the
+    bytes that part words."""
     raw = np.frombuffer(data, np.uint8)
     starts, hashes, at = [], [], 0
     while at < len(raw):
         end = min(len(raw), at + _BLOCK)
-        while end < len(raw) and not _IS_SPACE[raw[end]]:
-            more = np.flatnonzero(_IS_SPACE[raw[end:end + _BLOCK]])
+        while end < len(raw) and not space[raw[end]]:
+            more = np.flatnonzero(space[raw[end:end + _BLOCK]])
             end = end + int(more[0]) if len(more) else min(len(raw), end + _BLOCK)
         block = raw[at:end]
         word = np.zeros(len(block) + 2, np.int8)
-        word[1:-1] = ~_IS_SPACE[block]
+        word[1:-1] = ~space[block]
         edges = np.diff(word)
         first, last = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
         sums = prefix_codes(block)
@@ -121,10 +122,11 @@ def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(starts), np.concatenate(hashes)
 
 
-def words_by_text(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def words_by_text(texts: list[bytes],
+                  space: np.ndarray = _IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and where each text's words begin (one more at the end)."""
     begins = np.cumsum([0, *(len(t) + 1 for t in texts)])
-    starts, hashes = word_hashes(b" ".join(texts))
+    starts, hashes = word_hashes(b" ".join(texts), space)
     return hashes, np.searchsorted(starts, begins)
 
 

@@ -11,6 +11,7 @@ from thermoline.llm import (
     bpe,
     byte_cnn,
     chosen_path,
+    latent,
     licences,
     lines,
     ngram_ratio,
@@ -48,6 +49,12 @@ def op2_chosen_path(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.near_duplicates(docs, shingle=3, percent=85).drop("text")
 
 
+@query()
+def op6_latent_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return latent.contaminated(docs, table(spark, folder, "benchmark"))
+
+
 @query(lines.SQL)
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     done = lines.drop_repeated_lines(table(spark, folder, "documents").select("doc_id", "text"))
