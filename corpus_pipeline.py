@@ -3,34 +3,51 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from thermoline.llm import lines, ngram_ratio
-from thermoline.llm.queries import table
+from thermoline.llm import bpe, chosen_path, latent, lines, ngram_ratio
+from thermoline.llm.queries import table, tokenizer
 from thermoline.session import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep; the raw corpus is what comes in."""
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the rules keep; the raw corpus is what comes in."""
     trusted = table(spark, sf_dir, "labels").where("quality = 1")
     return ngram_ratio.quality_rules(docs, trusted).where("kept").select(*docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the lines that three or more of them hold, but for one each."""
+    """All documents; lines that three or more of them hold stay in the last one."""
     done = lines.drop_repeated_lines(docs)
-    return done.withColumn("n_chars", _length(done)).select(*docs.columns)
+    return done.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shingles of five words and a similarity of 0.8 link."""
+    return chosen_path.near_duplicates(docs, shingle=5, percent=80).where("kept").select(
+        *docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that hold no benchmark item."""
+    hits = latent.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    held = materialize(hits.select("doc_id").distinct(), "contaminated")
+    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
 
 
-def _length(docs: DataFrame):
-    from pyspark.sql import functions as F
-    return F.char_length("text").cast("long")
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, and whether decoding them gives its text again."""
+    path, pattern = tokenizer()
+    done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids",
+                       F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("same"))
 
 
-STAGES = [("quality", quality), ("line_dedup", line_dedup)]
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup),
+          ("near_duplicates", near_duplicates), ("decontamination", decontamination),
+          ("tokens", tokens)]
 
-#: SQL cannot express the search for near duplicates.
+#: SQL cannot express the search for near duplicates, the latent space or the encoding.
 ORACLE_SQL = None
 
 
