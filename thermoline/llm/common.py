@@ -30,6 +30,15 @@ def others(df: DataFrame, made: list[str]) -> list[Column]:
     return [df[f"`{name}`"] for name in df.columns if name.lower() not in taken]
 
 
+def sheltered(docs: DataFrame, made: list[str]) -> tuple[DataFrame, list[Column]]:
+    """`docs` under names that clash with nothing: doc, text, and _k0, _k1 ... for all columns
+    that stay, with the expressions that give these their names back."""
+    stay = [c for c in docs.columns if c.lower() not in {m.lower() for m in made}]
+    return (docs.select(F.col("doc_id").alias("doc"), F.col("text"),
+                        *[docs[f"`{c}`"].alias(f"_k{i}") for i, c in enumerate(stay)]),
+            [F.col(f"_k{i}").alias(c) for i, c in enumerate(stay)])
+
+
 def fold_ascii(text: Column) -> Column:
     """A-Z in lower case and nothing else; `lower` suffices where all is ASCII."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoline.llm.common import others
+from thermoline.llm.common import sheltered
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS '
@@ -134,12 +134,14 @@ def scan_licences(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     hits = hits.join(copies, hits["doc"].eqNullSafe(copies["doc"]) & (hits["row"] == copies["row"])
                      ).select(hits["doc"], hits["row"], "whole_licence", "names",
                               (F.col("n") / F.col("copies")).cast("long").alias("n"))
-    keyed = docs.withColumn("_row", F.xxhash64("text"))
-    return keyed.join(hits, keyed["doc_id"].eqNullSafe(hits["doc"])
-                      & (keyed["_row"] == hits["row"]), "left").select(
-        *others(keyed, [*MADE, "_row"]), hits["whole_licence"],
-        F.coalesce(hits["n"], F.lit(0)).cast("long").alias("n_notices"),
-        F.coalesce(F.array_join(F.array_sort(hits["names"]), ","), F.lit("")).alias("notices"))
+    mine, names = sheltered(docs, MADE)
+    found = hits.select(F.col("doc").alias("_doc"), F.col("row").alias("_hit"), "whole_licence",
+                        "names", "n")
+    return mine.withColumn("row", F.xxhash64("text")).join(
+        found, F.col("doc").eqNullSafe(F.col("_doc")) & (F.col("row") == F.col("_hit")),
+        "left").select(
+            *names, "whole_licence", F.coalesce("n", F.lit(0)).cast("long").alias("n_notices"),
+            F.coalesce(F.array_join(F.array_sort("names"), ","), F.lit("")).alias("notices"))
 
 
 def sql() -> str:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from thermoline.llm.common import arrow_map, bounded_sample, library_path, others
+from thermoline.llm.common import arrow_map, bounded_sample, library_path, sheltered
 
 #: Longest context in bytes, and bounds of the sample that the models are learnt from.
 ORDER = 4
@@ -159,7 +159,7 @@ class Models:
         owner = np.repeat(np.arange(len(texts)), lengths)
         keys = np.zeros(len(raw), np.int64)
         for back in range(self.order, -1, -1):
-            keys[back:] |= raw[:len(raw) - back] << (8 * back)
+            keys[back:] |= raw[:max(0, len(raw) - back)] << (8 * back)
         # Most bytes are found in the longest context: one look-up, one sum for each text.
         full = np.flatnonzero(behind >= self.order)
         table = self.tables[self.order]
@@ -227,7 +227,7 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
 
     def run(rows: pa.RecordBatch, texts: list) -> list[pa.Array]:
         own = shared.value
-        some = [i for i, spoken in enumerate(rows.column("_spoken").to_pylist())
+        some = [i for i, spoken in enumerate(rows.column("spoken").to_pylist())
                 if spoken and own.langs]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
         raw = [texts[i].encode() for i in some]
@@ -241,10 +241,10 @@ def identify(docs: DataFrame, models: Models) -> DataFrame:
                 langs[i], scores[i] = lang, s
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
-    marked = docs.select(*others(docs, [*MADE, "_spoken"]),
-                         F.col("text").rlike(r"\p{L}").alias("_spoken"))
+    mine, names = sheltered(docs, MADE)
+    marked = mine.withColumn("spoken", F.col("text").rlike(r"\p{L}"))
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return arrow_map(marked, "text", made, run, portion=1 << 20).drop("_spoken")
+    return arrow_map(marked, "text", made, run, portion=1 << 20).select(*names, *MADE)
 
 
 #: Longer texts are coded in pieces, so that memory is bounded whatever the length.

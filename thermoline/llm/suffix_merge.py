@@ -216,16 +216,17 @@ def _codes(runs: DataFrame, bits: int) -> DataFrame:
                 own = Run(row)
                 own.anchors()
                 codes, twice, _ = own.known_codes()
+                if not len(codes):
+                    continue
                 range_ = ranges(codes, bits)
                 keys = (codes >> np.uint64(32 - bits)).astype("<u4")
-                cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]]) if len(codes) else []
+                cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
                 out = [(int(range_[a]), row["run"], keys[a:b].tobytes(),
                         np.packbits(twice[a:b]).tobytes())
                        for a, b in zip(cut, np.append(cut[1:], len(codes)), strict=True)]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in zip(*out, strict=True)],
-                        ["range", "run", "keys", "twice"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in zip(*out, strict=True)],
+                    ["range", "run", "keys", "twice"])
 
     return runs.select("run", "ids", "sizes", "body").mapInArrow(
         run, "range long, run long, keys binary, twice binary")
