@@ -44,7 +44,7 @@ def readings(spark):
     def build(rows, **constants):
         data = [(r[0], r[1], None if r[2] is None else Decimal(str(r[2])), r[3]) for r in rows]
         df = spark.createDataFrame(
-            data, "reading_id string, machine_id string, cycle_temperature decimal(5,2), "
+            data, "reading_id string, machine_id string, cycle_temperature decimal(9,2), "
                   "txn_timestamp string")
         df = df.withColumn("txn_timestamp", F.col("txn_timestamp").cast("timestamp"))
         defaults = {"branch": "Huye", "vibration_hz": 50.0, "power_kw": 2.0,

@@ -55,21 +55,22 @@ def test_to_number(spark):
 
 
 def test_wild_numbers_do_not_fail_the_job(spark):
-    df = spark.createDataFrame([("1e9", "1e12"), ("-1e9", "x"), ("999.994", "1.0")],
+    df = spark.createDataFrame([("1500", "1e12"), ("-1e9", "x"), ("999.994", "1.0")],
                                "cycle_temperature string, breakdown_soon string")
     rows = cleaning.classify_status(cleaning.canonicalize(df)).collect()
     assert [(str(r["cycle_temperature"]), r["status"], r["breakdown_soon"]) for r in rows] == [
-        ("999.99", "ALERT", None), ("-999.99", "NORMAL", None), ("999.99", "ALERT", 1)]
-    doubles = spark.createDataFrame([(1e9,), (float("nan"),)], "cycle_temperature double")
+        ("1500.00", "ALERT", None), ("None", "NORMAL", None), ("999.99", "ALERT", 1)]
+    doubles = spark.createDataFrame([(1e6,), (1e9,), (float("nan"),)],
+                                    "cycle_temperature double")
     assert [r[0] for r in cleaning.canonicalize(doubles).select("cycle_temperature").collect()] \
-        == [Decimal("999.99"), None]
+        == [Decimal("1000000.00"), None, None]
 
 
 def test_machine_number(spark):
     df = column(spark, ["WM_0007", "WM_12AB", "WM_ABCD", "WM_", "", None, "XX_1000",
                         "WM_99999999999999999999"])
     assert results(df, parse.machine_number(F.col("v"))) == [
-        7, 12, 0, 0, 0, None, 1000, 999999999999999999]
+        7, 12, 0, 0, 0, None, 1000, 2 ** 63 - 1]
 
 
 def test_sensor_estimates(spark):

@@ -97,11 +97,17 @@ def test_training_and_scoring_jobs(spark, telemetry, tmp_path):
         models.load_model([model + "-gone"])
 
 
-def test_too_many_branches_is_an_error(spark, monkeypatch):
-    monkeypatch.setattr(learning, "MAX_BRANCHES", 2)
-    df = spark.createDataFrame([(b, 1.0) for b in "abc"], "branch string, weight double")
-    with pytest.raises(ValueError, match="more than 2 values of branch"):
-        learning.index_branch(df)
+def test_index_of_many_values(spark):
+    df = spark.range(12_000).select(F.col("id").cast("string").alias("branch"))
+    assert len(learning.index_branch(df).labels) == 12_000
+
+
+def test_damaged_model_is_an_error(spark, tmp_path):
+    from thermoline.sources import models
+    (tmp_path / "bad" / "metadata").mkdir(parents=True)
+    (tmp_path / "bad" / "metadata" / "part-00000").write_text("{")
+    with pytest.raises(Exception):
+        models.load_model([str(tmp_path / "bad"), str(tmp_path / "gone")])
 
 
 def test_given_coefficients_match_the_model(telemetry, labelled):

@@ -5,6 +5,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from thermoline import constants as C
@@ -83,7 +84,7 @@ def test_next_of_equal_times_and_last(readings):
     df = readings([("b", "M", 2, "2024-01-01 10:00:00"), ("a", "M", 1, "2024-01-01 10:00:00"),
                    ("c", "M", 3, "2024-01-02 00:00:00"), ("x", "N", 9, "2024-01-01"),
                    ("n", None, 5, "2024-01-01"), ("m", None, 6, "2024-01-02")])
-    for grain in (None, "month", "day", "second", "instant"):
+    for grain in sequence.GRAINS:
         found = {r["reading_id"]: r["next_temp"]
                  for r in sequence.with_next(df, grain=grain).collect()}
         assert found == {"a": 2, "b": 3, "c": None, "x": None, "n": None, "m": None}, grain
@@ -92,36 +93,31 @@ def test_next_of_equal_times_and_last(readings):
 def test_null_value_is_a_next_value(readings):
     df = readings([("a", "M", 1, "2024-01-01"), ("b", "M", None, "2024-01-02"),
                    ("c", "M", 3, "2024-01-03")])
-    for grain in (None, "day"):
+    for grain in ("year", "day"):
         found = {r[0]: r[1] for r in sequence.with_next(df, grain=grain)
                  .select("reading_id", "next_temp").collect()}
         assert found == {"a": None, "b": 3, "c": None}
 
 
-def test_grain_follows_the_data(readings):
-    even = readings([(f"r{i}", "M", 1, f"2024-01-{i % 28 + 1:02d} 00:00:{i % 60:02d}")
-                     for i in range(56)])
-    args = ("machine_id", "txn_timestamp", "reading_id")
-    assert sequence.choose_grain(even, *args, 56) is None
-    assert sequence.choose_grain(even, *args, 2) == "day"
-    same = readings([(f"{i:04d}", "M", i % 90, "2024-01-01") for i in range(40)])
-    assert sequence.choose_grain(same, *args, 5) == "instant"
-    plain = sequence.with_next(same, grain=None)
-    cut = sequence.with_next(same, rows_per_task=5)
-    assert plain.exceptAll(cut).isEmpty() and cut.count() == 40
+def test_next_of_many_rows_of_one_instant(readings):
+    same = readings([(f"same-{i:04d}", "M", i % 90, "2024-01-01") for i in range(40)])
+    found = {r["reading_id"]: r["next_temp"] for r in sequence.with_next(same).collect()}
+    assert found == {f"same-{i:04d}": (i + 1) % 90 if i < 39 else None for i in range(40)}
+    with pytest.raises(ValueError):
+        sequence.with_next(same, grain="hour")
 
 
 @settings(max_examples=6, deadline=None,
           suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=st.lists(st.tuples(st.sampled_from("AB"), st.integers(0, 3), st.integers(0, 50)),
-                     min_size=1, max_size=25), limit=st.integers(1, 4))
-def test_next_in_slices_equals_plain(spark, readings, rows, limit):
-    df = readings([(f"{i:03d}", machine, temp, f"2024-01-01 00:0{minute}:00")
-                   for i, (machine, minute, temp) in enumerate(rows)])
-    pick = ("reading_id", "next_temp")
-    plain = sorted(sequence.with_next(df, grain=None).select(*pick).collect())
-    sliced = sorted(sequence.with_next(df, rows_per_task=limit).select(*pick).collect())
-    assert str(plain) == str(sliced)
+@given(rows=st.lists(st.tuples(st.sampled_from("AB"), st.integers(1, 4), st.integers(0, 50)),
+                     min_size=1, max_size=25))
+def test_next_in_slices_equals_plain(spark, readings, rows):
+    df = readings([(f"{i:03d}", machine, temp, f"2024-01-0{day} 00:00:00")
+                   for i, (machine, day, temp) in enumerate(rows)])
+    window = Window.partitionBy("machine_id").orderBy("txn_timestamp", "reading_id")
+    plain = df.select("reading_id", F.lead("cycle_temperature").over(window).alias("next_temp"))
+    sliced = sequence.with_next(df).select("reading_id", "next_temp")
+    assert str(sorted(plain.collect())) == str(sorted(sliced.collect()))
 
 
 def test_latest_breaks_ties_by_id(readings):
@@ -131,11 +127,12 @@ def test_latest_breaks_ties_by_id(readings):
     assert [r["reading_id"] for r in rows] == ["b"]
 
 
-def test_dedupe_leaves_out_rows_without_id(readings):
+def test_dedupe_and_rows_without_id(readings):
     df = readings([("a", "M", 1, "2024-01-01"), ("a", "M", 2, "2024-01-02"),
-                   (None, "M", 3, "2024-01-01")])
-    rows = sequence.dedupe(df).collect()
-    assert [(r["reading_id"], r["cycle_temperature"]) for r in rows] == [("a", 1)]
+                   (None, "M", 3, "2024-01-01"), (None, "M", 3, "2024-01-01")])
+    rows = [(r["reading_id"], r["cycle_temperature"]) for r in sequence.dedupe(df).collect()]
+    assert sorted(rows, key=str) == [("a", 1), (None, 3), (None, 3)]
+    assert sequence.dedupe(df, keep_keyless=False).count() == 1
 
 
 def log(readings, rows, **constants):
@@ -198,18 +195,16 @@ def test_recent_prefers_earlier_source(readings):
     assert [r["reading_id"] for r in normal] == ["b", "c"]
 
 
-def test_newest_first_widens_for_older_copies(readings):
+def test_listing_looks_for_older_copies(readings):
     raw = readings([(f"r{i:02d}", "M", i, f"2024-01-{i:02d}") for i in range(1, 31)])
     raw = raw.withColumn("dt", F.to_date("txn_timestamp"))
     nothing = readings([])
     # The log holds r30 with a time far back and another status: it must not be listed.
     lines = log(readings, [("r30", "M", 90, "2024-01-02")], status="ALERT")
-    for wanted in ({}, {"status": "normal"}, {"machine_id": "m"}, {"branch": "none"}):
-        plain = combine.recent_telemetry(nothing, lines, raw, 3, **wanted).collect()
-        stepped = combine.newest_first(nothing, lines, raw, 3, **wanted).collect()
-        assert plain == stepped
-    listed = combine.newest_first(nothing, lines, raw, 3, status="normal").collect()
+    listed = combine.recent_telemetry(nothing, lines, raw, 3, status="normal").collect()
     assert [r["reading_id"] for r in listed] == ["r29", "r28", "r27"]
+    assert combine.recent_telemetry(nothing, lines, raw, 3, machine_id="m").count() == 3
+    assert combine.recent_telemetry(nothing, lines, raw, 3, branch="none").count() == 0
 
 
 def test_predictions_join_keeps_machines_without_one(spark, readings):
@@ -239,7 +234,7 @@ def test_next_with_numeric_ties(spark):
     rows = [(1, i, 1.0 * i) for i in (9, 10, 100, 11)] + [(2, 5, 0.5)]
     df = spark.createDataFrame(rows, "k int, n long, v double").withColumn(
         "t", F.lit("2024-01-01").cast("timestamp"))
-    for grain in (None, "day", "instant"):
+    for grain in ("year", "day"):
         found = {r["n"]: r["next"] for r in
                  sequence.with_next(df, "v", "k", "t", "n", "next", grain).collect()}
         assert found == {9: 10.0, 10: 11.0, 11: 100.0, 100: None, 5: None}

@@ -26,7 +26,10 @@ def test_mixed_tree_with_both_time_names(spark, readings, tmp_path):
         + '{"reading_id": broken\n')
     (folder / "notes.txt").write_text("not data")
     rows = {r["reading_id"]: r for r in history.load_history(spark, path).collect()}
-    assert set(rows) == {"a", "b", None}          # a broken line is a row without fields
+    assert set(rows) == {"a", "b"}
+    refused = history.rejected_lines(spark, path).collect()
+    assert [(str(r["dt"]), r["line"], r["reject_reason"]) for r in refused] == [
+        ("2024-01-01", '{"reading_id": broken', "Invalid JSON body")]
     assert str(rows["b"]["txn_timestamp"]) == "2024-01-01 11:00:00.500000"
     assert str(rows["b"]["dt"]) == "2024-01-01" and rows["b"]["breakdown_soon"] == 1
     assert history.load_history(spark, path, dedupe=True).count() == 2
@@ -85,13 +88,17 @@ def test_records_survive_encoding(spark, telemetry):
     assert back.exceptAll(rows).isEmpty()
 
 
-def test_bad_message_becomes_a_typed_row(spark):
-    df = spark.createDataFrame([(b"M", b'{"cycle_temperature": "hot"}'), (b"M", b"junk")],
+def test_bad_messages_are_set_aside(spark):
+    df = spark.createDataFrame([(b"M", b'{"cycle_temperature": "hot"}'), (b"M", b"junk"), (b"M", b"[1,2]")],
                                "key binary, value binary")
     now = F.lit("2024-01-01").cast("timestamp")
-    rows = topic.normalize_records(topic.decode_records(df), now=now).collect()
+    checked = topic.check_records(df)
+    assert [r["reject_reason"] for r in checked.collect()] == [
+        None, "Invalid JSON body", "Payload must be a JSON object"]
+    good = topic.decode_records(checked.filter("reject_reason is null"))
+    rows = topic.normalize_records(good, now=now).collect()
     assert [(float(r["cycle_temperature"]), r["status"], str(r["txn_timestamp"]))
-            for r in rows] == [(0.0, "NORMAL", "2024-01-01 00:00:00")] * 2
+            for r in rows] == [(0.0, "NORMAL", "2024-01-01 00:00:00")]
 
 
 def test_versioned_table(spark, tmp_path):
@@ -138,15 +145,12 @@ def test_materialize(spark, telemetry):
     assert kept.exceptAll(small).isEmpty() and len(kept.inputFiles()) > 0
 
 
-def test_shuffle_partitions():
-    assert session.shuffle_partitions(100 * 2 ** 40, 4000) == 819200
-    assert session.shuffle_partitions(10, 8) == 24
-
-
 def test_insights_job(spark, telemetry, tmp_path):
     raw, out = str(tmp_path / "raw"), str(tmp_path / "out")
     history.write_history(dated(telemetry).select(*schemas.READING.names, "dt"), raw)
-    shown = json.loads(insights.run_insights(spark, raw, out, top_n=5).first()[0])
+    insights.run_insights(spark, raw, out, top_n=5)
+    shown = json.loads(insights.snapshot(insights.insights(insights.profile(telemetry)),
+                                         5).first()[0])
     assert list(shown) == ["avg_by_branch", "time_in_alert", "busiest_hour",
                            "good_condition_count", "normal_temp_count", "total_machines"]
     assert len(shown["time_in_alert"]) == 5 and len(shown["avg_by_branch"]) == 13
@@ -154,7 +158,12 @@ def test_insights_job(spark, telemetry, tmp_path):
     assert {r["branch"]: r["avg_temperature"] for r in shown["avg_by_branch"]} == means
     whole = spark.read.parquet(f"{out}/time_in_alert")
     assert whole.exceptAll(aggregates.alert_counts(telemetry)).isEmpty()
-    insights.run_insights(spark, raw, out)        # replaces its results
+    again = insights.run_insights(spark, raw, out)        # replaces its results
+    files = sorted(p for p in os.listdir(f"{out}/latest_insights") if p.startswith("part-"))
+    text = "".join(open(f"{out}/latest_insights/{p}").read() for p in files)
+    machines = json.loads(text)["time_in_alert"]
+    assert len(machines) == aggregates.alert_counts(telemetry).count() < again.count()
+    assert machines == sorted(machines, key=lambda m: (-m["alert_count"], m["machine_id"]))
     report = reports.insights_report(spark, out)
     assert report["top_overheating_machines"].collect() == aggregates.top_overheating(
         telemetry).collect()
@@ -163,12 +172,6 @@ def test_insights_job(spark, telemetry, tmp_path):
     assert report["fleet_health_summary"].first()["total_machines"] == telemetry.count()
 
 
-def test_snapshot_refuses_to_list_without_end(spark, telemetry, monkeypatch):
-    monkeypatch.setattr(insights, "MAX_LISTED", 3)
-    with pytest.raises(Exception, match="avg_by_branch: more than 3 rows"):
-        insights.snapshot(insights.insights(insights.profile(telemetry))).collect()
-
-
 def test_reports(spark, telemetry):
     from thermoline.operators import sequence
     raw = dated(telemetry)
@@ -231,6 +234,9 @@ def test_publish(spark, telemetry, tmp_path):
         copied, given = (spark.read.parquet(f"{p}/{name}") for p in (target, source))
         assert copied.exceptAll(given).isEmpty() and copied.count() == given.count()
     assert not os.path.exists(f"{target}/predictions")
+    assert os.path.exists(f"{target}/insights/latest_insights/_SUCCESS")
+    held = {r["folder"] for r in publish.store_report(spark, target).collect()}
+    assert "insights/fleet_health" in held and "raw/dt=2024-01-01" in held
 
 
 def test_parquet_files_with_different_columns(spark, tmp_path):
@@ -244,7 +250,8 @@ def test_parquet_files_with_different_columns(spark, tmp_path):
     folder = str(tmp_path / "dt=2024-01-01")
     plain.write.mode("append").parquet(folder)
     sink.write.mode("append").parquet(folder)
-    rows = {r["reading_id"]: r for r in history.load_history(spark, str(tmp_path)).collect()}
+    rows = {r["reading_id"]: r for r in history.load_history(
+        spark, str(tmp_path), merge_schema=True).collect()}
     assert str(rows["a"]["txn_timestamp"]) == "2024-01-01 10:00:00"
     assert str(rows["b"]["txn_timestamp"]) == "2024-01-01 11:00:00.500000"
     assert (rows["a"]["vibration_hz"], rows["b"]["vibration_hz"]) == (None, 95.5)

@@ -32,6 +32,7 @@ REQUIRED_FIELDS = ("machine_id", "branch", "cycle_temperature", "timestamp", "st
 MISSING_FIELD = "Missing required field: "
 INVALID_JSON = "Invalid JSON body"
 NOT_AN_OBJECT = "Payload must be a JSON object"
+UNREADABLE_TIME = "Unreadable time"
 
 # estimate = base + (temperature * slope) mod span, rounded to `digits`
 SENSOR_ESTIMATES = {

@@ -25,11 +25,8 @@ def to_number(value: Column, default: float | None) -> Column:
 
 
 def to_decimal(number: Column, kind: DecimalType) -> Column:
-    """Rounded decimal. A number beyond its range takes the nearest value in range, so that one
-    wild reading neither fails a job nor changes sides of a threshold."""
-    top = 10 ** (kind.precision - kind.scale) - 10 ** -kind.scale
-    within = F.when(number > top, F.lit(top)).when(number < -top, F.lit(-top)).otherwise(number)
-    return within.cast(kind)
+    """Rounded decimal. A number beyond the type's range is no value of it: null."""
+    return number.try_cast(kind)
 
 
 def parse_timestamp(value: Column) -> Column:
@@ -40,9 +37,12 @@ def parse_timestamp(value: Column) -> Column:
 
 
 def machine_number(machine_id: Column) -> Column:
-    """Number after the three-character prefix: leading digits, none → 0."""
-    digits = F.regexp_extract(F.substr(machine_id, F.lit(4)), r"^\s*0*([0-9]{1,18})", 1)
-    return F.when(machine_id.isNotNull(), F.coalesce(digits.try_cast("bigint"), F.lit(0)))
+    """Number after the three-character prefix: leading digits, none → 0. A number that is too
+    long for a bigint is the largest one, and so out of any range."""
+    digits = F.regexp_extract(F.substr(machine_id, F.lit(4)), r"^\s*0*([0-9]+)", 1)
+    number = F.when(digits == "", F.lit(0)).otherwise(
+        F.coalesce(digits.try_cast("bigint"), F.lit(2 ** 63 - 1)))
+    return F.when(machine_id.isNotNull(), number)
 
 
 def hash_id(*parts: Column) -> Column:

@@ -15,6 +15,9 @@ from thermoline.functions import rules, values
 
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
 
+# What tells one message from another with the same content.
+IDENTITY = ("topic", "partition", "offset", "file", "position")
+
 
 def _or_null(df: DataFrame, name: str, kind: str = "string") -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(kind)
@@ -56,7 +59,7 @@ def parse_payload(df: DataFrame, column: str = "body",
 
 def canonicalize(df: DataFrame) -> DataFrame:
     """One name and type per field: `txn_timestamp` (else `timestamp`) as timestamp,
-    temperature as decimal(5,2), sensors as double, flag as int. Sensor columns that are
+    temperature as decimal, sensors as double, flag as int. Sensor columns that are
     absent appear as nulls; other columns pass through."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
 
@@ -88,31 +91,41 @@ def canonicalize(df: DataFrame) -> DataFrame:
 
 
 def normalize_timestamp(df: DataFrame, source: str = "timestamp", out: str = "txn_timestamp",
-                        now: Column | None = None) -> DataFrame:
-    """Parsed event time; missing or unreadable → `now`."""
+                        now: Column | None = None, unreadable: str | None = None) -> DataFrame:
+    """Parsed event time; missing or unreadable → `now`. With `unreadable` a column of that name
+    tells which rows had a time that could not be read, so that they can be set aside."""
     fallback = F.current_timestamp() if now is None else now
-    return df.withColumn(out, F.coalesce(values.parse_timestamp(F.col(source)), fallback))
+    parsed = values.parse_timestamp(F.col(source))
+    made = {out: F.coalesce(parsed, fallback)}
+    if unreadable is not None:
+        given = F.trim(F.col(source).cast("string")) != ""
+        made[unreadable] = F.coalesce(given & parsed.isNull(), F.lit(False))
+    return df.withColumns(made)
 
 
 def normalize_temperature(df: DataFrame, column: str = "cycle_temperature",
                           default: float = C.DEFAULT_TEMPERATURE) -> DataFrame:
-    """Number or `default`, as decimal(5,2)."""
-    number = values.to_number(F.col(column), default)
-    return df.withColumn(column, values.to_decimal(number, schemas.TEMPERATURE))
+    """Number or `default`, as decimal. Text that is no number, or none that the type holds,
+    counts as missing."""
+    number = values.to_decimal(values.to_number(F.col(column), None), schemas.TEMPERATURE)
+    return df.withColumn(column, F.coalesce(
+        number, F.lit(float(default)).cast(schemas.TEMPERATURE)))
 
 
 def impute_reading(df: DataFrame, now: Column | None = None,
                    fill_id: Column | None = None) -> DataFrame:
     """Fills what a reading lacks: id, branch, temperature, sensors, error code, time, status
-    and flag. The default id is a hash of the reading, so that a replay gives the same id."""
+    and flag. The default id is a hash of where the message came from (those of IDENTITY that the
+    table has) and of all its fields: a replay gives the same id, and two messages that differ in
+    any field, or come from different places, never share one."""
     out = df
     for name in ("reading_id", "branch", "vibration_hz", "power_kw", "water_pressure_bar",
                  "error_code", "timestamp", "status", "breakdown_soon"):
         if name not in out.columns:
             out = out.withColumn(name, F.lit(None).cast("string"))
     if fill_id is None:
-        fill_id = values.hash_id(F.col("machine_id"), F.col("timestamp"),
-                                 F.col("cycle_temperature"), F.col("vibration_hz"))
+        fill_id = values.hash_id(*[F.col(n) for n in (*IDENTITY, *schemas.MESSAGE.names)
+                                   if n in out.columns])
     out = out.withColumn("reading_id", F.coalesce("reading_id", fill_id))
     out = normalize_temperature(out)
     temperature = F.col("cycle_temperature")
@@ -136,7 +149,8 @@ def impute_reading(df: DataFrame, now: Column | None = None,
 def backfill_sensors(df: DataFrame) -> DataFrame:
     """Sensor and error columns for log rows, which carry none."""
     temperature = F.coalesce(F.col("cycle_temperature"),
-                             F.lit(Decimal(str(C.DEFAULT_TEMPERATURE))).cast("decimal(5,2)"))
+                             F.lit(Decimal(str(C.DEFAULT_TEMPERATURE)))
+                             .cast(schemas.TEMPERATURE))
     filled = {s: F.coalesce(_or_null(df, s, "double"), rules.sensor_estimate(temperature, s))
               for s in C.SENSOR_ESTIMATES}
     filled["error_code"] = F.coalesce(_or_null(df, "error_code"),
@@ -216,7 +230,8 @@ def repair_status(df: DataFrame, fill_id: Column | None = None) -> DataFrame:
         fill_id = values.hash_id(F.col("machine_id"))
     filled = df.withColumns({
         "cycle_temperature": F.coalesce(
-            "cycle_temperature", F.lit(Decimal(str(C.DEFAULT_TEMPERATURE)))).cast("decimal(5,2)"),
+            "cycle_temperature", F.lit(Decimal(str(C.DEFAULT_TEMPERATURE)))
+            ).cast(schemas.TEMPERATURE),
         "branch": F.coalesce(F.nullif(F.col("branch"), F.lit("")), F.lit(C.DEFAULT_BRANCH)),
         "reading_id": F.coalesce(F.nullif(F.col("reading_id"), F.lit("")), fill_id),
     })

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +21,11 @@ def recent_telemetry(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: o
     """Newest readings over buffer, log and raw history. A reading found in several sources
     counts once, as the earliest source holds it; then filters, then the newest `limit`.
 
-    No source is capped before the filter. `since` asks only for readings from that date on
-    and prunes every source that is partitioned or sorted by time.
+    No source is capped. The filter goes to all three scans first: only readings that match in
+    some source can be listed, so only rows with their ids are ranked, and rows of other readings
+    are not shuffled wide. Without any filter all ids are candidates and all rows are ranked.
+    `since` asks only for readings from that date on and prunes every source that is partitioned
+    or sorted by time. Rows without id are left out.
     """
     def ready(df: DataFrame, rank: int, name: str) -> DataFrame:
         rows = cleaning.canonicalize(df)
@@ -35,59 +37,23 @@ def recent_telemetry(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: o
         rows = rows.select(*cleaning.schemas.READING.names)
         return rows.select("*", F.lit(rank).alias("_source_rank"), F.lit(name).alias("source"))
 
+    def matching(rows: DataFrame) -> DataFrame:
+        return filters.filter_readings(rows, machine_id, branch, status, breakdown_soon)
+
     stacked = (ready(buffer, 0, "buffer")
                .unionByName(ready(cleaning.backfill_sensors(log), 1, "log"))
                .unionByName(ready(raw, 2, "raw")))
+    if any(w is not None for w in (machine_id, branch, status, breakdown_soon)):
+        wanted = matching(stacked).select("reading_id").distinct()
+        stacked = stacked.join(wanted, "reading_id", "left_semi")
     single = sequence.dedupe(stacked, "reading_id",
                              ["_source_rank", F.desc("txn_timestamp"), "machine_id", "branch",
-                              "cycle_temperature", "status", "breakdown_soon"])
-    matching = filters.filter_readings(single, machine_id, branch, status, breakdown_soon)
-    return sequence.newest(matching.drop("_source_rank"),
+                              "cycle_temperature", "status", "breakdown_soon"],
+                             keep_keyless=False)
+    return sequence.newest(matching(single).drop("_source_rank"),
                            filters.clamp_limit(limit, *C.READINGS_LIMIT))
 
 
-def newest_first(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: object = None,
-                 first_days: int = 1, growth: int = 8, **wanted: object) -> DataFrame:
-    """`recent_telemetry` over a long history, newest dates first.
-
-    Looks at the last days of `raw` (by its partition column `dt`), then at ever more, until
-    the listing is full; only then does a search touch older dates. The result is that of
-    `recent_telemetry`: a listed reading is checked against older copies in sources that
-    come before its own, and any such copy widens the search. At most `limit` rows reach
-    the driver.
-    """
-    n = filters.clamp_limit(limit, *C.READINGS_LIMIT)
-    oldest, newest = raw.agg(F.min("dt"), F.max("dt")).first()
-    days = first_days
-    while newest is not None:
-        since = newest - timedelta(days=days - 1)
-        if since <= oldest:
-            break
-        rows = recent_telemetry(buffer, log, raw, n, since=str(since), **wanted)
-        found = rows.collect()
-        if len(found) == n and not _overruled(found, buffer, log, since):
-            return raw.sparkSession.createDataFrame(found, rows.schema)
-        days *= growth
-    return recent_telemetry(buffer, log, raw, n, **wanted)
-
-
-def _overruled(found: list, buffer: DataFrame, log: DataFrame, since) -> bool:
-    """Does an earlier source hold an older copy of a listed reading?"""
-    ranks = {"buffer": 0, "log": 1, "raw": 2}
-    listed = buffer.sparkSession.createDataFrame(
-        [(row["reading_id"], ranks[row["source"]]) for row in found], "reading_id string, rank int")
-
-    def older(df: DataFrame, rank: int) -> DataFrame:
-        rows = cleaning.canonicalize(df)
-        return rows.filter(F.col("txn_timestamp") < F.lit(since).cast("timestamp")).select(
-            "reading_id", F.lit(rank).alias("earlier"))
-
-    copies = older(buffer, 0).unionAll(older(log, 1))
-    # `listed` has at most as many rows as the listing, some hundreds.
-    hits = copies.join(F.broadcast(listed), "reading_id").filter("earlier < rank")
-    return not hits.isEmpty()
-
-
 def fold_by_key(df: DataFrame, key: str = "reading_id",
                 update_cols: Sequence[str] | str = LOG_UPDATES,
                 order: Sequence[str] = ("txn_timestamp",)) -> DataFrame:

@@ -25,16 +25,13 @@ from thermoline.functions import values
 from thermoline.operators import sequence
 from thermoline.session import materialize
 
-MAX_BRANCHES = 10_000
 WEIGHT = "weight"
 
 
-def label_next_breach(df: DataFrame, grain: str | None = "auto",
-                      rows_per_task: int = sequence.ROWS_PER_TASK) -> DataFrame:
+def label_next_breach(df: DataFrame) -> DataFrame:
     """breakdown_soon = does the machine's next reading exceed 70 °C? The last reading of a
     machine has no label and is left out."""
-    following = sequence.with_next(df.filter(F.col("machine_id").isNotNull()), grain=grain,
-                                   rows_per_task=rows_per_task)
+    following = sequence.with_next(df.filter(F.col("machine_id").isNotNull()))
     return (following.filter(F.col("next_temp").isNotNull())
             .withColumn("breakdown_soon",
                         (F.col("next_temp") > F.lit(C.ALERT_TEMPERATURE)).cast("int")))
@@ -53,12 +50,6 @@ def split(df: DataFrame, key: str = "reading_id", train_percent: int = C.TRAIN_S
     return df.filter(training), df.filter(~training)
 
 
-def random_split(df: DataFrame, train_percent: int = C.TRAIN_SHARE,
-                 seed: int = C.SPLIT_SEED) -> list[DataFrame]:
-    """Spark's own random split, which follows the partitioning: use it on a written table."""
-    return df.randomSplit([train_percent / 100, 1 - train_percent / 100], seed)
-
-
 def split_counts(df: DataFrame, key: str = "reading_id",
                  train_percent: int = C.TRAIN_SHARE, seed: int = C.SPLIT_SEED) -> DataFrame:
     """Training and test samples, in one pass."""
@@ -79,15 +70,13 @@ def index_branch(df: DataFrame, column: str = "branch", out: str = "branch_idx",
                  weight: str | None = None) -> StringIndexerModel:
     """Index by falling frequency, ties by name; an unseen value gets the index after the last.
 
-    The labels become part of the model, so they pass the driver: more than MAX_BRANCHES of
-    them are an error.
+    As with MLlib's own indexer the labels are part of the model and pass the driver: one entry
+    per distinct value, however many rows there are.
     """
     size = F.count(F.lit(1)) if weight is None else F.sum(weight)
     rows = (df.filter(F.col(column).isNotNull()).groupBy(column).agg(size.alias("n"))
-            .orderBy(F.desc("n"), column).limit(MAX_BRANCHES + 1).collect())
-    if len(rows) > MAX_BRANCHES:
-        raise ValueError(f"more than {MAX_BRANCHES} values of {column}: not a category")
-    return StringIndexerModel.from_labels([r[column] for r in rows], inputCol=column,
+            .orderBy(F.desc("n"), column).select(F.col(column).cast("string")).collect())
+    return StringIndexerModel.from_labels([r[0] for r in rows], inputCol=column,
                                           outputCol=out, handleInvalid="keep")
 
 

@@ -6,108 +6,44 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from thermoline import constants as C
 
-# Readings of one key that one task may hold in its window sort.
-ROWS_PER_TASK = 20_000_000
-
-# From coarse to fine; every step is monotone in (time, tie).
-_GRAINS = ("month", "day", "hour", "minute", "second", "instant")
+# Slices of a sequence: steps that never go back, whatever the session's time zone.
+GRAINS = ("day", "month", "year")
 _SPREAD = 4096
 
 
-def _slice_columns(df: DataFrame, grain: str, key: str, time: str, tie: str,
-                   prefix: int) -> dict[str, Column]:
-    """Order-preserving slice of a sequence: a time bucket, or for `instant` the exact time
-    with the leading characters of a text tie-breaker. Rows without a key need no order and
-    would all meet in one task; `_part` spreads them."""
-    part = F.lit("")
-    if grain != "instant":
-        begin = F.date_trunc(grain, F.col(time))
-    else:
-        begin = F.col(time).cast("timestamp")
-        if isinstance(df.schema[tie].dataType, StringType):
-            part = F.substring(F.col(tie), 1, prefix)
-    return {"_slice": F.coalesce(begin, F.lit("0001-01-01").cast("timestamp")),
-            "_part": F.when(F.col(key).isNull(), _spread(time, tie).cast("string"))
-            .otherwise(F.coalesce(part, F.lit("")))}
-
-
-def _spread(time: str, tie: str) -> Column:
-    return F.pmod(F.xxhash64(tie, time), F.lit(_SPREAD))
-
-
-def _largest_groups(rows: DataFrame, key: str, time: str, grains: Sequence[str]) -> dict[str, int]:
-    """Rows of the largest (key, slice) for each grain, coarse to fine, in one pass: a rollup
-    over nested slices, then the maximum per level."""
-    slices = rows.select(key, *[F.date_trunc(g, F.col(time)).alias(g) for g in grains])
-    sizes = slices.rollup(key, *grains).agg(F.count(F.lit(1)).alias("n"),
-                                            F.grouping_id().alias("level"))
-    found = {r["level"]: r["n"] for r in sizes.groupBy("level").agg(F.max("n").alias("n")).collect()}
-    return {g: found.get(2 ** (len(grains) - 1 - i) - 1, 0) for i, g in enumerate(grains)}
-
-
-def choose_grain(df: DataFrame, key: str, time: str, tie: str,
-                 rows_per_task: int = ROWS_PER_TASK) -> str | None:
-    """The coarsest slice that keeps every (key, slice) within `rows_per_task`; None if no
-    key is that large. Counts only: a pruned scan with partial aggregation.
-
-    The hot keys come to the driver; there are at most (all rows / `rows_per_task`) of them.
-    """
-    keyed = df.select(key, time).filter(F.col(key).isNotNull())
-    counts = keyed.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.filter(F.col("_n") > rows_per_task).select(key).collect()
-    if not hot:
-        return None
-    names = df.sparkSession.createDataFrame(hot, counts.select(key).schema)
-    hot_rows = keyed.join(F.broadcast(names), key, "left_semi")
-    for grains in (_GRAINS[:3], _GRAINS[3:5]):
-        for grain, rows in _largest_groups(hot_rows, key, time, grains).items():
-            if rows <= rows_per_task:
-                return grain
-    return _GRAINS[-1]
-
-
 def with_next(df: DataFrame, value: str = "cycle_temperature", key: str = "machine_id",
               time: str = "txn_timestamp", tie: str = "reading_id", out: str = "next_temp",
-              grain: str | None = "auto", rows_per_task: int = ROWS_PER_TASK,
-              tie_prefix: int = 4) -> DataFrame:
-    """Adds the value of the key's next row by (time, tie); null on its last row. Rows
-    without a key have no next row.
-
-    With no hot key this is one window over one shuffle. Where a key holds more than
-    `rows_per_task` rows its sequence is cut into time slices: the window then runs per
-    (key, slice), and only the last row of a slice looks up the first value of the key's
-    next slice, in a table with one row per slice. The readings are shuffled once either way.
-    Rows of a single instant are cut by the first `tie_prefix` characters of a text `tie`.
+              grain: str = "day") -> DataFrame:
+    """Adds the value of the key's next row by (time, tie); null on its last row. Rows without a
+    key have no next row; rows without a time come first.
+
+    One plan for any data: each key's sequence is cut at every `grain`, so a task holds one key
+    and day at most, and only the first and the last row of a slice (two a key and day) are then
+    put in order by key, which gives the last row its next value. Both read the same exchange, so
+    the source is scanned and its rows shuffled once. Rows of one key and day that don't fit in
+    memory are sorted on disk.
     """
-    if grain == "auto":
-        grain = choose_grain(df, key, time, tie, rows_per_task)
-    if grain is None:
-        spread = F.when(F.col(key).isNull(), _spread(time, tie))
-        window = Window.partitionBy(key, spread).orderBy(time, tie)
-        following = F.lead(value, 1).over(window)
-        return df.withColumn(out, F.when(F.col(key).isNotNull(), following))
-
-    sliced = df.withColumns(_slice_columns(df, grain, key, time, tie, tie_prefix))
-    slice_key = [key, "_slice", "_part"]
-    heads = (sliced.filter(F.col(key).isNotNull()).groupBy(*slice_key)
-             .agg(F.min_by(F.struct(F.col(value).alias("v")), F.struct(time, tie)).alias("_head")))
-    # A hot key may still have many slices: the slice table is cut the same way, coarser.
-    followers = with_next(heads.withColumnsRenamed({"_slice": "_at", "_part": "_by"}),
-                          "_head", key, "_at", "_by", "_next_head",
-                          "auto" if tie_prefix and grain != "month" else None,
-                          rows_per_task, tie_prefix // 2)
-    followers = followers.select(key, F.col("_at").alias("_slice"), F.col("_by").alias("_part"),
-                                 "_next_head")
-    window = Window.partitionBy(*slice_key).orderBy(time, tie)
-    inner = sliced.withColumn("_next", F.lead(F.struct(F.col(value).alias("v")), 1).over(window))
-    joined = inner.join(followers, slice_key, "left")
-    following = F.coalesce(F.col("_next"), F.col("_next_head"))["v"]
-    return joined.select(*[c for c in df.columns if c != out],
-                         F.when(F.col(key).isNotNull(), following).alias(out))
+    if grain not in GRAINS:
+        raise ValueError(f"unknown grain: {grain}")
+    begin = F.coalesce(F.date_trunc(grain, F.col(time)), F.lit("0001-01-01").cast("timestamp"))
+    spread = F.when(F.col(key).isNull(), F.pmod(F.xxhash64(tie, time), F.lit(_SPREAD)))
+    sliced = df.withColumns({"_slice": begin, "_spread": spread})
+    inner = Window.partitionBy(key, "_slice", "_spread").orderBy(time, tie)
+    # A struct tells a null value of the next row from no next row.
+    held = F.struct(F.col(value).alias("v"))
+    marked = sliced.withColumns({"_next": F.lead(held).over(inner),
+                                 "_number": F.row_number().over(inner)})
+    ends = marked.where(F.col("_next").isNull() | (F.col("_number") == 1))
+    outer = Window.partitionBy(key, "_spread").orderBy("_slice", time, tie)
+    closing = ends.withColumn("_after", F.lead(held).over(outer)).where(
+        F.col("_next").isNull()).withColumn("_next", F.col("_after"))
+    kept = [c for c in df.columns if c != out]
+    following = F.when(F.col(key).isNotNull(), F.col("_next")["v"]).alias(out)
+    return marked.where(F.col("_next").isNotNull()).select(*kept, following).unionAll(
+        closing.select(*kept, following))
 
 
 def _latest_first(order: Sequence[str]) -> list[Column]:
@@ -125,21 +61,39 @@ def latest_per_key(df: DataFrame, key: str = "machine_id",
 
 
 def dedupe(df: DataFrame, key: str = "reading_id",
-           order: Sequence[str | Column] = ("txn_timestamp",)) -> DataFrame:
-    """One row per key, the first by `order`; rows without a key are left out."""
+           order: Sequence[str | Column] = ("txn_timestamp",),
+           keep_keyless: bool = True) -> DataFrame:
+    """One row per key, the first by `order`. Rows without a key are no copies of one another:
+    all stay, unless `keep_keyless` is off."""
     window = Window.partitionBy(key).orderBy(*order)
-    return (df.filter(F.col(key).isNotNull())
-            .withColumn("_rank", F.row_number().over(window))
-            .filter(F.col("_rank") == 1).drop("_rank"))
+    single = (df.filter(F.col(key).isNotNull())
+              .withColumn("_rank", F.row_number().over(window))
+              .filter(F.col("_rank") == 1).drop("_rank"))
+    return single.unionByName(df.filter(F.col(key).isNull())) if keep_keyless else single
+
+
+def _newest_parts(df: DataFrame, partition: str, enough: Column, each: str) -> Column:
+    """True for the newest partitions, as many as `enough` (over the rows per partition, `n`, and
+    those of newer ones, the sum of `each` as `newer`) asks for, and for rows without a partition."""
+    counts = df.filter(F.col(partition).isNotNull()).groupBy(partition).agg(
+        F.count(F.lit(1)).alias("n"))
+    # One row per date, so this window stays small however long the history is.
+    newer = Window.orderBy(F.desc(partition)).rowsBetween(Window.unboundedPreceding, -1)
+    needed = counts.withColumn("newer", F.coalesce(F.sum(F.expr(each)).over(newer), F.lit(0)))
+    return (F.col(partition) >= needed.filter(enough).agg(F.min(partition)).scalar()) | F.col(
+        partition).isNull()
 
 
 def partition_sample(df: DataFrame, per_partition: int = 3, total: int = 5,
                      partition: str = "dt",
                      order: Sequence[str] = ("txn_timestamp", "reading_id")) -> DataFrame:
     """A few landed rows: the first `per_partition` of each date, newest dates first, `total`
-    in all."""
+    in all. Only the newest dates that hold so many rows are read."""
     window = Window.partitionBy(partition).orderBy(*order)
-    return (df.withColumn("_rank", F.row_number().over(window))
+    counted = F.col("newer") < total
+    some = df.filter(_newest_parts(
+        df, partition, counted, f"least(n, {int(per_partition)})"))
+    return (some.withColumn("_rank", F.row_number().over(window))
             .filter(F.col("_rank") <= per_partition)
             .orderBy(F.desc(partition), "_rank").limit(total).drop("_rank"))
 
@@ -154,14 +108,9 @@ def newest(df: DataFrame, n: int | None = C.LOG_LIMIT[0], time: str = "txn_times
 def newest_landed(df: DataFrame, n: int = C.LOG_LIMIT[0], partition: str = "dt",
                   time: str = "txn_timestamp", tie: str = "reading_id") -> DataFrame:
     """`newest` of a table partitioned by the day of `time`: only the newest dates that hold
-    `n` rows between them are read. How many that takes is a subquery over the rows per date,
-    which needs file footers but no data."""
-    counts = df.groupBy(partition).agg(F.count(F.lit(1)).alias("n"))
-    # One row per date, so this window stays small however long the history is.
-    newer = Window.orderBy(F.desc(partition)).rowsBetween(Window.unboundedPreceding, -1)
-    needed = counts.withColumn("newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
-    oldest = needed.filter(F.col("newer") < n).agg(F.min(partition)).scalar()
-    return newest(df.filter(F.col(partition) >= oldest), n, time, tie)
+    `n` rows between them are read, and the rows without a date, which have no time. How many
+    dates that takes is a subquery over the rows per date, which needs file footers but no data."""
+    return newest(df.filter(_newest_parts(df, partition, F.col("newer") < n, "n")), n, time, tie)
 
 
 def newest_states(status: DataFrame, n: int | None = 100) -> DataFrame:

@@ -6,13 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermoline import constants as C
+from thermoline import schemas
 from thermoline.functions import rules
 from thermoline.operators import filters
 from thermoline.session import materialize
 from thermoline.sources import history
 
-MAX_LISTED = 10_000
-
 
 def profile(readings: DataFrame) -> DataFrame:
     """Readings counted by (machine, branch, hour of day), with all that the insights need. One
@@ -21,7 +20,7 @@ def profile(readings: DataFrame) -> DataFrame:
     return readings.groupBy("machine_id", "branch", F.hour("txn_timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("readings"),
         F.count(temperature).alias("measured"),
-        F.sum((temperature.cast("decimal(5,2)") * 100).cast("bigint")).alias("cents"),
+        F.sum((temperature.cast(schemas.TEMPERATURE) * 100).cast("bigint")).alias("cents"),
         F.count_if(rules.exceeds(temperature)).alias("alerts"),
         F.count_if(F.col("breakdown_soon") == 0).alias("good"),
         F.count_if(filters.normal_band()).alias("in_band"))
@@ -46,35 +45,30 @@ def insights(profiled: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _listed(df: DataFrame, name: str, order: list[Column], fields: list[str]) -> DataFrame:
-    """One row: a small result as an ordered array. More than MAX_LISTED rows are an error,
-    never a silent cut."""
-    numbered = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)],
-                        F.struct(*fields).alias("item"))
-    items = F.transform(F.sort_array(F.collect_list(numbered)), lambda x: x["item"])
-    too_many = F.raise_error(F.lit(f"{name}: more than {MAX_LISTED} rows to list"))
-    # One row more than allowed is enough to see that there are too many.
-    return df.limit(MAX_LISTED + 1).agg(F.when(F.count(F.lit(1)) > MAX_LISTED, too_many).otherwise(items).alias(name))
-
+def _items(results: dict[str, DataFrame], top_n: int | None) -> list[tuple]:
+    """(name, rows, order, fields) of the lists in a snapshot."""
+    machines = results["time_in_alert"]
+    most = -F.col("alert_count")
+    return [
+        ("avg_by_branch", results["avg_temp_by_branch"],
+         [-F.col("avg_temperature"), F.col("branch")], ["branch", "avg_temperature"]),
+        ("time_in_alert", machines if top_n is None else machines.limit(top_n),
+         [most, F.col("machine_id"), F.col("branch")], ["machine_id", "branch", "alert_count"]),
+        ("busiest_hour", results["busiest_alert_hour"], [most, F.col("hour")],
+         ["hour", "alert_count"])]
 
-def snapshot(results: dict[str, DataFrame], top_n: int = C.TOP_MACHINES) -> DataFrame:
-    """One row with one JSON object: branch means, the `top_n` machines in alert, hours, health.
 
-    The list of all machines in alert is a table of its own, written by the tasks; the snapshot
-    holds the top of it.
-    """
-    means = results["avg_temp_by_branch"]
-    machines = results["time_in_alert"].limit(top_n)
-    hours, health = results["busiest_alert_hour"], results["fleet_health"]
-    most = -F.col("alert_count")
-    parts = [
-        _listed(means, "avg_by_branch", [-F.col("avg_temperature"), F.col("branch")],
-                ["branch", "avg_temperature"]),
-        _listed(machines, "time_in_alert", [most, F.col("machine_id"), F.col("branch")],
-                ["machine_id", "branch", "alert_count"]),
-        _listed(hours, "busiest_hour", [most, F.col("hour")], ["hour", "alert_count"]),
-        health,
-    ]
+def snapshot(results: dict[str, DataFrame], top_n: int | None = None) -> DataFrame:
+    """One row with one JSON object: branch means, machines in alert (the `top_n` first, if
+    given), hours, health. It holds an entry for each branch, hour and machine in alert; for a
+    fleet too large for one row `snapshot_lines` gives the same object line by line."""
+    parts = []
+    for name, rows, order, fields in _items(results, top_n):
+        numbered = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)],
+                            F.struct(*fields).alias("item"))
+        parts.append(rows.agg(F.transform(F.sort_array(F.collect_list(numbered)),
+                                          lambda x: x["item"]).alias(name)))
+    parts.append(results["fleet_health"])
     names = [n for part in parts for n in part.columns]
     stacked = parts[0]
     for part in parts[1:]:
@@ -83,14 +77,40 @@ def snapshot(results: dict[str, DataFrame], top_n: int = C.TOP_MACHINES) -> Data
     return single.select(F.to_json(F.struct(*names)).alias("snapshot"))
 
 
-def run_insights(spark: SparkSession, raw: str, out: str, top_n: int = C.TOP_MACHINES,
+def snapshot_lines(results: dict[str, DataFrame], top_n: int | None = None) -> DataFrame:
+    """The snapshot as lines of text, in order: one after the other they are one JSON object. No
+    list passes one task: each entry is a line, written where the sort by range puts it."""
+    def line(section: int, text: Column, rows: DataFrame, order: list[Column]) -> DataFrame:
+        # Numbers come first in each order; names, and hours of two digits, settle ties.
+        number = order[0].cast("double") if order else F.lit(0.0)
+        ties = [F.lpad(c.cast("string"), 2, "0") if "hour" in rows.columns else c
+                for c in order[1:]]
+        return rows.select(F.lit(section).alias("section"), number.alias("number"),
+                           F.array(*ties, F.lit("")).alias("ties"), text.alias("value"))
+
+    single = results["fleet_health"]
+    out = line(-1, F.lit("{"), single, [])
+    lists = _items(results, top_n)
+    for k, (name, rows, order, fields) in enumerate(lists):
+        # Every entry but the first of its list begins with a comma.
+        first = rows.agg(F.min(F.struct(*order))).scalar()
+        entry = F.concat(F.when(F.struct(*order) == first, "").otherwise(","),
+                         F.to_json(F.struct(*fields)))
+        out = (out.unionAll(line(3 * k, F.lit(f'"{name}":['), single, []))
+               .unionAll(line(3 * k + 1, entry, rows, order))
+               .unionAll(line(3 * k + 2, F.lit("],"), single, [])))
+    health = F.substr(F.to_json(F.struct(*single.columns)), F.lit(2))
+    out = out.unionAll(line(3 * len(lists), health, single, []))
+    return out.orderBy("section", "number", "ties").select("value")
+
+
+def run_insights(spark: SparkSession, raw: str, out: str, top_n: int | None = None,
                  dedupe: bool = False) -> DataFrame:
-    """Reads the history once, writes every result as Parquet and the snapshot as text, and
-    returns the snapshot."""
+    """Reads the history once, writes every result as Parquet and the snapshot as text: one JSON
+    object over the lines of its files, in the order of their names. Returns the lines."""
     profiled = materialize(profile(history.load_history(spark, raw, dedupe)), "profile")
     results = insights(profiled)
     for name, result in results.items():
         history.write_result(result, f"{out}/{name}")
-    row = snapshot(results, top_n)
-    row.write.mode("overwrite").text(f"{out}/latest_insights")
-    return spark.read.text(f"{out}/latest_insights").withColumnRenamed("value", "snapshot")
+    snapshot_lines(results, top_n).write.mode("overwrite").text(f"{out}/latest_insights")
+    return spark.read.text(f"{out}/latest_insights")

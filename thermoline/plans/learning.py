@@ -8,17 +8,16 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from thermoline.operators import learning, sequence
+from thermoline.operators import learning
 from thermoline.session import materialize
 from thermoline.sources import history, models
 
 
-def train_on(readings: DataFrame,
-             grain: str | None = "auto") -> tuple[PipelineModel, DataFrame]:
+def train_on(readings: DataFrame) -> tuple[PipelineModel, DataFrame]:
     """Fits and evaluates on readings: (model, one row of metrics and sample counts)."""
     labelled = learning.label_next_breach(
         readings.select("reading_id", "machine_id", "branch", "cycle_temperature",
-                        "txn_timestamp"), grain)
+                        "txn_timestamp"))
     counts = materialize(learning.labelled_counts(labelled), "labelled-counts")
     model = learning.train(counts.filter("training"))
     metrics = learning.evaluate_model(model, counts.filter("NOT training"))
@@ -34,11 +33,7 @@ def train_on(readings: DataFrame,
 def run_training(spark: SparkSession, raw: str, model_path: str) -> DataFrame:
     """History → fitted model at `model_path`; returns the metrics. Repeated deliveries count
     once: two copies of a reading would each be the other's next reading."""
-    # Copies only add to a machine's rows, so the plain history bounds the largest machine and
-    # spares a dedupe that would run for this check alone.
-    grain = sequence.choose_grain(history.load_history(spark, raw), "machine_id",
-                                  "txn_timestamp", "reading_id")
-    model, metrics = train_on(history.load_history(spark, raw, dedupe=True), grain)
+    model, metrics = train_on(history.load_history(spark, raw, dedupe=True))
     models.save_model(model, model_path)
     return metrics
 

@@ -14,7 +14,7 @@ from thermoline import constants as C
 from thermoline import schemas
 from thermoline.functions import values
 from thermoline.operators import aggregates, cleaning, combine, filters, learning, sequence
-from thermoline.plans import inputs, insights
+from thermoline.plans import inputs, insights, publish
 from thermoline.plans import learning as learning_jobs
 from thermoline.plans.oracles import (DELIVERIES, EDGES, LATEST, MESSAGES, ODD_IDS, RAW, shown,
                                       sql)
@@ -104,6 +104,71 @@ def _(t):
     return rows.drop("dt")
 
 
+@query("s3_dedupe_keeps_rows_without_id", sql("""
+SELECT CASE WHEN event_id % 3 <> 0 THEN reading_id END AS reading_id, machine_id,
+       CASE WHEN event_id % 3 = 0 THEN copy END AS copy
+FROM telemetry, (SELECT unnest([1, 2]) AS copy) WHERE event_id % 3 = 0 OR copy = 1"""))
+def _(t):
+    twice = t.withColumn("copy", F.explode(F.array(F.lit(1), F.lit(2)))).withColumns({
+        "reading_id": F.when(F.col("event_id") % 3 != 0, F.col("reading_id")),
+        "breakdown_soon": F.col("copy")})
+    rows = history.load_history(t.sparkSession, land_mixed(twice, "s3n"), dedupe=True)
+    without = F.col("reading_id").isNull()
+    return rows.select("reading_id", "machine_id",
+                       F.when(without, F.col("breakdown_soon")).alias("copy"))
+
+
+@query("s3_dedupe_takes_the_latest_copy", sql(f"""
+SELECT {READING} FROM (
+  SELECT *, row_number() OVER (PARTITION BY reading_id
+                               ORDER BY txn_timestamp DESC, cycle_temperature) AS rn
+  FROM deliveries) WHERE rn = 1""", DELIVERIES))
+def _(t):
+    rows = history.load_history(t.sparkSession, land_mixed(inputs.deliveries(t), "s3c"),
+                                dedupe=True)
+    return rows.select("reading_id", "machine_id", "branch", "cycle_temperature")
+
+
+@query("s3_seed_files_beside_sink_files", sql(f"""
+SELECT {READING}, {shown('txn_timestamp')}, status, breakdown_soon,
+       cast(cast(txn_timestamp AS date) AS varchar) AS dt FROM telemetry"""))
+def _(t):
+    # Rows as a data-frame library writes them, as our sink does, and as lines, in one tree.
+    path, rows = scratch_path(t.sparkSession, "s3s"), inputs.raw(t)
+    kind = F.col("event_id") % 3
+    seed = rows.filter(kind == 0).select(
+        "reading_id", "machine_id", "branch", F.col("cycle_temperature").cast("double"),
+        F.date_format("txn_timestamp", cleaning.TIME_FORMAT).alias("txn_timestamp"), "status",
+        F.col("breakdown_soon").cast("bigint"), "dt")
+    names = [*READING_COLUMNS, "dt"]
+    seed.write.option("compression", "gzip").partitionBy("dt").parquet(path)
+    rows.filter(kind == 1).select(*names).write.mode("append").option(
+        "compression", "zstd").partitionBy("dt").parquet(path)
+    rows.filter(kind == 2).select(*names).write.mode("append").option(
+        "timestampFormat", history.JSON_TIME).partitionBy("dt").json(path)
+    read = history.load_history(t.sparkSession, path,
+                                layouts=(("*.gz.parquet", None), ("*.zstd.parquet", None)))
+    return read.select("reading_id", "machine_id", "branch", "cycle_temperature",
+                       "txn_timestamp", "status", "breakdown_soon", "dt")
+
+
+@query("s2_broken_lines", sql("""
+SELECT (SELECT count(*) FROM telemetry) AS good,
+       (SELECT count(*) FROM telemetry WHERE event_id % 10 = 0) AS rejected"""))
+def _(t):
+    path = scratch_path(t.sparkSession, "s2b")
+    line = F.to_json(F.struct("reading_id", "machine_id"))
+    broken = F.when(F.col("event_id") % 20 == 0, '{"machine_id":').otherwise("[1,2]")
+    both = t.select(F.to_date("txn_timestamp").alias("dt"), F.explode(F.when(
+        F.col("event_id") % 10 == 0, F.array(line, broken)).otherwise(
+            F.array(line))).alias("value"))
+    both.write.partitionBy("dt").text(path)
+    good = history.read_history_json(t.sparkSession, path, names="*.txt")
+    bad = history.rejected_lines(t.sparkSession, path, names="*.txt")
+    return good.agg(F.count("*").alias("good")).withColumn(
+        "rejected", bad.agg(F.count("*")).scalar())
+
+
 @query("s5_decode_records", sql(f"SELECT {FULL} FROM telemetry"))
 def _(t):
     messages = topic.encode_records(t.select(*READING_COLUMNS))
@@ -171,7 +236,17 @@ SELECT replace(replace(cast(to_json(struct_pack(
   total_machines := (SELECT count(*) FROM telemetry))) AS varchar),
   ', ', ','), ': ', ':') AS snapshot"""))
 def _(t):
-    return insights.snapshot(insights.insights(insights.profile(t)))
+    return insights.snapshot(insights.insights(insights.profile(t)), C.TOP_MACHINES)
+
+
+@query("k3_snapshot_all_machines", sql("""
+SELECT machine_id, branch, count(*) AS alert_count FROM telemetry
+WHERE cycle_temperature > 70 GROUP BY ALL"""))
+def _(t):
+    lines = insights.snapshot_lines(insights.insights(insights.profile(t)))
+    entry = F.from_json(F.ltrim("value", F.lit(",")),
+                        "machine_id string, branch string, alert_count bigint")
+    return lines.select(entry.alias("e")).where("e.machine_id is not null").select("e.*")
 
 
 @query("k3_run_insights_time_in_alert", sql("""
@@ -265,6 +340,17 @@ def _(t):
     return history.read_history(t.sparkSession, target)
 
 
+@query("k8_only_changed_dates", sql("""
+SELECT cast(dt AS varchar) AS dt FROM raw WHERE dt >= DATE '2024-01-25' GROUP BY dt""", RAW))
+def _(t):
+    spark, target = t.sparkSession, scratch_path(t.sparkSession, "k8d")
+    source = land(t, "k8din")
+    early = [r[0] for r in history.partitions(spark, source).filter(
+        "dt < '2024-01-25'").select(F.col("dt").cast("string")).collect()]
+    history.sync_partitions(spark, source, target, early)
+    return history.changed_dates(spark, source, target)
+
+
 @query("k9_sync_report", sql(f"""
 SELECT cast(dt AS varchar) AS dt, row_count, {shown('first_reading')}, {shown('last_reading')}
 FROM (SELECT dt, count(*) AS row_count, min(txn_timestamp) AS first_reading,
@@ -273,6 +359,16 @@ def _(t):
     return history.sync_report(history.read_history(t.sparkSession, land(t, "k9")))
 
 
+@query("k9_report_after_publish", sql(f"""
+SELECT cast(dt AS varchar) AS dt, row_count, {shown('first_reading')}, {shown('last_reading')}
+FROM (SELECT dt, count(*) AS row_count, min(txn_timestamp) AS first_reading,
+             max(txn_timestamp) AS last_reading FROM raw GROUP BY dt)""", RAW))
+def _(t):
+    source, target = (scratch_path(t.sparkSession, n) for n in ("k9p", "k9t"))
+    history.write_history(inputs.raw(t).select(*READING_COLUMNS, "dt"), f"{source}/raw")
+    return publish.publish(t.sparkSession, source, target)
+
+
 # -- cleaning --------------------------------------------------------------------------------
 
 @query("c1_validate", sql("""
@@ -358,6 +454,36 @@ def _(t):
     return parsed.select("event_id", "txn_timestamp")
 
 
+@query("c5_unreadable_times", sql("""
+SELECT count(*) AS all_rows, count(*) FILTER (event_id % 5 = 4) AS unreadable
+FROM messages""", MESSAGES))
+def _(t):
+    parsed = cleaning.normalize_timestamp(inputs.messages(t), now=inputs.at(inputs.NOW),
+                                          unreadable="odd")
+    return parsed.agg(F.count("*").alias("all_rows"), F.count_if("odd").alias("unreadable"))
+
+
+@query("c3_default_ids_unique", sql("""
+SELECT count(*) AS readings, count(*) AS ids FROM telemetry"""))
+def _(t):
+    # No id, no time, one machine: the bodies differ in place and in one field at most.
+    bare = t.select(F.lit("WM_0001").alias("machine_id"), F.lit("Huye").alias("branch"),
+                    F.lit(None).cast("string").alias("cycle_temperature"),
+                    F.col("event_id").alias("offset"), F.lit(0).alias("partition"))
+    filled = cleaning.impute_reading(bare, inputs.at(inputs.NOW))
+    return filled.agg(F.count("*").alias("readings"),
+                      F.count_distinct("reading_id").alias("ids"))
+
+
+@query("c6_wild_temperatures", sql("""
+SELECT event_id, cast(cast(cycle_temperature AS decimal(9,2)) * 100 AS double)
+                   AS cycle_temperature FROM telemetry"""))
+def _(t):
+    wild = t.select("event_id", (F.col("cycle_temperature") * 100).cast("string").alias(
+        "cycle_temperature"))
+    return cleaning.normalize_temperature(wild).select("event_id", "cycle_temperature")
+
+
 @query("c6_to_number", sql("""
 SELECT event_id, coalesce(try_cast(cycle_temperature AS double), 45.0) AS ingress_value,
        coalesce(try_cast(cycle_temperature AS double), 0.0) AS stream_value
@@ -539,6 +665,16 @@ def _(t):
     return filters.history_total(inputs.raw(t), status="ALERT")
 
 
+@query("f7_clamped_limits", sql("""
+SELECT least(500, count(*)) AS most, least(50, count(*)) AS usual, least(7, count(*)) AS few
+FROM telemetry"""))
+def _(t):
+    found = [filters.clamp_limit(n, *C.READINGS_LIMIT) for n in (9999, "all", 7)]
+    return t.limit(max(found)).agg(*[F.least(F.lit(n), F.count("*")).alias(name)
+                                     for n, name in zip(found, ("most", "usual", "few"),
+                                                        strict=True)])
+
+
 NUMBER = "coalesce(try_cast(regexp_extract(substring(machine_id, 4), '^([0-9]+)', 1) AS bigint), 0)"
 VALID = {
     "pattern": f"regexp_matches(upper(machine_id), '^WM_[0-9]{{4}}$') AND {NUMBER} <= 1000",
@@ -677,6 +813,11 @@ def _(t):
     return aggregates.partition_catalog(history.read_history(t.sparkSession, land(t, "a9")))
 
 
+@query("a9_listed_partitions", sql("SELECT DISTINCT cast(dt AS varchar) AS dt FROM raw", RAW))
+def _(t):
+    return history.partitions(t.sparkSession, land_mixed(t, "a9l")).select("dt")
+
+
 @query("a9_partition_count", sql("SELECT count(DISTINCT dt) AS total_partitions FROM raw", RAW))
 def _(t):
     return aggregates.partition_count(inputs.raw(t))
@@ -710,13 +851,32 @@ def _(t):
                                         "next_temp")
 
 
-@query("w1_with_next_hot_keys", sql(f"""
-SELECT reading_id, machine_id, cast(temp AS double) AS cycle_temperature,
-       cast(next_temp AS double) AS next_temp FROM ({NEXT})"""))
+# A third of all rows belong to one machine, half of these to one instant.
+HOT = """
+hot AS (
+  SELECT 'same-beginning-' || reading_id AS reading_id,
+         CASE WHEN event_id % 3 = 0 THEN 'WM_0001' ELSE machine_id END AS machine_id,
+         cycle_temperature,
+         CASE WHEN event_id % 6 = 0 THEN TIMESTAMP '2024-01-10 00:00:00' ELSE txn_timestamp END
+           AS txn_timestamp
+  FROM telemetry)"""
+
+
+@query("w1_with_next_hot_keys", sql("""
+SELECT reading_id, machine_id, cast(cycle_temperature AS double) AS cycle_temperature,
+       cast(lead(cycle_temperature) OVER (PARTITION BY machine_id
+                                          ORDER BY txn_timestamp, reading_id) AS double)
+         AS next_temp
+FROM hot""", HOT))
 def _(t):
-    # With so few rows allowed per task, every machine counts as hot and is cut by time.
-    return sequence.with_next(t, rows_per_task=16).select(
-        "reading_id", "machine_id", "cycle_temperature", "next_temp")
+    event = F.col("event_id")
+    hot = t.withColumns({
+        "reading_id": F.concat(F.lit("same-beginning-"), "reading_id"),
+        "machine_id": F.when(event % 3 == 0, "WM_0001").otherwise(F.col("machine_id")),
+        "txn_timestamp": F.when(event % 6 == 0, F.lit("2024-01-10").cast("timestamp")).otherwise(
+            F.col("txn_timestamp"))})
+    return sequence.with_next(hot).select("reading_id", "machine_id", "cycle_temperature",
+                                          "next_temp")
 
 
 @query("w2_latest_per_key", sql(f"SELECT {FULL} FROM latest", LATEST))
@@ -730,7 +890,8 @@ SELECT {FULL}, cast(dt AS varchar) AS dt FROM (
   FROM raw) s
 WHERE rn <= 3 ORDER BY s.dt DESC, rn LIMIT 5""", RAW))
 def _(t):
-    return sequence.partition_sample(inputs.raw(t)).select(*READING_COLUMNS, "dt")
+    landed = history.read_history(t.sparkSession, land(t, "w3"))
+    return sequence.partition_sample(landed).select(*READING_COLUMNS, "dt")
 
 
 @query("o1_newest", sql(f"""
@@ -746,6 +907,20 @@ def _(t):
     return sequence.newest_landed(landed, 1000).drop("dt")
 
 
+@query("o1_newest_landed_with_null_times", sql("""
+SELECT count(*) AS listed, count(txn_timestamp) AS timed FROM telemetry"""))
+def _(t):
+    gaps = t.withColumn("txn_timestamp", F.when(F.col("event_id") % 4 != 0, F.col("txn_timestamp")))
+    landed = history.read_history(t.sparkSession, land(gaps.unionByName(t), "o1n"))
+    # As many as there are rows: those without a time come last, and are listed all the same.
+    listed = sequence.newest_landed(landed, 2 ** 31 - 1).filter(
+        "txn_timestamp is null or reading_id is not null")
+    whole = listed.agg(F.count("*").alias("n"), F.count("txn_timestamp").alias("timed"))
+    quarter = t.agg(F.count_if(F.col("event_id") % 4 == 0)).scalar()
+    return whole.select((F.col("n") / 2).cast("bigint").alias("listed"),
+                        ((F.col("timed") + quarter) / 2).cast("bigint").alias("timed"))
+
+
 @query("o2_newest_states", sql(f"""
 SELECT {STATUS} FROM machine_status
 ORDER BY machine_status.last_updated DESC, machine_id DESC LIMIT 100""", LATEST))
@@ -788,11 +963,11 @@ singles AS (
   WHERE rn = 1)"""
 
 
-def _recent(t: DataFrame, search=combine.recent_telemetry, **wanted) -> DataFrame:
+def _recent(t: DataFrame, **wanted) -> DataFrame:
     rows = t.select(*READING_COLUMNS)
     buffer = sequence.recent_buffer(rows).withColumn("status", F.lit(C.ALERT))
     log = cleaning.classify_status(combine.log_rows(t.filter(F.hour("txn_timestamp") < 12)))
-    return search(buffer, log, inputs.raw(t), **wanted)
+    return combine.recent_telemetry(buffer, log, inputs.raw(t), **wanted)
 
 
 @query("u1_recent_telemetry", sql(f"""
@@ -814,7 +989,23 @@ def _(t):
 SELECT {FULL}, source FROM singles WHERE lower(branch) = 'huye' AND status = 'ALERT'
 ORDER BY singles.txn_timestamp DESC, reading_id DESC LIMIT 100""", RECENT))
 def _(t):
-    return _recent(t, combine.newest_first, limit=100, branch="huye", status="alert")
+    return _recent(t, limit=100, branch="huye", status="alert")
+
+
+@query("u1_rare_machine_overruled", sql(f"""
+SELECT {FULL}, source FROM (
+  SELECT * REPLACE (CASE WHEN source = 'log' THEN TIMESTAMP '2023-12-31 00:00:00'
+                         ELSE txn_timestamp END AS txn_timestamp) FROM singles) s
+WHERE machine_id = 'WM_0009' AND status = 'NORMAL'
+ORDER BY s.txn_timestamp DESC, reading_id DESC LIMIT 50""", RECENT))
+def _(t):
+    # What the log holds, it holds with an old time and its own status, and the log comes first.
+    rows = t.select(*READING_COLUMNS)
+    buffer = sequence.recent_buffer(rows).withColumn("status", F.lit(C.ALERT))
+    log = cleaning.classify_status(combine.log_rows(t.filter(F.hour("txn_timestamp") < 12)))
+    old = log.withColumn("txn_timestamp", F.lit("2023-12-31").cast("timestamp"))
+    return combine.recent_telemetry(buffer, old, inputs.raw(t), machine_id="WM_0009",
+                                    status="normal")
 
 
 @query("u2_dedupe", sql(f"""
@@ -887,6 +1078,17 @@ def _(t):
     return learning.index_branch(t).transform(t).select("branch", "branch_idx").distinct()
 
 
+@table_query("m2_index_many_values", "lineitem", """
+SELECT l_orderkey, cast(row_number() OVER (ORDER BY n DESC, cast(l_orderkey AS varchar)) - 1
+                        AS double) AS branch_idx
+FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
+def _(lines):
+    keys = lines.select(F.col("l_orderkey").cast("string").alias("key"))
+    index = learning.index_branch(keys, "key")
+    return index.transform(keys).distinct().select(
+        F.col("key").cast("bigint").alias("l_orderkey"), "branch_idx")
+
+
 @query("m3_feature_vector", sql("""
 SELECT reading_id, cast(cycle_temperature AS double) AS temperature, branch_idx
 FROM telemetry JOIN indexed USING (branch)""", INDEXED))
@@ -1057,6 +1259,38 @@ def _(t):
     return _written(stream, "t1").select(*READING_COLUMNS)
 
 
+DIRTY = """
+dirty AS (
+  SELECT event_id, CASE WHEN event_id % 10 = 1 THEN 'Invalid JSON body'
+                        WHEN event_id % 10 = 2 THEN 'Payload must be a JSON object'
+                        WHEN event_id % 10 = 3 THEN 'Unreadable time' END AS reason
+  FROM telemetry)"""
+
+
+def dirty_stream(t: DataFrame, name: str) -> DataFrame:
+    """The readings as messages, three in ten of them broken in different ways."""
+    path, kind = scratch_path(t.sparkSession, name), F.col("event_id") % 10
+    text = F.to_json(F.struct("reading_id", "machine_id", "cycle_temperature", F.when(
+        kind == 3, "yesterday").otherwise(F.date_format(
+            "txn_timestamp", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX")).alias("timestamp")))
+    value = F.when(kind == 1, '{"machine_id":').when(kind == 2, "[1,2]").otherwise(text)
+    t.select(F.col("machine_id").cast("binary").alias("key"), value.cast("binary").alias("value"),
+             F.col("event_id").alias("offset")).write.parquet(path)
+    return t.sparkSession.readStream.schema("key binary, value binary, offset bigint").parquet(path)
+
+
+@query("t1_reject_side", sql("""
+SELECT coalesce(reason, 'good') AS side, count(*) AS messages FROM dirty GROUP BY 1""", DIRTY))
+def _(t):
+    targets = ingest.Targets(t.sparkSession, scratch_path(t.sparkSession, "t1r"))
+    stream = ingest.decoded_stream(dirty_stream(t, "t1r-in"))
+    ingest.run_pipeline(stream, targets, targets.root + "/checkpoint",
+                        {"availableNow": True}).awaitTermination()
+    bad = t.sparkSession.read.parquet(targets.rejects).select(F.col("reject_reason").alias("side"))
+    good = ingest.read_raw(t.sparkSession, targets.raw).select(F.lit("good").alias("side"))
+    return bad.unionAll(good).groupBy("side").agg(F.count("*").alias("messages"))
+
+
 @query("t2_fan_out_raw", sql(f"{NORMALIZED} FROM deliveries", DELIVERIES))
 def _(t):
     return ingest.read_raw(t.sparkSession, _run(t, "t2r").raw).select(*READING_COLUMNS)
@@ -1099,6 +1333,21 @@ def _(t):
     return _written(single, "t4").select("reading_id", "machine_id")
 
 
+@query("t4_late_first_delivery", sql("SELECT reading_id, machine_id FROM telemetry"))
+def _(t):
+    # The newest days come first, so that all others are late by more than the delay.
+    spark, path = t.sparkSession, scratch_path(t.sparkSession, "t4l-in")
+    newest = F.col("txn_timestamp") >= F.lit("2024-01-25").cast("timestamp")
+    for part in (newest, ~newest, newest):
+        pairs = topic.encode_records(t.filter(part).select(*READING_COLUMNS))
+        pairs.withColumn("offset", F.lit(0).cast("bigint")).coalesce(1).write.mode(
+            "append").parquet(path)
+    stream = (spark.readStream.schema("key binary, value binary, offset bigint")
+              .option("maxFilesPerTrigger", 1).parquet(path))
+    single = ingest.dedupe_stream(ingest.telemetry_stream(stream), "1 hour")
+    return _written(single, "t4l").select("reading_id", "machine_id")
+
+
 @query("t5_live_buffer", sql(f"""
 {NORMALIZED} FROM last_delivery
 ORDER BY last_delivery.txn_timestamp DESC, reading_id DESC LIMIT 50""", DELIVERIES, LAST_DELIVERY))

@@ -2,7 +2,8 @@
 
 from pyspark.sql import types as T
 
-TEMPERATURE = T.DecimalType(5, 2)
+# Wide enough that no reading of a sensor, however wild, changes its value.
+TEMPERATURE = T.DecimalType(9, 2)
 
 READING = T.StructType([
     T.StructField("reading_id", T.StringType()),

@@ -7,17 +7,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-MIB = 1024 * 1024
-
-
-def shuffle_partitions(input_bytes: int, cores: int, target_mib: int = 128) -> int:
-    """Initial shuffle partitions: one per `target_mib`, at least three per core.
-
-    AQE merges what turns out to be too small, so a high start costs little.
-    """
-    return max(3 * cores, -(-input_bytes // (target_mib * MIB)), 1)
-
-
 def build_session(app: str = "thermoline", master: str | None = None,
                   conf: dict[str, str] | None = None) -> SparkSession:
     """Session with the settings the operators expect; `conf` wins over them."""

@@ -3,20 +3,26 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import partial
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from thermoline import constants as C
 from thermoline import schemas
 from thermoline.operators import cleaning, sequence
 
+# Holds the text of a JSON line that could not be read.
+BROKEN = "_broken_line"
+
+# Names of files of JSON lines.
+LINES = "*.json*"
+
 # Without it, JSON output cuts times to milliseconds.
 JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
-# What a landed Parquet file may hold; the time column has either name.
-PARQUET_HISTORY = T.StructType([*schemas.READING.fields, T.StructField("dt", T.DateType())])
 JSON_HISTORY = T.StructType([*schemas.MESSAGE.fields, T.StructField("dt", T.DateType())])
 
 
@@ -34,23 +40,52 @@ def read_history(spark: SparkSession, path: str, schema: T.StructType | None = N
     return reader.parquet(path)
 
 
+def _lines(spark: SparkSession, path: str, schema: T.StructType, names: str) -> DataFrame:
+    marked = T.StructType([*schema.fields, T.StructField(BROKEN, T.StringType())])
+    return (spark.read.schema(marked).option("columnNameOfCorruptRecord", BROKEN)
+            .option("pathGlobFilter", names).json(path))
+
+
 def read_history_json(spark: SparkSession, path: str,
-                      schema: T.StructType = JSON_HISTORY) -> DataFrame:
-    """JSON-Lines files of the tree; `dt` comes from the folders."""
-    return spark.read.schema(schema).option("pathGlobFilter", "*.json*").json(path)
+                      schema: T.StructType = JSON_HISTORY, names: str = LINES) -> DataFrame:
+    """JSON-Lines files of the tree; `dt` comes from the folders. Lines that are no JSON object
+    are no rows: `rejected_lines` has them."""
+    # A broken line has no field at all; naming one keeps Spark from reading the mark alone.
+    first = schema.fields[0].name
+    return _lines(spark, path, schema, names).filter(
+        F.col(BROKEN).isNull() | F.col(first).isNotNull()).drop(BROKEN)
+
+
+def rejected_lines(spark: SparkSession, path: str,
+                   schema: T.StructType = JSON_HISTORY, names: str = LINES) -> DataFrame:
+    """(dt, line, reject_reason) of the JSON lines that are not read as readings."""
+    first = schema.fields[0].name
+    broken = _lines(spark, path, schema, names).filter(
+        F.col(BROKEN).isNotNull() & F.col(first).isNull())
+    return broken.select("dt", F.col(BROKEN).alias("line"),
+                         F.lit(C.INVALID_JSON).alias("reject_reason"))
 
 
 def load_history(spark: SparkSession, path: str, dedupe: bool = False,
-                 merge_schema: bool = True) -> DataFrame:
+                 layouts: Sequence[tuple[str, T.StructType | None]] = (("*.parquet", None),),
+                 merge_schema: bool = False) -> DataFrame:
     """Parquet and JSON-Lines files of the same date folders as one canonical table.
 
-    Parquet files may differ in columns (rows without sensors, either time name); where all are
-    known to have the same, `merge_schema=False` spares the look at every footer. With `dedupe`
-    a reading delivered more than once counts once (its latest copy).
+    Files of one physical schema are a layout: a pattern of their names, and their schema or None
+    for that of one of them. Each layout is read by itself and brought to the canonical types, so
+    that doubles, texts and longs may lie beside decimals, times and ints. No footer but one a
+    layout is opened for this; `merge_schema` collects the columns of all files of a layout, which
+    takes a job. With `dedupe` a reading delivered more than once counts once (its latest copy);
+    readings without id all count.
     """
+    def parquet(names: str, schema: T.StructType | None) -> DataFrame:
+        reader = (spark.read.option("pathGlobFilter", names)
+                  .option("mergeSchema", str(merge_schema).lower()))
+        return (reader if schema is None else reader.schema(schema)).parquet(path)
+
+    reads = [partial(parquet, *layout) for layout in layouts]
     parts = []
-    for read in (lambda: read_history(spark, path, merge_schema=merge_schema),
-                 lambda: read_history_json(spark, path)):
+    for read in [*reads, lambda: read_history_json(spark, path)]:
         try:
             parts.append(cleaning.canonicalize(read()))
         except AnalysisException as error:
@@ -66,6 +101,28 @@ def load_history(spark: SparkSession, path: str, dedupe: bool = False,
     return rows
 
 
+def partitions(spark: SparkSession, path: str) -> DataFrame:
+    """(dt, files, bytes, changed) per date folder, from the file listing alone: no file is
+    opened."""
+    listed = spark.read.format("binaryFile").load(path)
+    return listed.groupBy("dt").agg(F.count("*").alias("files"), F.sum("length").alias("bytes"),
+                                    F.max("modificationTime").alias("changed"))
+
+
+def changed_dates(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """The dates (dt) whose newest file in `source` is newer than that in `target`, or which
+    `target` lacks."""
+    have = partitions(spark, source)
+    try:
+        there = partitions(spark, target).select("dt", F.col("changed").alias("published"))
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
+            raise
+        return have.select("dt")
+    return have.join(there, have["dt"].eqNullSafe(there["dt"]), "left").filter(
+        F.col("published").isNull() | (F.col("changed") > F.col("published"))).select(have["dt"])
+
+
 def load_first(spark: SparkSession,
                sources: Sequence[Callable[[SparkSession], DataFrame]]) -> DataFrame:
     """The first source whose path exists. Only a missing or empty path moves on to the next;
@@ -111,11 +168,20 @@ def write_history(df: DataFrame, path: str, partitions: Sequence[str] = ("dt",),
     writer.format(file_format).save(path)
 
 
-def sync_partitions(spark: SparkSession, source: str, target: str) -> None:
-    """Publishes raw history to another store: each date found replaces that date there, in
-    compacted files."""
-    columns = [*schemas.READING.names, "dt"]
-    write_history(load_history(spark, source).select(*columns), target)
+def sync_partitions(spark: SparkSession, source: str, target: str,
+                    dates: Sequence[str] | None = None) -> None:
+    """Publishes raw history to another store: each date replaces that date there, in compacted
+    files, with all its columns. `dates` names the dates; by default those that changed since
+    they were published, of which the driver gets the list (one entry per date)."""
+    if dates is None:
+        dates = [None if r["dt"] is None else str(r["dt"])
+                 for r in changed_dates(spark, source, target).collect()]
+    if not dates:
+        return
+    rows = load_history(spark, source)
+    named = [F.lit(d).cast("date") for d in dates if d is not None]
+    wanted = F.col("dt").isin(*named) if named else F.lit(False)
+    write_history(rows.filter(wanted | F.col("dt").isNull() if None in dates else wanted), target)
 
 
 def sync_report(df: DataFrame) -> DataFrame:

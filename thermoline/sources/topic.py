@@ -11,6 +11,8 @@ from thermoline import schemas
 from thermoline.functions import values
 from thermoline.operators import cleaning
 
+MAX_OFFSETS = 1_000_000
+
 
 def encode_records(df: DataFrame, key: str = "machine_id") -> DataFrame:
     """Rows as (key, value): UTF-8 key and JSON object. The event time travels under its
@@ -36,13 +38,24 @@ def decode_records(df: DataFrame, schema: T.StructType = schemas.MESSAGE) -> Dat
         *[F.col("_record")[f.name].alias(f.name) for f in schema.fields], *others)
 
 
+def check_records(df: DataFrame) -> DataFrame:
+    """Adds `reject_reason`: why a message (column value) is no record, or null. A record is a JSON
+    object; its fields may be missing or odd."""
+    text = F.trim(F.col("value").cast("string"))
+    parsed = F.try_parse_json(text).isNotNull()
+    return df.withColumn("reject_reason", F.when(~F.coalesce(parsed, F.lit(False)),
+                                                 F.lit(C.INVALID_JSON))
+                         .when(~text.startswith("{"), F.lit(C.NOT_AN_OBJECT)))
+
+
 def normalize_records(messages: DataFrame, now: Column | None = None,
-                      default_temperature: float = 0.0) -> DataFrame:
+                      default_temperature: float = 0.0,
+                      unreadable: str | None = None) -> DataFrame:
     """Decoded messages as typed readings with status and flag by temperature. Works the same
-    on a stream and on a table."""
+    on a stream and on a table. `unreadable` names a column that tells unreadable times."""
     typed = cleaning.normalize_temperature(messages, default=default_temperature)
     typed = typed.withColumn("timestamp", F.coalesce("timestamp", "txn_timestamp"))
-    typed = cleaning.normalize_timestamp(typed, now=now).drop("timestamp")
+    typed = cleaning.normalize_timestamp(typed, now=now, unreadable=unreadable).drop("timestamp")
     typed = typed.withColumns({s: values.to_number(F.col(s), None) for s in C.SENSOR_ESTIMATES})
     typed = cleaning.flag_breakdown(cleaning.classify_status(typed))
     known = schemas.READING.names
@@ -51,11 +64,14 @@ def normalize_records(messages: DataFrame, now: Column | None = None,
 
 def read_topic(spark: SparkSession, servers: str, topic: str = C.TOPIC,
                options: dict[str, str] | None = None) -> DataFrame:
-    """Stream of (key, value, offset) from the earliest offset. Needs the Kafka connector
-    package. Messages of one machine share a topic partition, so `offset` orders them."""
+    """Stream of (key, value, partition, offset) from the earliest offset, at most MAX_OFFSETS
+    messages a batch unless the options say otherwise, so that a backlog comes in pieces. Needs the
+    Kafka connector package. Messages of one machine share a topic partition, so `offset` orders
+    them; with `partition` it names a message."""
     reader = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
-              .option("subscribe", topic).option("startingOffsets", "earliest"))
-    return reader.options(**(options or {})).load().select("key", "value", "offset")
+              .option("subscribe", topic).option("startingOffsets", "earliest")
+              .option("maxOffsetsPerTrigger", str(MAX_OFFSETS)))
+    return reader.options(**(options or {})).load().select("key", "value", "partition", "offset")
 
 
 def write_topic(df: DataFrame, servers: str, topic: str = C.TOPIC, retries: int = 3,

@@ -21,20 +21,47 @@ RAW_FILES = T.StructType([*schemas.READING.fields, *_LANDING])
 LOG_FILES = T.StructType([*schemas.LOG.fields, *_LANDING])
 
 
-def telemetry_stream(messages: DataFrame) -> DataFrame:
-    """Messages (key, value, offset) → typed, classified readings. Stateless.
+def decoded_stream(messages: DataFrame) -> DataFrame:
+    """Messages (key, value, offset) → typed, classified readings with `reject_reason` and the
+    message's `raw_value`. Stateless. Rows with a reason are no readings: what is not a JSON
+    object, and what has a time that cannot be read.
 
     `arrived_at` is the micro-batch's own time, which the checkpoint records: a replayed batch
     gives the same rows, also where a missing event time falls back to it.
     """
-    arrived = messages.withColumn("arrived_at", F.current_timestamp())
-    return topic.normalize_records(topic.decode_records(arrived), now=F.col("arrived_at"))
+    arrived = topic.check_records(messages).withColumns({
+        "arrived_at": F.current_timestamp(), "raw_value": F.col("value").cast("string")})
+    rows = topic.normalize_records(topic.decode_records(arrived), now=F.col("arrived_at"),
+                                   unreadable="_unreadable")
+    return rows.withColumn("reject_reason", F.coalesce(
+        "reject_reason", F.when(F.col("_unreadable"), F.lit(C.UNREADABLE_TIME)))).drop(
+            "_unreadable")
+
+
+def telemetry_stream(messages: DataFrame) -> DataFrame:
+    """The readings of `decoded_stream`."""
+    return decoded_stream(messages).filter("reject_reason IS NULL").drop(
+        "reject_reason", "raw_value")
+
+
+def rejected_stream(messages: DataFrame) -> DataFrame:
+    """The other messages: raw_value, reject_reason, arrived_at and what places them."""
+    return _rejects(decoded_stream(messages))
+
+
+def _rejects(decoded: DataFrame) -> DataFrame:
+    places = [c for c in ("partition", "offset") if c in decoded.columns]
+    return decoded.filter("reject_reason IS NOT NULL").select(
+        "raw_value", "reject_reason", "arrived_at", *places)
 
 
 def dedupe_stream(readings: DataFrame, delay: str = "1 hour", key: str = "reading_id",
-                  time: str = "txn_timestamp") -> DataFrame:
-    """Drops redeliveries that come within `delay`; the state holds the ids of that span only."""
-    return readings.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+                  time: str = "arrived_at") -> DataFrame:
+    """Drops redeliveries that arrive within `delay` of the first; the state holds the ids of that
+    span only. `time` is the time of arrival, which never runs behind, so that a first delivery
+    is kept however old its event is. Readings without id are kept."""
+    known = readings.withColumn("_key", F.coalesce(F.col(key), F.uuid()))
+    return known.withWatermark(time, delay).dropDuplicatesWithinWatermark(["_key"]).drop("_key")
 
 
 def land_raw(readings: DataFrame, path: str, checkpoint: str,
@@ -49,7 +76,7 @@ def land_raw(readings: DataFrame, path: str, checkpoint: str,
 
 @dataclass(frozen=True)
 class Targets:
-    """Where `run_pipeline` keeps its four tables."""
+    """Where `run_pipeline` keeps its four tables, and the messages that are no readings."""
 
     spark: SparkSession
     root: str
@@ -58,6 +85,10 @@ class Targets:
     def raw(self) -> str:
         return f"{self.root}/raw"
 
+    @property
+    def rejects(self) -> str:
+        return f"{self.root}/rejects"
+
     @property
     def log(self) -> str:
         return f"{self.root}/log"
@@ -71,9 +102,9 @@ class Targets:
         return VersionedTable(self.spark, f"{self.root}/live_buffer", schemas.READING)
 
 
-def append_batch(rows: DataFrame, path: str, batch: str) -> None:
+def append_batch(rows: DataFrame, path: str, batch: str, time: str = "txn_timestamp") -> None:
     """Lands one micro-batch under dt=…/batch=…; a replay overwrites its own folders only."""
-    dated = cleaning.with_partition_date(rows).withColumn("batch", F.lit(batch))
+    dated = cleaning.with_partition_date(rows, time=time).withColumn("batch", F.lit(batch))
     history.write_history(dated, path, ("dt", "batch"))
 
 
@@ -98,10 +129,13 @@ def live_counts(buffer: DataFrame) -> DataFrame:
 
 def write_batch(readings: DataFrame, targets: Targets, batch: str,
                 buffer_size: int = C.LIVE_BUFFER, status_by: str = "event") -> None:
-    """Writes one micro-batch of readings to the four tables. Each write is idempotent, so a
-    batch that failed half-way is simply repeated."""
-    readings.persist()
+    """Writes one micro-batch of readings to the four tables, and those with a `reject_reason` to
+    the rejects. Each write is idempotent, so a batch that failed half-way is simply repeated."""
+    decoded = readings.persist()
     try:
+        if "reject_reason" in decoded.columns:
+            append_batch(_rejects(decoded), targets.rejects, batch, "arrived_at")
+            readings = decoded.filter("reject_reason IS NULL").drop("reject_reason", "raw_value")
         append_batch(readings, targets.raw, batch)
         append_batch(readings.select(*schemas.LOG.names, "arrived_at", "offset")
                      .filter(F.col("reading_id").isNotNull()), targets.log, batch)
@@ -114,7 +148,7 @@ def write_batch(readings: DataFrame, targets: Targets, batch: str,
         live.replace(live_buffer(live.read(), readings, buffer_size))
         live.prune()
     finally:
-        readings.unpersist()
+        decoded.unpersist()
 
 
 def run_pipeline(readings: DataFrame, targets: Targets, checkpoint: str,
@@ -138,17 +172,10 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_log(spark: SparkSession, path: str,
-             update_cols: tuple[str, ...] | str = combine.LOG_UPDATES,
-             since: str | None = None) -> DataFrame:
+             update_cols: tuple[str, ...] | str = combine.LOG_UPDATES) -> DataFrame:
     """The readings log: one row per reading, merged over all deliveries on read. Appending
-    costs a batch only its own size; `compact_log` keeps reading cheap.
-
-    `since` reads the date partitions from that day on; a reading that was delivered again
-    with another event date needs the whole log.
-    """
+    costs a batch only its own size; `compact_log` keeps reading cheap."""
     rows = history.read_history(spark, path, LOG_FILES)
-    if since is not None:
-        rows = rows.filter(F.col("dt") >= F.lit(since).cast("date"))
     folded = combine.fold_by_key(rows.drop("dt"), "reading_id", update_cols,
                                  ("arrived_at", "batch", "offset", "txn_timestamp"))
     return folded.select(*schemas.LOG.names, "arrived_at", "offset")
