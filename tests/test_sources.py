@@ -135,7 +135,8 @@ def test_jdbc_options():
 
 def test_scratch_lies_in_the_folder_the_session_names(spark):
     folder = spark.conf.get("spark.checkpoint.dir")
-    assert session.scratch_path(spark, "x").startswith(folder + "/x-")
+    own = f"{folder}/{spark.sparkContext.applicationId}/x-"
+    assert session.scratch_path(spark, "x").startswith(own)
 
 
 def test_materialize(spark, telemetry):

@@ -1100,9 +1100,81 @@ def _(t):
                           features[1].alias("branch_idx"))
 
 
-@query("m4_train")
-def _(t):
-    return learning_jobs.train_on(t)[1]
+# The model by Newton steps on the counts: twelve from zero, features scaled, solved by Cramer's
+# rule. Margins above zero are predicted failures.
+FIT = f"""
+labelled AS (
+  SELECT cast(('0x' || substring(md5(reading_id || ':42'), 1, 8)) AS bigint) % 100 < 80 AS training,
+         cast(temp AS double) AS temp, branch, cast(next_temp > 70 AS int) AS y,
+         cast(count(*) AS double) AS w
+  FROM ({NEXT}) WHERE next_temp IS NOT NULL GROUP BY ALL),
+places AS (
+  SELECT branch, row_number() OVER (ORDER BY sum(w) DESC, branch) - 1 AS i
+  FROM labelled WHERE training GROUP BY branch),
+points AS (
+  SELECT training, (temp - 60) / 20 AS x, coalesce(i, (SELECT count(*) FROM places)) / 6.0 AS z,
+         y, w
+  FROM labelled LEFT JOIN places USING (branch)),
+fit(step, a, b, c) AS (
+  SELECT 0, 0.0::double, 0.0::double, 0.0::double
+  UNION ALL
+  SELECT step + 1,
+    a + (g0 * (h11 * h22 - h12 * h12) - h01 * (g1 * h22 - h12 * g2)
+         + h02 * (g1 * h12 - h11 * g2)) / det,
+    b + (h00 * (g1 * h22 - h12 * g2) - g0 * (h01 * h22 - h12 * h02)
+         + h02 * (h01 * g2 - g1 * h02)) / det,
+    c + (h00 * (h11 * g2 - g1 * h12) - h01 * (h01 * g2 - g1 * h02)
+         + g0 * (h01 * h12 - h11 * h02)) / det
+  FROM (
+    SELECT *, h00 * (h11 * h22 - h12 * h12) - h01 * (h01 * h22 - h12 * h02)
+              + h02 * (h01 * h12 - h11 * h02) AS det
+    FROM fit, LATERAL (
+      SELECT sum(w * (y - p)) AS g0, sum(w * (y - p) * x) AS g1, sum(w * (y - p) * z) AS g2,
+             sum(w * p * (1 - p)) AS h00, sum(w * p * (1 - p) * x) AS h01,
+             sum(w * p * (1 - p) * z) AS h02, sum(w * p * (1 - p) * x * x) AS h11,
+             sum(w * p * (1 - p) * x * z) AS h12, sum(w * p * (1 - p) * z * z) AS h22
+      FROM (SELECT *, 1 / (1 + exp(-(fit.a + fit.b * x + fit.c * z))) AS p
+            FROM points WHERE training)) WHERE step < 12)),
+model AS (SELECT a, b, c FROM fit WHERE step = 12)"""
+
+
+def fitted_sql(body: str, *parts: str) -> str:
+    return sql(body, *parts, FIT).replace("WITH", "WITH RECURSIVE", 1)
+
+
+def predicted_sql(table: str) -> str:
+    return fitted_sql(f"""
+SELECT machine_id, t.branch, cast(a + b * (cast(cycle_temperature AS double) - 60) / 20
+         + c * coalesce(i, (SELECT count(*) FROM places)) / 6.0 > 0 AS int) AS prediction,
+       strftime(TIMESTAMP '{inputs.SCORED_AT}', '%Y-%m-%d %H:%M:%S.%f') AS scored_at
+FROM {table} t LEFT JOIN places ON t.branch = places.branch, model""", LATEST)
+
+
+@query("m4_train", fitted_sql("""
+SELECT cast(sum(w) FILTER (WHERE training) AS bigint) AS train_rows,
+       cast(sum(w) FILTER (WHERE NOT training) AS bigint) AS test_rows,
+       any_value(auc) AS auc, any_value(weighted_precision) AS weighted_precision,
+       any_value(weighted_recall) AS weighted_recall, any_value(failure_recall) AS failure_recall
+FROM points, (
+  SELECT round(sum(w * y * (below + same / 2)) / (p * (n - p)), 2) AS auc,
+         round(CASE WHEN tp + fp > 0 THEN p / n * tp / (tp + fp) ELSE 0 END
+               + CASE WHEN n > tp + fp THEN (n - p) / n * tn / (n - tp - fp) ELSE 0 END, 2)
+           AS weighted_precision,
+         round((tp + tn) / n, 2) AS weighted_recall, round(tp / p, 2) AS failure_recall
+  FROM (
+    SELECT *, sum(w * (1 - y)) OVER (PARTITION BY m) AS same,
+           coalesce(sum(w * (1 - y)) OVER (ORDER BY m RANGE BETWEEN UNBOUNDED PRECEDING
+                                           AND CURRENT ROW EXCLUDE GROUP), 0) AS below,
+           sum(w) OVER () AS n, sum(w * y) OVER () AS p,
+           coalesce(sum(w * y) FILTER (WHERE m > 0) OVER (), 0) AS tp,
+           coalesce(sum(w * (1 - y)) FILTER (WHERE m > 0) OVER (), 0) AS fp,
+           coalesce(sum(w * (1 - y)) FILTER (WHERE m <= 0) OVER (), 0) AS tn
+    FROM (SELECT y, w, a + b * x + c * z AS m FROM points, model WHERE NOT training))
+  GROUP BY n, p, tp, fp, tn)"""))
+def _(t):
+    metrics = learning_jobs.train_on(t)[1]
+    return metrics.select("train_rows", "test_rows", *[
+        F.round(c, 2).alias(c) for c in metrics.columns if not c.endswith("_rows")])
 
 
 @query("m4_fit_conditions", sql(f"""
@@ -1199,13 +1271,13 @@ def _(t):
     return metrics.select(*[F.round(c, 9).alias(c) for c in metrics.columns])
 
 
-@query("m7_score_latest")
+@query("m7_score_latest", predicted_sql("latest"))
 def _(t):
     model, _metrics = learning_jobs.train_on(t)
     return learning.score(model, t, "latest", inputs.at(inputs.SCORED_AT))
 
 
-@query("k10_saved_model_scores_all")
+@query("k10_saved_model_scores_all", predicted_sql("telemetry"))
 def _(t):
     path = scratch_path(t.sparkSession, "model")
     model, _metrics = learning_jobs.train_on(t)

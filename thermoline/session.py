@@ -46,8 +46,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    """A new, unused path below the shared folder, in the application's own part of it: once the
+    application has ended, that part can go as a whole."""
+    own = spark.sparkContext.applicationId
+    return f"{shared_dir(spark)}/{own}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
