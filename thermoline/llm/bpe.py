@@ -5,7 +5,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
+from collections.abc import Callable
+from functools import cached_property, lru_cache
 from itertools import islice
 
 import numpy as np
@@ -17,8 +18,8 @@ from pyspark.sql import types as T
 from thermoline.llm.common import arrow_map, library_path, others
 
 #: Bounds of what a worker remembers: pieces of text, and states of the transducer.
-MAX_PIECES = 300_000
-MAX_STATES = 200_000
+MAX_PIECES = 250_000
+MAX_STATES = 150_000
 
 #: After so many bytes without a certain token the live ways are compared for a common start.
 LOOKAHEAD = 256
@@ -39,33 +40,41 @@ class Transducer:
         self.ranks = ranks
         self.tokens: dict[int, bytes] = {i: t for t, i in ranks.items()}
         self.length = {i: len(t) for i, t in self.tokens.items()}
-        self.trie: list[dict[int, int]] = [{}]
-        self.ends: list[int] = [-1]
+        #: The trie of all tokens: by node and byte the child; by node the token that ends there,
+        #: its depth, and whether tokens go on.
+        self.child: dict[int, int] = {}
+        self.ends, self.depth, self.inner = [-1], [0], [True]
         for token, rank in ranks.items():
             at = 0
             for b in token:
-                if b not in self.trie[at]:
-                    self.trie[at][b] = len(self.trie)
-                    self.trie.append({})
+                self.inner[at] = True
+                node = self.child.get(at << 8 | b)
+                if node is None:
+                    node = self.child[at << 8 | b] = len(self.ends)
                     self.ends.append(-1)
-                at = self.trie[at][b]
+                    self.depth.append(self.depth[at] + 1)
+                    self.inner.append(False)
+                at = node
             self.ends[at] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.may_follow: dict[tuple[int, int], bool] = {}
         self.reset()
 
     def reset(self) -> None:
         self.names: dict[tuple, int] = {}
-        self.live: list[tuple[tuple[int, int], ...]] = []
+        #: By state its live starts: node of the trie, and last token before the start plus one.
+        self.live: list[tuple[int, ...]] = []
         #: By state and byte: the next state and the last token, each as one number.
         self.moves: dict[int, int] = {}
-        self.state(((0, -1),))
+        #: By left and right token, as one number: whether they may stand side by side.
+        self.may_follow: dict[int, bool] = {}
+        self.state((0,))
 
     def state(self, live: tuple) -> int:
-        if live not in self.names:
-            self.names[live] = len(self.live)
+        name = self.names.get(live)
+        if name is None:
+            name = self.names[live] = len(self.live)
             self.live.append(live)
-        return self.names[live]
+        return name
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens of which the last merge made `token`; None for a single byte."""
@@ -86,44 +95,43 @@ class Transducer:
         """Whether the bytes of both together are encoded as just these two tokens.
 
         Undoing merges from the last, the two tokens that touch the border must at no time make a
-        pair that would have been merged before.
+        pair that would have been merged before. The younger merge is undone first; of equal ones
+        the right one, as merging goes from the left.
         """
-        if left < 0:
-            return True
-        key = (left, right)
-        if key not in self.may_follow:
-            self.may_follow[key] = self._allowed(left, right)
-        return self.may_follow[key]
-
-    def _allowed(self, left: int, right: int) -> bool:
-        tokens, limit = self.tokens, 1 << 62
+        get, tokens, split, limit = self.ranks.get, self.tokens, self.split, 1 << 62
         while True:
-            if self.ranks.get(tokens[left] + tokens[right], 1 << 62) < limit:
+            joint = get(tokens[left] + tokens[right])
+            if joint is not None and joint < limit:
                 return False
-            parts = [(t, self.split(t)) for t in (left, right)]
-            if parts[0][1] is None and parts[1][1] is None:
-                return True
-            # The younger merge is undone first; of equal ones the right one, as merging goes
-            # from the left. A merge across the border must then have come before it.
-            undo_left = parts[1][1] is None or (parts[0][1] is not None and left > right)
-            if undo_left:
-                limit = left
-                left = parts[0][1][1]
+            a, b = split(left), split(right)
+            if b is None or (a is not None and left > right):
+                if a is None:
+                    return True
+                limit, left = left, a[1]
             else:
-                limit = right + 1
-                right = parts[1][1][0]
+                limit, right = right + 1, b[0]
 
     def move(self, state: int, byte: int) -> int:
+        child, ends, inner, known = self.child, self.ends, self.inner, self.may_follow
         last, live = -1, []
-        for node, before in self.live[state]:
-            node = self.trie[node].get(byte)
+        for start in self.live[state]:
+            node = child.get((start >> 20) << 8 | byte)
             if node is None:
                 continue
-            if last < 0 and self.ends[node] >= 0 and self.allowed(before, self.ends[node]):
-                last = self.ends[node]
-            if self.trie[node]:
-                live.append((node, before))
-        live.append((0, last))
+            before, token = start & 0xFFFFF, ends[node]
+            if last < 0 <= token:
+                if before:
+                    key = before << 20 | token
+                    fits = known.get(key)
+                    if fits is None:
+                        fits = known[key] = self.allowed(before - 1, token)
+                    if fits:
+                        last = token
+                else:
+                    last = token
+            if inner[node]:
+                live.append(node << 20 | before)
+        live.append(last + 1)
         return self.state(tuple(live)) << 20 | last
 
     def encode(self, data: bytes) -> list[int]:
@@ -149,7 +157,7 @@ class Transducer:
 
     def settle(self, state: int, lasts: list[int], out: list[int]) -> list[int]:
         """Emits the tokens on which all live starts agree; returns what is open still."""
-        depth = [len(lasts) - self.depth(node) for node, _ in self.live[state]]
+        depth = [len(lasts) - self.depth[start >> 20] for start in self.live[state]]
         chains = []
         for end in depth:
             ends = []
@@ -166,14 +174,6 @@ class Transducer:
             out.append(lasts[end - 1])
         return lasts[agreed[-1]:] if agreed else lasts
 
-    def depth(self, node: int) -> int:
-        if not hasattr(self, "depths"):
-            self.depths = [0] * len(self.trie)
-            for at, row in enumerate(self.trie):  # children come after their parent
-                for child in row.values():
-                    self.depths[child] = self.depths[at] + 1
-        return self.depths[node]
-
 
 class Pieces(dict):
     """Packed ids of the pieces met so far."""
@@ -232,17 +232,22 @@ class Utf8Stream:
 
 
 class Coder:
+    """Encoder and decoder of one vocabulary; the transducer is built when first needed."""
+
     def __init__(self, file: bytes, pattern: str) -> None:
-        ranks = {}
+        self.ranks = {}
         for line in file.splitlines():
             if line.strip():
                 token, rank = line.split()
-                ranks[base64.b64decode(token)] = int(rank)
+                self.ranks[base64.b64decode(token)] = int(rank)
+        self.tokens = ["�".encode()] * (max(self.ranks.values(), default=-1) + 1)
+        for token, rank in self.ranks.items():
+            self.tokens[rank] = token
         self.pattern = regex.compile(pattern)
-        self.transducer = Transducer(ranks)
-        self.pieces = Pieces(self.transducer)
-        self.tokens = [self.transducer.tokens.get(i, "�".encode())
-                       for i in range(max(ranks.values(), default=0) + 1)]
+
+    @cached_property
+    def pieces(self) -> Pieces:
+        return Pieces(Transducer(self.ranks))
 
     def encode(self, text: str) -> bytes:
         if len(self.pieces) > MAX_PIECES:
@@ -280,9 +285,27 @@ def coder(file: bytes, pattern: str) -> Coder:
     return _coder(digest, pattern)
 
 
-def _broadcast(docs: DataFrame, path: str):
+def _mapped(docs: DataFrame, path: str, pattern: str, column: str, made: list[T.StructField],
+            run: Callable[[Coder, list], list[pa.Array]]) -> DataFrame:
+    library_path(docs.sparkSession)
     with open(path, "rb") as file:
-        return docs.sparkSession.sparkContext.broadcast(file.read())
+        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+    mine = docs.select(*others(docs, [f.name for f in made]))
+    return arrow_map(mine, column, made, lambda _, values: run(
+        coder(shared.value, pattern), values), portion=1 << 20)
+
+
+IDS = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+DECODED = [T.StructField("decoded", T.StringType())]
+
+
+def _encoded(own: Coder, texts: list) -> list[pa.Array]:
+    ids = [own.encode(t) if t else b"" for t in texts]
+    return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+
+
+def _decoded(own: Coder, packed: list) -> list[pa.Array]:
+    return [pa.array([own.decode(x) if x else "" for x in packed], pa.string())]
 
 
 def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
@@ -295,28 +318,19 @@ def encode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> Da
     rows and empty tables make no difference. A text of any length takes memory in proportion to
     it; a single match is read byte by byte.
     """
-    library_path(docs.sparkSession)
-    shared = _broadcast(docs, path)
-
-    def run(rows: pa.RecordBatch, texts: list) -> list[pa.Array]:
-        own = coder(shared.value, pattern)
-        ids = [own.encode(t) if t else b"" for t in texts]
-        return [pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-
-    made = [T.StructField("ids", T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    return arrow_map(docs.select(*others(docs, ["ids", "n_tokens"])), column, made, run)
+    return _mapped(docs, path, pattern, column, IDS, _encoded)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str = "", column: str = "ids") -> DataFrame:
     """All columns with `decoded`, the text of `ids`. Ids without token become U+FFFD, as do bytes
     that are not UTF-8. Null ids give an empty text."""
-    library_path(encoded.sparkSession)
-    shared = _broadcast(encoded, path)
+    return _mapped(encoded, path, pattern, column, DECODED, _decoded)
 
-    def run(rows: pa.RecordBatch, packed: list) -> list[pa.Array]:
-        own = coder(shared.value, pattern)
-        return [pa.array([own.decode(x) if x else "" for x in packed], pa.string())]
 
-    return arrow_map(encoded.select(*others(encoded, ["decoded"])), column,
-                     [T.StructField("decoded", T.StringType())], run)
+def encode_and_decode(docs: DataFrame, path: str, pattern: str, column: str = "text") -> DataFrame:
+    """`decode` of `encode`, in one pass over the rows by the same workers."""
+    def run(own: Coder, texts: list) -> list[pa.Array]:
+        ids = _encoded(own, texts)
+        return [*ids, *_decoded(own, ids[0].to_pylist())]
 
+    return _mapped(docs, path, pattern, column, IDS + DECODED, run)

@@ -105,7 +105,7 @@ def op5_byte_cnn(spark: SparkSession, folder: str) -> DataFrame:
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path, pattern = tokenizer()
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    done = bpe.decode(bpe.encode(docs, path, pattern).drop("text"), path, pattern)
+    done = bpe.encode_and_decode(docs, path, pattern).drop("text")
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
