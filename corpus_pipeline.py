@@ -38,7 +38,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and whether decoding them gives its text again."""
     path, pattern = tokenizer()
-    done = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    done = bpe.encode_and_decode(docs, path, pattern)
     return done.select("doc_id", "lang", "source", "n_tokens", "ids",
                        F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("same"))
 
