@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermoline.llm.common import SPACES, fold_ascii, others
+from thermoline.llm.common import SPACES, fold_ascii, sheltered
 from thermoline.session import materialize
 
 MADE = ["text", "n_lines", "n_dropped"]
@@ -34,26 +34,28 @@ def drop_repeated_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20)
         .select("doc", "row", "pos", F.xxhash64("key").alias("h1"),
                 F.xxhash64(F.lit(1), "key").alias("h2")))
     lines = materialize(lines, "lines")
-    common = (
+    # Written, so that the join below reads plain exchanges, which AQE splits at a hot key.
+    common = materialize(
         lines.select("h1", "h2", "doc").distinct()
         .groupBy("h1", "h2").agg(F.count("*").alias("n"), F.max("doc").alias("last"))
-        .where(F.col("n") >= min_docs).drop("n"))
+        .where(F.col("n") >= min_docs).drop("n"), "common")
     gone = (
         lines.join(common, ["h1", "h2"]).where(F.col("doc") < F.col("last"))
         .groupBy("doc", "row").agg(F.collect_set("pos").alias("gone")))
+    gone = materialize(gone, "gone")
+    mine, names = sheltered(docs, MADE)
+    whole = F.coalesce(F.col("text"), F.lit(""))
     joined = (
-        docs.withColumn("_row", F.xxhash64(text))
-        .join(gone, (F.col("doc_id") == gone["doc"]) & (F.col("_row") == gone["row"]), "left")
-        .withColumns({"_lines": F.split(text, "\n", -1),
-                      "_gone": F.coalesce("gone", F.array().cast("array<int>"))})
-        .withColumn("_left", F.array_except(
-            F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")))
-    kept = F.when(F.size("_gone") == 0, text).otherwise(
-        F.array_join(F.transform("_left", lambda i: F.get("_lines", i)), "\n"))
+        mine.withColumn("row", F.xxhash64(whole)).join(gone, ["doc", "row"], "left")
+        .withColumns({"lines": F.split(whole, "\n", -1),
+                      "gone": F.coalesce("gone", F.array().cast("array<int>"))})
+        .withColumn("left", F.array_except(
+            F.sequence(F.lit(0), F.size("lines") - 1), "gone")))
+    kept = F.when(F.size("gone") == 0, whole).otherwise(
+        F.array_join(F.transform("left", lambda i: F.get("lines", i)), "\n"))
     return joined.select(
-        *others(docs, MADE), kept.alias("text"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_dropped"))
+        *names, kept.alias("text"), F.size("lines").cast("long").alias("n_lines"),
+        F.size("gone").cast("long").alias("n_dropped"))
 
 
 SQL = r"""
