@@ -16,14 +16,15 @@ from thermoline.llm.common import (
     blocks,
     library_path,
     mix,
-    others,
+    sheltered,
     words_by_text,
 )
 from thermoline.llm.components import connected_components
 from thermoline.session import materialize
 
-#: Minwise tokens a document, independent trees, and the deepest level of a tree.
-COORDS, TREES, DEPTH = 64, 10, 6
+#: Minwise tokens a document, independent trees, the deepest level of a tree, and the trees whose
+#: large nodes are followed first.
+COORDS, TREES, DEPTH, LEAD = 64, 10, 6, 2
 
 #: Documents of a node that is compared exhaustively; documents and shingles that are compared
 #: exactly in one task.
@@ -109,27 +110,79 @@ def _children(rows: DataFrame, level: int, similarity: float) -> DataFrame:
     chosen = F.when(twice, F.array(first, (first + step) % COORDS)).otherwise(F.array(first))
     out = rows.select("node", "id", "mh", F.explode(chosen).alias("coord"))
     token = F.substring(mh, (4 * F.col("coord") + 1).cast("int"), F.lit(4))
-    return out.select(F.xxhash64(node, "coord", token).alias("node"), "id")
+    tree = [node.alias("tree")] if level == 0 else []
+    return out.select(F.xxhash64(node, "coord", token).alias("node"), "id", *tree)
 
 
-def _grow(reps: DataFrame, similarity: float) -> tuple[list[DataFrame], DataFrame | None]:
-    """Nodes of all trees: small ones as (node, id), and what is still large at the last level."""
-    tokens = reps.select("id", "mh")
-    trees = F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long"))
-    rows = tokens.select(F.explode(trees).alias("node"), "id", "mh")
+def _deeper(large: DataFrame, tokens: DataFrame, similarity: float,
+            labels: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
+    """Small nodes (node, id) below `large` ones, and what is still large at the last level. With
+    `labels` (id, component) nodes of one component are left out: they can link nothing anew."""
     small = []
-    for level in range(DEPTH):
-        rows = _children(rows, level, similarity)
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
-        held = materialize(rows.join(sizes, "node"), f"level{level}")
-        small.append(held.where(F.col("size") <= NODE).select("node", "id"))
-        large = held.where(F.col("size") > NODE).select("node", "id")
+    for level in range(1, DEPTH):
+        if labels is not None:
+            large = _mixed(large, labels)
+        large = materialize(large, "large")
         if large.isEmpty():
             return small, None
-        rows = large.join(tokens, "id")
+        rows = _children(large.join(tokens, "id"), level, similarity)
+        held = _sized(rows, f"level{level}")
+        small.append(held.where(F.col("size") <= NODE).select("node", "id"))
+        large = held.where(F.col("size") > NODE).select("node", "id")
     return small, large
 
 
+def _sized(rows: DataFrame, name: str) -> DataFrame:
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    return materialize(rows.join(sizes, "node"), name)
+
+
+def _mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """The nodes whose documents belong to more than one component."""
+    known = nodes.join(labels, "id", "left").select(
+        "node", F.coalesce("component", "id").alias("label"))
+    mixed = known.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(
+        "a < b").select("node")
+    return nodes.join(mixed, "node", "left_semi")
+
+
+def _candidates(reps: DataFrame, similarity: float, agree: int) -> DataFrame:
+    """(id, component): groups of documents that may be similar.
+
+    All trees take their first step together. Where nodes stay large, as those of many edited
+    copies of one text do in every tree, the first LEAD trees go on alone; what they connect is
+    not branched again, and the other trees go on with the nodes that still hold several groups.
+    """
+    tokens = reps.select("id", "mh")
+    trees = F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long"))
+    rows = _children(tokens.select(F.explode(trees).alias("node"), "id", "mh"), 0, similarity)
+    held = _sized(rows, "level0")
+    small = held.where(F.col("size") <= NODE).select("node", "id")
+    large = held.where(F.col("size") > NODE)
+
+    def edges(nodes: list[DataFrame], dense: DataFrame | None) -> DataFrame:
+        union = nodes[0]
+        for more in nodes[1:]:
+            union = union.unionAll(more)
+        out = union.join(tokens, "id").select("node", "id", "mh").repartition(
+            "node").sortWithinPartitions("node").mapInArrow(_agreeing(agree), "a long, b long")
+        if dense is not None:
+            centre = dense.groupBy("node").agg(F.min("id").alias("a"))
+            out = out.unionAll(dense.join(centre, "node").where("a != id").select(
+                "a", F.col("id").alias("b")))
+        return out
+
+    more, dense = _deeper(large.where(F.col("tree") < LEAD).select("node", "id"), tokens,
+                          similarity)
+    groups = materialize(connected_components(edges([small, *more], dense)), "groups")
+    more, dense = _deeper(large.where(F.col("tree") >= LEAD).select("node", "id"), tokens,
+                          similarity, groups)
+    if not more:
+        return groups
+    known = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    return materialize(connected_components(known.unionAll(edges(more, dense))), "groups")
+
+
 def _agreeing(limit: int):
     """For each small node a forest over its documents whose tokens agree in `limit` coordinates."""
 
@@ -333,19 +386,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     reps = materialize(
         usable.groupBy("sig", "n").agg(F.min(F.struct("doc_id", "mh")).alias("m"))
         .select("sig", "n", F.col("m.doc_id").alias("id"), "m.mh"), "reps")
-    small, dense = _grow(reps, similarity)
-    nodes = small[0]
-    for more in small[1:]:
-        nodes = nodes.unionAll(more)
-    with_tokens = nodes.join(reps.select("id", "mh"), "id").select("node", "id", "mh")
-    candidates = with_tokens.repartition("node").sortWithinPartitions("node").mapInArrow(
-        _agreeing(agree), "a long, b long")
-    if dense is not None:
-        centre = dense.groupBy("node").agg(F.min("id").alias("a"))
-        candidates = candidates.unionAll(
-            dense.join(centre, "node").where("a != id").select("a", F.col("id").alias("b")))
-    groups = connected_components(candidates)
-    groups = materialize(groups, "groups")
+    groups = _candidates(reps, similarity, agree)
     texts = docs.where("doc_id is not null").select(
         F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(
             "text")).join(groups.select("id"), "id", "left_semi")
@@ -364,7 +405,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 def _result(docs: DataFrame, rows: DataFrame) -> DataFrame:
     by_id = rows.groupBy(F.col("doc_id").alias("_id")).agg(
         F.max("n").alias("n"), F.min("component").alias("component"))
-    return docs.join(by_id, F.col("doc_id") == F.col("_id"), "left").select(
-        *others(docs, MADE), F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
+    mine, names = sheltered(docs, MADE)
+    return mine.join(by_id, F.col("doc") == F.col("_id"), "left").select(
+        *names, F.coalesce("n", F.lit(0)).cast("long").alias("n_shingles"),
         F.col("component").alias("component_id"),
-        F.col("doc_id").eqNullSafe(F.col("component")).alias("kept"))
+        F.col("doc").eqNullSafe(F.col("component")).alias("kept"))
