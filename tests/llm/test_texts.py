@@ -355,6 +355,20 @@ def test_decontamination_recall(spark):
     assert len(clean) <= 2
 
 
+def test_decontamination_recall_of_many_items(spark):
+    """Copies are found however many items there are, also between words that weigh more."""
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(3000)]
+    items = [(k, " ".join(r.choices(words, k=r.randrange(16, 60)))) for k in range(1200)]
+    docs = [(k, " ".join([*r.choices(words, k=r.randrange(90)), text,
+                          *(f"rare{k}x{i}" for i in range(r.randrange(90)))]))
+            for k, text in items]
+    found = {(x["doc_id"], x["item_id"]) for x in latent.contaminated(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(k, k) for k, _ in items}
+
+
 def test_decontamination_of_odd_rows(odd, empty, spark):
     items = spark.createDataFrame(
         [(1, None, None), (2, "", None), (3, "too short", None), (3, "one", "x"),
