@@ -14,6 +14,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 from thermoline.llm import bpe, byte_cnn, chosen_path, components, latent, ppm, suffix_merge
+from thermoline.llm.common import bounded_sample
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -307,6 +308,30 @@ def test_quality_of_odd_rows(odd, empty):
         "doc_id", "1 quality"))).count() == 0
 
 
+def test_samples_with_long_texts(spark):
+    """Long texts take no room from all others, and the bound holds with them."""
+    rows = [("a", f"short text {i} " * 10) for i in range(400)]
+    rows += [("a", f"{i} long " * 100_000) for i in range(8)] + [("b", "\u4e2d\u6587" * 300_000)]
+    df = spark.createDataFrame(rows, "label string, text string")
+    sample = bounded_sample(df, "label", 1000, 200_000).collect()
+    short = [r for r in sample if r["text"].startswith("short")]
+    assert len(short) >= 350 and {r["label"] for r in sample} == {"a", "b"}
+    assert sum(len(r["text"].encode()) for r in sample) <= 200_000
+    assert all(r["text"] in t for r in sample for label, t in rows[-9:]
+               if label == r["label"] == "b")
+
+
+def test_samples_with_rare_groups(spark):
+    """Groups that hold little leave their share to others."""
+    rows = [("a", f"{i} " * 250) for i in range(100, 400)]
+    rows += [(f"rare{i}", f"text {i}") for i in range(300)]
+    sample = bounded_sample(spark.createDataFrame(rows, "label string, text string"), "label",
+                            1000, 150_000).collect()
+    assert sum(r["label"] == "a" for r in sample) >= 50
+    assert {r["label"] for r in sample} == {label for label, _ in rows}
+    assert sum(len(r["text"]) for r in sample) <= 150_000
+
+
 # -- decontamination ----------------------------------------------------------------------------
 
 def test_common_subsequence():

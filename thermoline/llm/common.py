@@ -194,26 +194,51 @@ def small(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(written) if written.count() <= SMALL_ROWS else written
 
 
+#: Of a text that holds more than one in so many parts of a group's bytes, a piece is learnt from.
+PIECES = 20
+
+
 def bounded_sample(rows: DataFrame, group: str, max_rows: int, max_bytes: int) -> DataFrame:
     """Rows (group, text) to learn from: of each group, in the order of a hash of the text, at most
-    `max_rows` different texts, until they hold an equal share of `max_bytes` (one in any case).
+    `max_rows` different texts, until they hold the group's share of `max_bytes` (one in any case).
     Rows without group or with a null or empty text are left out.
 
+    A share is an equal one or, where other groups hold less than theirs, up to as many times two
+    of that as all groups together stay within `max_bytes`. Of a text of over a PIECES-th of the
+    share a piece of that length at most stands for it, from a place that the hash chooses, so that
+    one long text takes no room from all that follow.
+
     Up to 1,000 rows a group are cut in each task before anything is shuffled, so that a group with
     most of the rows costs no more than others; texts move only once they are chosen.
     """
     named = rows.where(F.col(group).isNotNull() & (F.col("text") != "")).select(
         F.col(group).alias("_group"), "text", F.xxhash64("text").alias("_h"))
     keys = named.select("_group", "_h", F.octet_length("text").alias("size"))
-    first = keys.distinct().withColumn("rank", F.row_number().over(
-        Window.partitionBy("_group").orderBy("_h", "size"))).where(F.col("rank") <= max_rows)
-    groups = first.select("_group").distinct().agg(F.count("*")).scalar()
-    total = F.sum("size").over(Window.partitionBy("_group").orderBy("rank"))
+    first = materialize(keys.distinct().withColumn("rank", F.row_number().over(
+        Window.partitionBy("_group").orderBy("_h", "size"))).where(F.col("rank") <= max_rows),
+        "ranked")
+    groups = max(1, first.select("_group").distinct().count())
+    levels = [min(max_bytes, max_bytes * 2 ** j / groups) for j in range(groups.bit_length() + 1)]
+    held = first.groupBy("_group").agg(*[
+        F.least(F.sum(F.least("size", F.lit(x / PIECES))), F.lit(x)).alias(f"at{j}")
+        for j, x in enumerate(levels)])
+    sums = held.agg(*[F.coalesce(F.sum(f"at{j}"), F.lit(0.0)) for j in range(len(levels))]).first()
+    share = max([x for x, total in zip(levels, sums, strict=True) if total <= max_bytes],
+                default=levels[0])
+    piece = max(4, int(share / PIECES))
+    total = F.sum(F.least("size", F.lit(piece))).over(Window.partitionBy("_group").orderBy("rank"))
     chosen = small(first.withColumn("total", total).where(
-        (F.col("total") <= F.lit(max_bytes) / groups) | (F.col("rank") == 1)
+        (F.col("total") <= share) | (F.col("rank") == 1)
     ).select("_group", "_h", F.lit(True).alias("_take")), "sample")
+    # No character has more than four bytes.
+    ascii_only = F.octet_length("text") == F.char_length("text")
+    length = F.when(ascii_only, piece).otherwise(piece // 4)
+    places = F.greatest(F.char_length("text") - length, F.lit(0)) + 1
+    part = F.substring("text", F.pmod("_h", places).cast("int") + 1, length)
     return named.join(chosen, ["_group", "_h"]).select(
-        F.col("_group").alias(group), "text").distinct()
+        F.col("_group").alias(group),
+        F.when(F.octet_length("text") > piece, part).otherwise(F.col("text")).alias("text")
+    ).distinct()
 
 
 def arrow_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, list]]:
