@@ -12,13 +12,17 @@ from thermoline.llm import (
     byte_cnn,
     chosen_path,
     latent,
+    lexical,
     licences,
     lines,
     ngram_ratio,
+    packed,
     ppm,
     revisits,
     suffix_merge,
+    whitening,
 )
+from thermoline.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -110,6 +114,28 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
                        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query()
+def op11_packed_ids(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+    path = scratch_path(spark, "packed_ids")
+    packed.write_ids(table(spark, folder, "documents").select("doc_id", "text"), path,
+                     public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return packed.with_crc32(packed.read_documents(spark, path))
+
+
+@query()
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    rows, model, error = whitening.whiten(
+        table(spark, folder, "embeddings").select("vec_id", "embedding"))
+    return whitening.by_component(rows, model, error)
+
+
+@query(lexical.sql())
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return lexical.search(docs, table(spark, folder, "benchmark"))
+
+
 def tokenizer() -> tuple[str, str]:
     """File and pattern of the public vocabulary that the queries use."""
     import public_tokenizers
