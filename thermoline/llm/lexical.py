@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -123,7 +123,7 @@ def serve(bundle: pa.Table, postings: pa.Table, owner: int, top: int | None) ->
     by_item = np.argsort(a_item, kind="stable")
     sums = np.zeros(len(rows), np.int64)
     out = []
-    for q in np.unique(item):
+    for q in np.unique(np.concatenate([item, a_item])):  # an item may have no term left to serve
         sums[:] = 0
         a, b = np.searchsorted(a_item[by_item], [q, q + 1])
         sums[held[by_item[a:b]]] = a_score[by_item[a:b]]
@@ -151,6 +151,15 @@ def serve(bundle: pa.Table, postings: pa.Table, owner: int, top: int | None) ->
             whole(items), whole(found), whole(docs), whole(scores)]
 
 
+def _stage(owner: int, top: int | None) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    names = [f.split()[0] for f in (_BUNDLE if top is None else _FOUND).split(", ")]
+
+    def stage(bundle: pa.Table, postings: pa.Table) -> pa.Table:
+        return pa.table(serve(bundle, postings, owner, top), names)
+
+    return stage
+
+
 def search(docs: DataFrame, items: DataFrame, top: int = TOP, per_slice: int = SLICE,
            per_bundle: int = BUNDLE) -> DataFrame:
     """(item_id, rank, doc_id, score): the `top` documents with a score above 0 of each row of
@@ -216,16 +225,11 @@ def search(docs: DataFrame, items: DataFrame, top: int = TOP, per_slice: int = S
     gains = materialize(gains, "gains")
 
     for k in range(len(OWNERS)):
-        last = k == len(OWNERS) - 1
-        names = [f.split()[0] for f in (_FOUND if last else _BUNDLE).split(", ")]
-
-        def stage(left: pa.Table, right: pa.Table, k=k, names=names,
-                  best=top if last else None) -> pa.Table:
-            return pa.table(serve(left, right, k, best), names)
-
+        best = top if k == len(OWNERS) - 1 else None
+        owned = gains.where(F.col("owner") == k).drop("owner")
         bundle = bundle.groupBy("block", "slice").cogroup(
-            gains.where(F.col("owner") == k).drop("owner").groupBy("block", "slice")
-        ).applyInArrow(stage, _FOUND if last else _BUNDLE)
+            owned.groupBy("block", "slice")).applyInArrow(
+                _stage(k, best), _BUNDLE if best is None else _FOUND)
     order = Window.partitionBy("item").orderBy(F.desc("score"), "doc_id", "row")
     ranked = bundle.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     named = wanted.where("term = ''").select(F.col("row").alias("item"), F.col("id").alias("item_id"))
