@@ -22,8 +22,8 @@ BLOCK = 1 << 12
 #: A segment (a row of the files) is closed by the document that brings it to so many ids.
 SEGMENT = 1 << 19
 
-#: Words whose ids a worker remembers; with more it starts anew.
-REMEMBERED = 300_000
+#: Words of a generation whose ids a worker remembers (some 150 bytes a word).
+REMEMBERED = 600_000
 
 SEGMENTS = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()),
@@ -81,8 +81,37 @@ def unpack(packed: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
     return np.concatenate(out)[begin - first:end - first].astype(np.uint32)
 
 
+class _Numbers(dict):
+    """Numbers of words in the order of their first use; `fresh` has the latest ones."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        self.fresh.append(word)
+        return number
+
+
+class _Known:
+    """Words and their ids, one after the other."""
+
+    def __init__(self) -> None:
+        self.numbers, self.flat, self.bounds = _Numbers(), array("I"), array("q", [0])
+
+    def add(self, ids) -> None:
+        self.flat.extend(ids)
+        self.bounds.append(len(self.flat))
+
+    def of(self, word: bytes) -> array | None:
+        number = self.numbers.get(word)
+        return None if number is None else self.flat[self.bounds[number]:self.bounds[number + 1]]
+
+
 class Encoder:
-    """The ids of texts by the tokenizers library, which is asked once for each different word.
+    """The ids of texts by the tokenizers library, which is asked once for each different word
+    that is not remembered from this generation of words or the one before.
 
     The vocabulary's pattern never reaches over white space and drops it, so the ids of a text are
     those of its words. Its normal form lowers case: words of ASCII alone are looked up lowered,
@@ -94,35 +123,34 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.bounds = array("I"), array("q", [0])
+        self.known, self.older = _Known(), _Known()
 
     def words(self, text: bytes) -> list[bytes]:
         return (text.lower() if text.isascii() and b"<|" not in text else text).split()
 
     def ids(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of each text; together the texts should be no longer than a few megabytes."""
-        words = [self.words(t) for t in texts]
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        new = list(set().union(*words) - self.known.keys())
-        for word, done in zip(new, self.tokenizer.encode_batch_fast(
-                [w.decode() for w in new], add_special_tokens=False), strict=True):
-            self.known[word] = len(self.bounds) - 1
-            self.flat.extend(done.ids)
-            self.bounds.append(len(self.flat))
-        flat, bounds = np.array(self.flat, np.uint32), np.array(self.bounds, np.int64)
+        if len(self.known.numbers) > REMEMBERED:
+            self.known, self.older = _Known(), self.known
+        known, numbers = self.known, self.known.numbers
+        places = []
+        for text in texts:
+            words = self.words(text)
+            places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
+        fresh, numbers.fresh = numbers.fresh, []
+        found = [self.older.of(w) for w in fresh]
+        asked = iter(self.tokenizer.encode_batch_fast(
+            [w.decode() for w, ids in zip(fresh, found, strict=True) if ids is None],
+            add_special_tokens=False))
+        for ids in found:
+            known.add(next(asked).ids if ids is None else ids)
+        flat, bounds = np.frombuffer(known.flat, np.uint32), np.frombuffer(known.bounds, np.int64)
         out = []
-        for some in words:
-            place = np.fromiter(map(self.known.__getitem__, some), np.int64, len(some))
+        for place in places:
             size = bounds[place + 1] - bounds[place]
             ends = np.cumsum(size)
-            at = np.repeat(bounds[place] - ends + size, size) + np.arange(ends[-1] if len(ends)
-                                                                          else 0)
-            out.append(flat[at])
+            total = int(ends[-1]) if len(ends) else 0
+            out.append(flat[np.repeat(bounds[place] - ends + size, size) + np.arange(total)])
         return out
 
     def long_ids(self, text: bytes) -> np.ndarray:
