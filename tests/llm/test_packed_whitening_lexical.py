@@ -32,7 +32,9 @@ def test_packed_ids_come_back_and_any_range_can_be_read(width, n):
 
 ODD = ["", None, "plain words", "It's WE'LL 12345 naïve Café É é", "<|endoftext|>A <|ENDOFTEXT|>",
        "x<|startoftext|>y", "tab\tvt\x0bff\x0cnbsp\xa0nel\x85fs\x1cgs\x1dsep end", "日本語 ไทย 한국어",
-       "İstanbul ΣΑΣ ς", "́ combining first", "a" * 3000, "😀😀 ok\x00nul", "!!!??,,.. '' 's 't"]
+       "İstanbul ΣΑΣ ς", "́ combining first", "a" * 3000, "😀😀 ok\x00nul", "!!!??,,.. '' 's 't",
+       "end. END!! (x) İx. ﬁn, straße; ªº. ǅ:", "".join(f"w{chr(97 + i % 26)}{i}. " for i in range(99)),
+       " ".join(chr(97 + i % 26) * (1 + i // 26) + ".," [i % 2] for i in range(1200))]
 
 
 def expected_ids(rows, end_id=2):

@@ -25,6 +25,10 @@ SEGMENT = 1 << 19
 #: Words of a generation whose ids a worker remembers (some 150 bytes a word).
 REMEMBERED = 600_000
 
+#: What ends the last token of a word in the vocabulary; marks at words' ends (no apostrophe, which
+#: the pattern joins with letters); runs that go to the library as one text.
+WORD_END, MARKS, JOINED = "</w>", ".,;:!?()\"", 500
+
 SEGMENTS = T.StructType([
     T.StructField("shard", T.IntegerType()), T.StructField("first", T.LongType()),
     T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.ArrayType(T.LongType())),
@@ -115,7 +119,10 @@ class Encoder:
 
     The vocabulary's pattern never reaches over white space and drops it, so the ids of a text are
     those of its words. Its normal form lowers case: words of ASCII alone are looked up lowered,
-    but for texts that may spell a special token.
+    but for texts that may spell a special token. The pattern also parts letters from marks, so
+    many words of letters, or their letters and their marks at the end, go to the library at once
+    as one text; an id that ends a word ends each of them, and where the count of these differs
+    each is asked for by itself.
     """
 
     def __init__(self, path: str) -> None:
@@ -123,8 +130,45 @@ class Encoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(self.vocabulary, bool)
+        for token, number in self.tokenizer.get_vocab(with_added_tokens=True).items():
+            self.ends[number] = token.endswith(WORD_END)
         self.known, self.older = _Known(), _Known()
 
+    def _each(self, texts: list[str]) -> list[list[int]]:
+        return [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _runs(self, runs: list[str]) -> list[list[int]]:
+        """Ids of runs of letters or of marks."""
+        chunks = [runs[i:i + JOINED] for i in range(0, len(runs), JOINED)]
+        out: list[list[int]] = []
+        for chunk, ids in zip(chunks, self._each([" ".join(c) for c in chunks]), strict=True):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(chunk) and cuts[-1] == len(ids):
+                cuts = cuts.tolist()
+                out += [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
+            else:
+                out += self._each(chunk)
+        return out
+
+    def _new(self, words: list[bytes]) -> list[list[int]]:
+        """Ids of words that are not remembered."""
+        runs: dict[str, int] = {}
+        parts, others = [], []
+        for word in words:
+            text = word.decode()
+            letters = text.rstrip(MARKS)
+            if letters.isalpha():
+                marks = text[len(letters):]
+                parts.append((runs.setdefault(letters, len(runs)),
+                              runs.setdefault(marks, len(runs)) if marks else None))
+            else:
+                parts.append(None)
+                others.append(text)
+        done, rest = self._runs(list(runs)), iter(self._each(others))
+        return [next(rest) if p is None else done[p[0]] if p[1] is None
+                else done[p[0]] + done[p[1]] for p in parts]
+
     def words(self, text: bytes) -> list[bytes]:
         return (text.lower() if text.isascii() and b"<|" not in text else text).split()
 
@@ -139,11 +183,9 @@ class Encoder:
             places.append(np.fromiter(map(numbers.__getitem__, words), np.int64, len(words)))
         fresh, numbers.fresh = numbers.fresh, []
         found = [self.older.of(w) for w in fresh]
-        asked = iter(self.tokenizer.encode_batch_fast(
-            [w.decode() for w, ids in zip(fresh, found, strict=True) if ids is None],
-            add_special_tokens=False))
+        asked = iter(self._new([w for w, ids in zip(fresh, found, strict=True) if ids is None]))
         for ids in found:
-            known.add(next(asked).ids if ids is None else ids)
+            known.add(next(asked) if ids is None else ids)
         flat, bounds = np.frombuffer(known.flat, np.uint32), np.frombuffer(known.bounds, np.int64)
         out = []
         for place in places:
