@@ -63,7 +63,7 @@ def test_long_texts_are_encoded_in_portions(monkeypatch):
 
 
 def test_files_hold_documents_in_order(spark, tmp_path):
-    rows = [(i * 7 % 13, t) for i, t in enumerate(ODD)]
+    rows = [(i * 7 % 17, t) for i, t in enumerate(ODD)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr(
         "doc_id", "text", "1 as shard", "2 as `first`")
     packed.write_ids(docs, str(tmp_path / "ids"), WORDS, end_id=2, segment=50)
