@@ -29,10 +29,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that hold no benchmark item."""
-    hits = latent.contaminated(docs, table(spark, sf_dir, "benchmark"))
-    held = materialize(hits.select("doc_id").distinct(), "contaminated")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """The documents that hold no benchmark item. Rows are told apart by numbers of their own, so
+    that those without doc_id, or with another row's, go or stay by their own text."""
+    numbered = materialize(docs.withColumn("_number", F.monotonically_increasing_id()), "numbered")
+    hits = latent.contaminated(numbered.select(F.col("_number").alias("doc_id"), "text"),
+                               table(spark, sf_dir, "benchmark"))
+    held = materialize(hits.select(F.col("doc_id").alias("_number")).distinct(), "contaminated")
+    return numbered.join(held, "_number", "left_anti").select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -332,6 +332,67 @@ def test_samples_with_rare_groups(spark):
     assert sum(len(r["text"]) for r in sample) <= 150_000
 
 
+def plain_forward(network, text):
+    """The network's probability by loops over bytes, filters and chunks."""
+    w = {k: v.astype(np.float64) for k, v in network.weights.items()}
+    last = max(0, len(text) - byte_cnn.CHUNK)
+    best = [0.0] * byte_cnn.HIDDEN
+    for start in [*range(0, last, byte_cnn.STEP), last]:
+        chunk = text[start:start + byte_cnn.CHUNK].ljust(byte_cnn.CHUNK, b"\0")
+        spots = []
+        for s in range(byte_cnn.SPOTS):
+            total = w["bias"].copy()
+            for j in range(byte_cnn.TAPS):
+                at = 2 * (s + j)
+                total += np.concatenate([w["emb"][chunk[at]], w["emb"][chunk[at + 1]]]) @ w["conv"][j]
+            spots.append([max(0.0, v) for v in total])
+        pooled = [max(f) for f in zip(*spots)] + [sum(f) / len(spots) for f in zip(*spots)]
+        for h in range(byte_cnn.HIDDEN):
+            unit = w["hbias"][h] + sum(p * w["hid"][i, h] for i, p in enumerate(pooled))
+            best[h] = max(best[h], unit)
+    return 1 / (1 + math.exp(-(sum(b * o for b, o in zip(best, w["out"])) + w["obias"][0])))
+
+
+def test_network_by_plain_loops(spark, documents):
+    network = byte_cnn.learn(documents, spark.read.parquet("/root/testdata/sf0.001/labels.parquet"))
+    texts = ["", "a", "b" * 127, "c" * 128, "d" * 129, "Ünï " * 80, None,
+             *(r["text"] for r in documents.orderBy("doc_id").limit(4).collect())]
+    rows = byte_cnn.classify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"),
+                             network).collect()
+    for r in rows:
+        want = plain_forward(network, (texts[r["doc_id"]] or "").encode())
+        assert abs(r["score"] - want) < 1e-4 and r["predicted"] == (r["score"] >= 0.5)
+
+
+def test_no_text_is_shuffled_for_the_sample(spark, documents):
+    """With broadcasts off but for counted tables, exchanges hold hashes or chosen texts only."""
+    marks = documents.selectExpr("doc_id", "cast(doc_id % 2 as int) _label")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        done = bounded_sample(documents.select("doc_id", "text"), "_label", 50, 20_000, marks)
+        plan = done._jdf.queryExecution().toString()
+        rows = done.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert {r["_label"] for r in rows} == {0, 1}
+    assert sum(len(r["text"].encode()) for r in rows) <= 20_000
+
+
+def test_pipeline_stage_removes_rows_by_themselves(spark):
+    """A row without doc_id goes if it holds an item; rows that share its doc_id stay."""
+    import corpus_pipeline
+    folder = "/root/testdata/sf0.001"
+    item = spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").first()["text"]
+    clean = "plain words about nothing in particular " * 3
+    docs = spark.createDataFrame([(None, item), (None, clean), (5, item), (5, clean), (6, None)],
+                                 "doc_id long, text string")
+    kept = corpus_pipeline.decontamination(spark, docs, folder).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == [
+        (0, clean), (5, clean), (6, "")]
+
+
 # -- decontamination ----------------------------------------------------------------------------
 
 def test_common_subsequence():

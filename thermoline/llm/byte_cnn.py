@@ -187,8 +187,8 @@ def learn(docs: DataFrame, labels: DataFrame, label: str = "quality",
     with several labels takes the smallest. Without rows, the network is as it was drawn."""
     marks = labels.where(f"{label} in (0, 1) and doc_id is not null").groupBy("doc_id").agg({
         label: "min"}).toDF("doc_id", "_label")
-    rows = bounded_sample(docs.join(marks, "doc_id").select("_label", "text"), "_label",
-                          max_rows, max_bytes).collect()
+    rows = bounded_sample(docs.select("doc_id", "text"), "_label", max_rows, max_bytes,
+                          marks).collect()
     rows = sorted((r["text"].encode(), int(r["_label"])) for r in rows)
     network = Network.fresh()
     if rows:
@@ -202,6 +202,7 @@ WHOLE = 4 << 20
 
 def classify(docs: DataFrame, network: Network) -> DataFrame:
     """All columns with `score`, the probability of label 1 from `text` alone, and `predicted`.
+    In the registered query `held_out` is null where doc_id is.
 
     Null and empty texts are chunks of zeros and get the score of these. Rows are independent:
     repeated rows get equal scores; an empty table gives an empty one. Every byte of a text is

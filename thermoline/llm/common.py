@@ -198,24 +198,36 @@ def small(df: DataFrame, name: str) -> DataFrame:
 PIECES = 20
 
 
-def bounded_sample(rows: DataFrame, group: str, max_rows: int, max_bytes: int) -> DataFrame:
+def bounded_sample(rows: DataFrame, group: str, max_rows: int, max_bytes: int,
+                   marks: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """Rows (group, text) to learn from: of each group, in the order of a hash of the text, at most
     `max_rows` different texts, until they hold the group's share of `max_bytes` (one in any case).
-    Rows without group or with a null or empty text are left out.
+    Rows without group or with a null or empty text are left out. With `marks` (key, group), the
+    groups of rows are those of their key there.
 
     A share is an equal one or, where other groups hold less than theirs, up to as many times two
     of that as all groups together stay within `max_bytes`. Of a text of over a PIECES-th of the
     share a piece of that length at most stands for it, from a place that the hash chooses, so that
     one long text takes no room from all that follow.
 
-    Up to 1,000 rows a group are cut in each task before anything is shuffled, so that a group with
-    most of the rows costs no more than others; texts move only once they are chosen.
+    Only hashes and lengths are joined with `marks`, written and ranked; of a large group just
+    those below a bound that some times `max_rows` of them meet, so that no task ranks a group.
+    What is chosen (`max_rows` rows a group) meets the texts in a last pass over them.
     """
-    named = rows.where(F.col(group).isNotNull() & (F.col("text") != "")).select(
-        F.col(group).alias("_group"), "text", F.xxhash64("text").alias("_h"))
-    keys = named.select("_group", "_h", F.octet_length("text").alias("size"))
-    first = materialize(keys.distinct().withColumn("rank", F.row_number().over(
-        Window.partitionBy("_group").orderBy("_h", "size"))).where(F.col("rank") <= max_rows),
+    hashed = rows.where(F.col("text") != "").withColumn("_h", F.xxhash64("text"))
+    sized = hashed.select(*[F.col(c) for c in ([group] if marks is None else [key])], "_h",
+                          F.octet_length("text").alias("size"))
+    if marks is not None:
+        sized = sized.join(marks.select(key, group), key)
+    keys = materialize(sized.where(F.col(group).isNotNull()).select(
+        F.col(group).alias("_group"), "_h", "size"), "hashes")
+    bounds = small(keys.groupBy("_group").agg(F.approx_count_distinct("_h").alias("n")).select(
+        "_group", (F.lit(-2.0 ** 63) + F.least(F.lit(1.0), 4.0 * max_rows / F.col("n"))
+                   * F.lit(2.0 ** 64)).alias("most")), "bounds")
+    low = keys.join(bounds, "_group").where(F.col("_h") <= F.col("most"))
+    first = materialize(
+        low.select("_group", "_h", "size").distinct().withColumn("rank", F.row_number().over(
+            Window.partitionBy("_group").orderBy("_h", "size"))).where(F.col("rank") <= max_rows),
         "ranked")
     groups = max(1, first.select("_group").distinct().count())
     levels = [min(max_bytes, max_bytes * 2 ** j / groups) for j in range(groups.bit_length() + 1)]
@@ -229,13 +241,14 @@ def bounded_sample(rows: DataFrame, group: str, max_rows: int, max_bytes: int) -
     total = F.sum(F.least("size", F.lit(piece))).over(Window.partitionBy("_group").orderBy("rank"))
     chosen = small(first.withColumn("total", total).where(
         (F.col("total") <= share) | (F.col("rank") == 1)
-    ).select("_group", "_h", F.lit(True).alias("_take")), "sample")
+    ).select("_group", "_h"), "sample")
     # No character has more than four bytes.
     ascii_only = F.octet_length("text") == F.char_length("text")
     length = F.when(ascii_only, piece).otherwise(piece // 4)
     places = F.greatest(F.char_length("text") - length, F.lit(0)) + 1
     part = F.substring("text", F.pmod("_h", places).cast("int") + 1, length)
-    return named.join(chosen, ["_group", "_h"]).select(
+    # A text stands for all its copies, also those in other groups.
+    return hashed.select("text", "_h").join(chosen, "_h").select(
         F.col("_group").alias(group),
         F.when(F.octet_length("text") > piece, part).otherwise(F.col("text")).alias("text")
     ).distinct()
