@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from thermoline import constants as C
 from thermoline.operators import cleaning, filters, sequence
+from thermoline.session import materialize
 
 # What a repeated log insert overwrites.
 LOG_UPDATES = ("cycle_temperature", "status")
@@ -23,10 +24,14 @@ def recent_telemetry(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: o
 
     No source is capped. The filter goes to all three scans first: only readings that match in
     some source can be listed, so only rows with their ids are ranked, and rows of other readings
-    are not shuffled wide. Without any filter all ids are candidates and all rows are ranked.
+    are not shuffled wide. Without any filter `newest_resolved` takes the newest of each source.
     `since` asks only for readings from that date on and prunes every source that is partitioned
     or sorted by time. Rows without id are left out.
     """
+    if all(w is None for w in (machine_id, branch, status, breakdown_soon)) and since is None:
+        return newest_resolved([("buffer", buffer), ("log", cleaning.backfill_sensors(log)),
+                                ("raw", raw)], filters.clamp_limit(limit, *C.READINGS_LIMIT))
+
     def ready(df: DataFrame, rank: int, name: str) -> DataFrame:
         rows = cleaning.canonicalize(df)
         if since is not None:
@@ -54,6 +59,82 @@ def recent_telemetry(buffer: DataFrame, log: DataFrame, raw: DataFrame, limit: o
                            filters.clamp_limit(limit, *C.READINGS_LIMIT))
 
 
+_SINGLE = ("_source_rank", "txn_timestamp", "machine_id", "branch", "cycle_temperature", "status",
+           "breakdown_soon")
+
+
+def newest_resolved(sources: Sequence[tuple[str, DataFrame]], n: int,
+                    first: int | None = None) -> DataFrame:
+    """The newest `n` readings over sources that overlap: a reading counts once, as the first of
+    `sources` that holds it has it, with the name of that source. Rows without id are left out.
+
+    A threshold algorithm: of each source the newest `first` (by default 2n) rows are candidates,
+    and only for their ids is it looked up which source decides. An id that is no candidate has
+    in each source at most the time of its last candidate, so once the nth reading found is not
+    older than the newest of these bounds, nothing unseen can enter; otherwise four times as many
+    candidates are taken. Of a source with `dt`, the day of its time, only the newest dates that
+    hold as many rows are read for candidates. The look-up reads the last source from its oldest
+    candidate on, the others whole, and shuffles none of them: it joins with the list of ids.
+    """
+    names = cleaning.schemas.READING.names
+
+    def keyed(df: DataFrame) -> DataFrame:
+        rows = cleaning.canonicalize(df).filter(F.col("reading_id").isNotNull())
+        return rows.select(*names, *[c for c in ("dt",) if c in rows.columns])
+
+    rows = [keyed(df) for _, df in sources]
+    count = first or 2 * n
+    while True:
+        tops = [(sequence.newest_landed(r, count) if "dt" in r.columns
+                 else sequence.newest(r, count)).select(*names, F.lit(k).alias("_source_rank"))
+                for k, r in enumerate(rows)]
+        stacked = tops[0]
+        for top in tops[1:]:
+            stacked = stacked.unionByName(top)
+        seen = materialize(stacked, "newest")
+        place = F.struct(F.col("txn_timestamp").isNotNull(), "txn_timestamp", "reading_id")
+        bounds = {r["_source_rank"]: r for r in seen.groupBy("_source_rank").agg(
+            F.count("*").alias("rows"), F.min(place).alias("last"),
+            F.min("txn_timestamp").alias("oldest"), F.count("txn_timestamp").alias("timed")
+        ).collect()}
+        ids = seen.select("reading_id").distinct()
+        parts = []
+        for k, r in enumerate(rows):
+            bound = bounds.get(k)
+            if k == len(rows) - 1:  # no source after it: only newer copies of its own count
+                if bound is None:
+                    continue
+                if bound["timed"] == bound["rows"]:
+                    since = F.lit(bound["oldest"])
+                    r = r.filter(F.col("txn_timestamp") >= since)
+                    if "dt" in r.columns:
+                        r = r.filter((F.col("dt") >= F.to_date(since)) | F.col("dt").isNull())
+            parts.append(r.join(ids, "reading_id", "left_semi").select(
+                *names, F.lit(k).alias("_source_rank"), F.lit(sources[k][0]).alias("source")))
+        if not parts:
+            return seen.select(*names, F.lit("").alias("source")).limit(0)
+        both = parts[0]
+        for part in parts[1:]:
+            both = both.unionByName(part)
+        order = [F.desc(c) if c == "txn_timestamp" else F.col(c) for c in _SINGLE]
+        found = materialize(sequence.newest(
+            sequence.dedupe(both, "reading_id", order, keep_keyless=False), n), "resolved")
+        open_bounds = [b["last"] for b in bounds.values() if b["rows"] >= count]
+        if not open_bounds:
+            break
+        end = found.agg(F.count("*").alias("rows"), F.min(place).alias("last")).first()
+        if end["rows"] >= n and _key(end["last"]) >= max(_key(b) for b in open_bounds):
+            break
+        count *= 4
+    return sequence.newest(found.drop("_source_rank"), n)
+
+
+def _key(place: Row) -> tuple:
+    """A place in order of time and id, as Python compares it; rows without time come last."""
+    timed, time, reading = place
+    return (timed, time, reading) if timed else (False, None, reading)
+
+
 def fold_by_key(df: DataFrame, key: str = "reading_id",
                 update_cols: Sequence[str] | str = LOG_UPDATES,
                 order: Sequence[str] = ("txn_timestamp",)) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.ml.evaluation import (BinaryClassificationEvaluator,
                                    MulticlassClassificationEvaluator)
 from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -80,6 +80,38 @@ def index_branch(df: DataFrame, column: str = "branch", out: str = "branch_idx",
                                           outputCol=out, handleInvalid="keep")
 
 
+def index_values(df: DataFrame, column: str, out: str,
+                 weight: str | None = None) -> DataFrame:
+    """(column, out): `index_branch`'s index of every distinct value, as a written table, for
+    columns with more values than a driver should hold.
+
+    The counts are put in order by ranges of (count, value); a value's index is its place within
+    its range after all values of the ranges before. Only the sizes of the ranges are added up in
+    one place.
+    """
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.filter(F.col(column).isNotNull()).groupBy(column).agg(size.alias("_n"))
+    text = F.col(column).cast("string")
+    ranked = counts.withColumn("_text", text).repartitionByRange(F.desc("_n"), "_text")
+    # The number holds the range in its upper bits and the place within it in the lower 33.
+    placed = materialize(ranked.sortWithinPartitions(F.desc("_n"), "_text").select(
+        column, F.monotonically_increasing_id().alias("_place")), "ranked_values")
+    part = F.shiftright("_place", 33)
+    sizes = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_at"))
+    return placed.withColumn("_part", part).join(offsets, "_part").select(
+        column, (F.col("_at") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)))
+        .cast("double").alias(out))
+
+
+def with_index(df: DataFrame, index: DataFrame, column: str, out: str) -> DataFrame:
+    """`df` with the index of `index_values`; a value that it lacks, or null, gets the index after
+    the last."""
+    return df.join(index, column, "left").withColumn(out, F.coalesce(
+        out, index.agg(F.count("*").cast("double")).scalar()))
+
+
 def with_temperature(df: DataFrame) -> DataFrame:
     return df.withColumn("temperature", F.col("cycle_temperature").cast("double"))
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from decimal import Decimal
 
+from pyspark.errors import StreamingQueryException
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -351,6 +352,69 @@ def _(t):
     return history.changed_dates(spark, source, target)
 
 
+def _append(t: DataFrame, path: str) -> None:
+    inputs.raw(t).select(*READING_COLUMNS, "dt").write.mode("append").partitionBy("dt").parquet(
+        path)
+
+
+def _touch(spark: SparkSession, path: str, only: set[str], time: str) -> None:
+    """Gives the files of `path` that are not in `only` another time, as copying tools do."""
+    jvm = spark.sparkContext._jvm
+    moment = jvm.java.time.Instant.parse(time).toEpochMilli()
+    for row in history.source_files(spark, path).select("path").collect():
+        if row["path"] not in only:
+            file = jvm.org.apache.hadoop.fs.Path(row["path"])
+            file.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).setTimes(
+                file, moment, -1)
+
+
+def _names(spark: SparkSession, path: str) -> set[str]:
+    return {r["path"] for r in history.source_files(spark, path).select("path").collect()}
+
+
+@query("k8_late_files_with_older_times", sql(
+    f"SELECT {FULL}, cast(dt AS varchar) AS dt FROM raw", RAW))
+def _(t):
+    spark = t.sparkSession
+    source, target = (scratch_path(spark, n) for n in ("k8o", "k8ot"))
+    _append(t.filter("event_id % 2 = 0"), source)
+    history.sync_partitions(spark, source, target)
+    known = _names(spark, source)
+    _append(t.filter("event_id % 2 = 1"), source)
+    _touch(spark, source, known, "2001-01-01T00:00:00Z")
+    history.sync_partitions(spark, source, target)
+    return history.read_history(spark, target)
+
+
+@query("k8_removed_and_rewritten_files", sql(f"""
+SELECT {FULL}, cast(dt AS varchar) AS dt FROM raw
+WHERE dt >= DATE '2024-01-05' AND (dt >= DATE '2024-01-10' OR event_id % 2 = 0)""", RAW))
+def _(t):
+    spark = t.sparkSession
+    source, target = land(t, "k8r"), scratch_path(spark, "k8rt")
+    history.sync_partitions(spark, source, target)
+    fewer = t.filter("txn_timestamp >= '2024-01-05' and txn_timestamp < '2024-01-10'")
+    history.write_history(inputs.raw(fewer.filter("event_id % 2 = 0")).select(
+        *READING_COLUMNS, "dt"), source)
+    _touch(spark, source, set(), "2001-01-01T00:00:00Z")
+    history.drop_dates(spark, source, [f"2024-01-{d:02d}" for d in range(1, 5)])
+    history.sync_partitions(spark, source, target)
+    return history.read_history(spark, target)
+
+
+@query("k8_files_landing_meanwhile", sql(
+    f"SELECT {FULL}, cast(dt AS varchar) AS dt FROM raw", RAW))
+def _(t):
+    spark = t.sparkSession
+    source, target = (scratch_path(spark, n) for n in ("k8m", "k8mt"))
+    _append(t.filter("event_id % 3 > 0"), source)
+    listing = materialize(history.source_files(spark, source), "listing")
+    _append(t.filter("event_id % 3 = 0"), source)
+    history.sync_partitions(spark, source, target, files=listing)
+    history.sync_partitions(spark, source, target)
+    return history.read_history(spark, target)
+
+
 @query("k9_sync_report", sql(f"""
 SELECT cast(dt AS varchar) AS dt, row_count, {shown('first_reading')}, {shown('last_reading')}
 FROM (SELECT dt, count(*) AS row_count, min(txn_timestamp) AS first_reading,
@@ -992,6 +1056,29 @@ def _(t):
     return _recent(t, limit=100, branch="huye", status="alert")
 
 
+@query("u1_without_filter", sql(f"""
+SELECT {FULL}, source FROM singles
+ORDER BY singles.txn_timestamp DESC, reading_id DESC LIMIT 500""", RECENT))
+def _(t):
+    return _recent(t, limit=500)
+
+
+@query("u1_overruled_by_old_copies", sql(f"""
+SELECT {FULL}, source FROM (
+  SELECT * REPLACE (CASE WHEN source = 'log' THEN TIMESTAMP '2023-12-31 00:00:00'
+                         ELSE txn_timestamp END AS txn_timestamp) FROM singles) s
+ORDER BY s.txn_timestamp DESC, reading_id DESC LIMIT 200""", RECENT))
+def _(t):
+    # Most of the newest candidates turn out to be old, so more are taken until none can enter.
+    rows = t.select(*READING_COLUMNS)
+    buffer = sequence.recent_buffer(rows).withColumn("status", F.lit(C.ALERT))
+    log = cleaning.classify_status(combine.log_rows(t.filter(F.hour("txn_timestamp") < 12)))
+    old = cleaning.backfill_sensors(log).withColumn(
+        "txn_timestamp", F.lit("2023-12-31").cast("timestamp"))
+    return combine.newest_resolved(
+        [("buffer", buffer), ("log", old), ("raw", inputs.raw(t))], 200, first=16)
+
+
 @query("u1_rare_machine_overruled", sql(f"""
 SELECT {FULL}, source FROM (
   SELECT * REPLACE (CASE WHEN source = 'log' THEN TIMESTAMP '2023-12-31 00:00:00'
@@ -1084,8 +1171,8 @@ SELECT l_orderkey, cast(row_number() OVER (ORDER BY n DESC, cast(l_orderkey AS v
 FROM (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY l_orderkey)""")
 def _(lines):
     keys = lines.select(F.col("l_orderkey").cast("string").alias("key"))
-    index = learning.index_branch(keys, "key")
-    return index.transform(keys).distinct().select(
+    index = learning.index_values(keys, "key", "branch_idx")
+    return learning.with_index(keys, index, "key", "branch_idx").distinct().select(
         F.col("key").cast("bigint").alias("l_orderkey"), "branch_idx")
 
 
@@ -1407,17 +1494,51 @@ def _(t):
 
 @query("t4_late_first_delivery", sql("SELECT reading_id, machine_id FROM telemetry"))
 def _(t):
-    # The newest days come first, so that all others are late by more than the delay.
-    spark, path = t.sparkSession, scratch_path(t.sparkSession, "t4l-in")
+    # The newest days come first, so that all others are late by more than the delay. Each part
+    # is delivered before a run of its own; the runs share a checkpoint.
+    spark, root = t.sparkSession, scratch_path(t.sparkSession, "t4l")
     newest = F.col("txn_timestamp") >= F.lit("2024-01-25").cast("timestamp")
     for part in (newest, ~newest, newest):
         pairs = topic.encode_records(t.filter(part).select(*READING_COLUMNS))
-        pairs.withColumn("offset", F.lit(0).cast("bigint")).coalesce(1).write.mode(
-            "append").parquet(path)
-    stream = (spark.readStream.schema("key binary, value binary, offset bigint")
-              .option("maxFilesPerTrigger", 1).parquet(path))
-    single = ingest.dedupe_stream(ingest.telemetry_stream(stream), "1 hour")
-    return _written(single, "t4l").select("reading_id", "machine_id")
+        pairs.withColumn("offset", F.lit(0).cast("bigint")).write.mode("append").parquet(
+            f"{root}/in")
+        stream = spark.readStream.schema("key binary, value binary, offset bigint").parquet(
+            f"{root}/in")
+        single = ingest.dedupe_stream(ingest.telemetry_stream(stream), "1 hour")
+        ingest.land_raw(single, f"{root}/out", f"{root}/checkpoint",
+                        {"availableNow": True}).awaitTermination()
+    return history.read_history(spark, f"{root}/out").select("reading_id", "machine_id")
+
+
+@query("t3_failed_batch_is_repeated", sql(
+    f"{NORMALIZED}, cast(1 AS bigint) AS times FROM deliveries", DELIVERIES))
+def _(t):
+    # The first try of the batch fails after the raw history is written; a second run repeats it.
+    spark, root = t.sparkSession, scratch_path(t.sparkSession, "t3")
+    targets = ingest.Targets(spark, root)
+    stream = ingest.decoded_stream(message_stream(t, "t3-in"))
+    tries = []
+
+    def sink(batch: DataFrame, number: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        name = f"{run}-{number:012d}"
+        tries.append(name)
+        if len(tries) == 1:
+            ingest.append_batch(batch.filter("reject_reason IS NULL").drop(
+                "reject_reason", "raw_value"), targets.raw, name)
+            raise RuntimeError("the store is away")
+        ingest.write_batch(batch, targets, name)
+
+    for _ in range(2):
+        run = stream.writeStream.foreachBatch(sink).option(
+            "checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
+        try:
+            run.awaitTermination()
+        except StreamingQueryException as error:
+            if "the store is away" not in str(error):
+                raise
+    return ingest.read_raw(spark, targets.raw).groupBy(*READING_COLUMNS, "offset").agg(
+        F.count("*").alias("times")).drop("offset")
 
 
 @query("t5_live_buffer", sql(f"""

@@ -13,6 +13,8 @@ from pyspark.sql import types as T
 from thermoline import constants as C
 from thermoline import schemas
 from thermoline.operators import cleaning, sequence
+from thermoline.session import materialize
+from thermoline.sources.versions import VersionedTable
 
 # Holds the text of a JSON line that could not be read.
 BROKEN = "_broken_line"
@@ -109,18 +111,42 @@ def partitions(spark: SparkSession, path: str) -> DataFrame:
                                     F.max("modificationTime").alias("changed"))
 
 
-def changed_dates(spark: SparkSession, source: str, target: str) -> DataFrame:
-    """The dates (dt) whose newest file in `source` is newer than that in `target`, or which
-    `target` lacks."""
-    have = partitions(spark, source)
-    try:
-        there = partitions(spark, target).select("dt", F.col("changed").alias("published"))
-    except AnalysisException as error:
-        if error.getCondition() not in ("PATH_NOT_FOUND", "UNRESOLVED_COLUMN.WITH_SUGGESTION"):
-            raise
-        return have.select("dt")
-    return have.join(there, have["dt"].eqNullSafe(there["dt"]), "left").filter(
-        F.col("published").isNull() | (F.col("changed") > F.col("published"))).select(have["dt"])
+# What a target's manifest lists: the source's files that it was made of.
+MANIFEST = T.StructType([T.StructField("path", T.StringType()),
+                         T.StructField("length", T.LongType()),
+                         T.StructField("modified", T.TimestampType()),
+                         T.StructField("dt", T.DateType())])
+
+
+def source_files(spark: SparkSession, path: str) -> DataFrame:
+    """(path, length, modified, dt) of every file, from the listing alone."""
+    listed = spark.read.format("binaryFile").load(path)
+    day = F.col("dt").cast("date") if "dt" in listed.columns else F.lit(None).cast("date")
+    return listed.select("path", "length", F.col("modificationTime").alias("modified"),
+                         day.alias("dt"))
+
+
+def manifest(spark: SparkSession, target: str) -> VersionedTable:
+    """The files of the source that `target` was last made of. Readers of the target pass over
+    the folder, as over any whose name begins with an underscore."""
+    return VersionedTable(spark, f"{target.rstrip('/')}/_published", MANIFEST)
+
+
+def _lacking(files: DataFrame, others: DataFrame) -> DataFrame:
+    """Files that `others` does not list, or lists with another length or time."""
+    same = ["path", "length", "modified"]
+    return files.join(others.select(*same), same, "left_anti")
+
+
+def changed_dates(spark: SparkSession, source: str, target: str,
+                  files: DataFrame | None = None) -> DataFrame:
+    """The dates (dt) whose files in `source` are not those that `target` was made of: some came,
+    whatever their time, some are gone, or some have another length or time. A target without
+    manifest lacks all dates. `files` is a listing made before."""
+    have = source_files(spark, source) if files is None else files
+    known = manifest(spark, target).read()
+    return _lacking(have, known).select("dt").unionAll(_lacking(known, have).select(
+        "dt")).distinct()
 
 
 def load_first(spark: SparkSession,
@@ -168,20 +194,50 @@ def write_history(df: DataFrame, path: str, partitions: Sequence[str] = ("dt",),
     writer.format(file_format).save(path)
 
 
+def drop_dates(spark: SparkSession, target: str, dates: Sequence[str | None]) -> None:
+    """Deletes the folders of dates; those that do not exist are passed over."""
+    jvm = spark.sparkContext._jvm
+    for day in dates:
+        folder = jvm.org.apache.hadoop.fs.Path(
+            f"{target}/dt={day or '__HIVE_DEFAULT_PARTITION__'}")
+        files = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        if files.exists(folder):
+            files.delete(folder, True)
+
+
 def sync_partitions(spark: SparkSession, source: str, target: str,
-                    dates: Sequence[str] | None = None) -> None:
+                    dates: Sequence[str] | None = None,
+                    files: DataFrame | None = None) -> None:
     """Publishes raw history to another store: each date replaces that date there, in compacted
-    files, with all its columns. `dates` names the dates; by default those that changed since
-    they were published, of which the driver gets the list (one entry per date)."""
+    files, with all its columns; a date that has no files any more goes. `dates` names the dates;
+    by default those that changed since they were published, of which the driver gets the list
+    (one entry per date).
+
+    The source is listed first (or `files` is its listing, a written table), and the listing is
+    committed as the target's manifest last. So a file that lands while the dates are written is
+    not in the manifest and its date is published again next time, whether or not it was read
+    now; a job that fails in between leaves the old manifest and is simply repeated.
+    """
+    listed = materialize(source_files(spark, source), "listing") if files is None else files
+    known = manifest(spark, target)
     if dates is None:
         dates = [None if r["dt"] is None else str(r["dt"])
-                 for r in changed_dates(spark, source, target).collect()]
+                 for r in changed_dates(spark, source, target, listed).collect()]
     if not dates:
         return
-    rows = load_history(spark, source)
-    named = [F.lit(d).cast("date") for d in dates if d is not None]
-    wanted = F.col("dt").isin(*named) if named else F.lit(False)
-    write_history(rows.filter(wanted | F.col("dt").isNull() if None in dates else wanted), target)
+    # Null dates are compared as text, so that one list serves all.
+    day = F.coalesce(F.col("dt").cast("string"), F.lit(""))
+    wanted = day.isin(*[d or "" for d in dates])
+    held = {r["d"] for r in listed.where(wanted).select(day.alias("d")).distinct().collect()}
+    if held:
+        rows = load_history(spark, source)
+        named = [F.lit(d).cast("date") for d in dates if d is not None]
+        chosen = F.col("dt").isin(*named) if named else F.lit(False)
+        write_history(rows.filter(chosen | F.col("dt").isNull() if None in dates else chosen),
+                      target)
+    drop_dates(spark, target, [d for d in dates if (d or "") not in held])
+    known.replace(known.read().where(~wanted).unionByName(listed.where(wanted)))
+    known.prune()
 
 
 def sync_report(df: DataFrame) -> DataFrame:
