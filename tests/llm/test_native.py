@@ -1,5 +1,7 @@
 """Line dedup, quality rules, licence scans and revisits on small tables."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,14 +71,42 @@ def test_repeated_windows(spark):
 
 
 def test_junk_falls_below_the_threshold(spark):
-    good = [(i, " ".join(f"w{i}o{k}ing" for k in range(60))) for i in range(40)]
-    junk = [(100 + i, " ".join(f"w{i}o{k}$$$" for k in range(60))) for i in range(8)]
+    good = [(i, " ".join(f"w{(i + k) % 57}ing" for k in range(56))) for i in range(40)]
+    junk = [(100 + i, " ".join(f"w{(i + k) % 57}$$$" for k in range(56))) for i in range(8)]
     df = spark.createDataFrame(good + junk, "doc_id long, text string")
     trusted = df.filter("doc_id < 20")
     kept = {r["doc_id"] for r in ngram_ratio.quality_rules(df, trusted).filter("kept").collect()}
     assert kept == {i for i, _ in good}
 
 
+def test_garbled_and_shuffled_texts_lose_score(spark):
+    """What comes before a word's end and the order of words count: copies of trusted texts with
+    other word beginnings fall below the threshold, and shuffled ones lose."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1")
+    some = [tuple(r) for r in docs.join(good, "doc_id", "left_semi").select(docs.columns).collect()]
+    r = random.Random(3)
+    garbled = [(1000 + i, " ".join("zqj#9" + w[-3:] for w in t.split())) for i, t in some]
+    shuffled = [(2000 + i, " ".join(r.sample(t.split(), len(t.split())))) for i, t in some]
+    more = spark.createDataFrame(garbled + shuffled, docs.schema)
+    rows = {x["doc_id"]: x for x in ngram_ratio.quality_rules(docs.unionByName(more), good).collect()}
+    assert sum(rows[1000 + i]["kept"] for i, _ in some) == 0
+    assert sum(rows[i]["kept"] for i, _ in some) > 0
+    long = [i for i, t in some if len(t.split()) > 20]
+    assert all(rows[2000 + i]["score"] < rows[i]["score"] for i in long)
+
+
+def test_low_quality_is_rejected_and_high_quality_stays(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    rows = ngram_ratio.quality_rules(docs.select("doc_id", "text"), labels.where("quality = 1"))
+    kept = rows.join(labels, "doc_id").where("not base_failed").groupBy("quality").agg(
+        F.avg(F.col("kept").cast("int")).alias("share")).collect()
+    share = {x["quality"]: x["share"] for x in kept}
+    assert share[1] >= 0.99 and share[0] <= 0.02
+
+
 @pytest.mark.parametrize("spdx, text", [
     ("MIT", licences.KNOWN[0][1]), ("BSD-2-Clause", licences.KNOWN[3][1])])
 def test_whole_licences(spark, spdx, text):

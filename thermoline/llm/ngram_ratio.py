@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from thermoline.llm.common import SPACES, others, plain_spaces, words_of
 from thermoline.session import materialize
 
-#: Parameters of the method (at most 32,768 buckets); weights are whole thousandths, so that sums are exact in any order.
-BUCKETS = 8192
-THRESHOLD = -800
+#: Buckets of words, and as many of pairs of neighbours (at most 32,768 each); weights are whole
+#: thousandths, so that sums are exact in any order.
+BUCKETS = 32768
+
+#: Least sum of a word's and a pair's weight, in the mean, in thousandths: between the labelled
+#: documents of high and of low quality, see README.
+THRESHOLD = -300
 
 MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
         "score", "kept"]
@@ -19,9 +23,14 @@ MADE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "
 SYMBOLS = "#*$%&|<>"
 
 
-def _bucket(word: Column, buckets: int) -> Column:
-    """The hashed n-gram of a word: its last three characters, or all of a shorter one."""
-    return F.crc32(F.right(word, F.lit(3)).cast("binary")) % buckets
+def _hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.crc32(w.cast("binary")))
+
+
+def _pairs(hashes: Column, buckets: int) -> Column:
+    """Buckets of the pairs of neighbours among hashed words."""
+    return F.zip_with(F.slice(hashes, 1, F.greatest(F.size(hashes) - 1, F.lit(0))),
+                      _from(hashes, 2), lambda a, b: (a * 31 + b) % buckets)
 
 
 def _without(text: Column, characters: str) -> Column:
@@ -35,51 +44,59 @@ def _from(items: Column, start: int) -> Column:
 
 
 def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """One row (bucket, weight) per bucket in use: thousandths of the logarithm of the share among
-    the documents in `trusted` (a column doc_id) over the share among all. Both shares are
-    smoothed by one; counts cover every document."""
+    """One row (kind, bucket, weight) per bucket in use, kind 0 for words and 1 for pairs of
+    neighbours: thousandths of the logarithm of the share among the documents in `trusted` (a
+    column doc_id) over the share among all. Both shares are smoothed by one; words and pairs are
+    multinomials of their own; counts cover every document."""
     marks = trusted.select(F.col("doc_id").alias("good")).where("good is not null").distinct()
-    # Codes of two bytes a word go through the join in place of texts. A merge join at any size:
-    # what is trusted grows with the corpus.
-    coded = docs.select("doc_id", F.transform(
-        words_of(plain_spaces(F.col("text"))),
-        lambda w: _bucket(w, buckets).cast("short")).alias("codes"))
+    # Codes of two bytes an n-gram, those of pairs below zero, go through the join in place of
+    # texts. A merge join at any size: what is trusted grows with the corpus.
+    hashed = docs.select("doc_id", _hashes(words_of(plain_spaces(F.col("text")))).alias("h"))
+    coded = hashed.select("doc_id", F.concat(
+        F.transform("h", lambda c: (c % buckets).cast("short")),
+        F.transform(_pairs(F.col("h"), buckets), lambda c: (-1 - c).cast("short"))).alias("codes"))
     counted = materialize(
         coded.join(marks.hint("merge"), F.col("doc_id") == F.col("good"), "left")
         .select(F.col("good").isNotNull().cast("long").alias("good"),
                 F.explode("codes").alias("code"))
-        .groupBy(F.col("code").cast("long").alias("bucket")).agg(
-            F.sum("good").alias("target"), F.count("*").alias("raw")), "counts")
-    totals = counted.agg(F.sum("target").alias("target"), F.sum("raw").alias("raw"))
-    all_target = totals.select("target").scalar()
-    all_raw = totals.select("raw").scalar()
-    ratio = ((F.col("target") + 1) * (all_raw + buckets)).cast("double") / (
-        (F.col("raw") + 1) * (all_target + buckets)).cast("double")
-    return counted.select("bucket", F.round(F.log(ratio) * 1000).cast("long").alias("weight"))
+        .groupBy("code").agg(F.sum("good").alias("target"), F.count("*").alias("raw"))
+        .select(F.when(F.col("code") < 0, 1).otherwise(0).alias("kind"),
+                F.when(F.col("code") < 0, -1 - F.col("code").cast("long")).otherwise(
+                    F.col("code").cast("long")).alias("bucket"), "target", "raw"), "counts")
+    totals = counted.groupBy("kind").agg(F.sum("target").alias("all_target"),
+                                         F.sum("raw").alias("all_raw"))
+    ratio = ((F.col("target") + 1) * (F.col("all_raw") + buckets)).cast("double") / (
+        (F.col("raw") + 1) * (F.col("all_target") + buckets)).cast("double")
+    return counted.join(F.broadcast(totals), "kind").select(
+        "kind", "bucket", F.round(F.log(ratio) * 1000).cast("long").alias("weight"))
+
+
+def _dense(weights: DataFrame, kind: int, buckets: int) -> Column:
+    """All weights of a kind as one array, by bucket; 0 for a bucket that is not in use."""
+    every = weights.sparkSession.range(buckets).select(F.col("id").alias("bucket"))
+    joined = every.join(weights.where(F.col("kind") == kind), "bucket", "left").select(
+        "bucket", F.coalesce("weight", F.lit(0).cast("long")).alias("weight"))
+    return joined.agg(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "weight"))),
+                                  lambda x: x["weight"]).alias("w")).scalar()
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                   threshold: int = THRESHOLD, min_words: int = 50) -> DataFrame:
     """Counts, the ratio and the verdict for every row of `docs`; other columns stay.
 
-    Words are runs of other than the six white-space bytes; each gives one n-gram, the trigram at
-    its end, so that scoring is one pass over the words in place. `score` is the sum of the weights of
-    a text's n-grams, `kept` holds if the base rules hold and the mean weight is at least
-    `threshold` thousandths. `base_failed`: fewer than `min_words` words, or over half of them in
-    three-word windows that come twice or more.
+    Words are runs of other than the six white-space bytes. The n-grams are all words and all pairs
+    of neighbours, hashed into `buckets` each; `score` is the sum of their weights, `kept` holds
+    if the base rules hold and the score is at least `threshold` thousandths a word.
+    `base_failed`: fewer than `min_words` words, or over half of them in three-word windows that
+    come twice or more.
 
     A null or empty text has zero in all counts and fails. Rows without doc_id are counted as raw
     and never as trusted; each of several rows with one doc_id counts. With no trusted document
-    all ratios are what smoothing leaves. An empty table gives an empty one. Nothing but the table
-    of weights (`buckets` rows) leaves the texts' tasks in the end: texts are read twice, and what is
-    shuffled for the counts is two bytes a word.
+    all ratios are what smoothing leaves. An empty table gives an empty one. Texts of any length
+    are taken whole, one row's words at a time. Texts are read twice; what is shuffled for the
+    counts is two bytes an n-gram, and what all tasks get is the weights, one a bucket.
     """
-    weights = bucket_weights(docs, trusted, buckets)
-    table = weights.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "weight"))).alias("m"))
-    dense = table.select(F.transform(
-        F.sequence(F.lit(0), F.lit(buckets - 1)),
-        lambda i: F.coalesce(F.element_at("m", i.cast("long")), F.lit(0).cast("long")))).scalar()
-
+    weights = materialize(bucket_weights(docs, trusted, buckets), "weights")
     text = F.coalesce(F.col("text"), F.lit(""))
     named = docs.select(*[c.alias(f"_k{i}") for i, c in enumerate(others(docs, MADE))],
                         text.alias("_text"), plain_spaces(F.col("text")).alias("_spaced"))
@@ -113,13 +130,16 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS,
                       - F.octet_length(_without(F.col("_text"), SYMBOLS))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.size(F.array_distinct(covered)).cast("long"),
-        "_weights": dense})
+        "_hashes": _hashes(F.col("_words")),
+        "_of_word": _dense(weights, 0, buckets), "_of_pair": _dense(weights, 1, buckets)})
     counted = counted.withColumns({
         "base_failed": (F.col("n_words") < min_words)
         | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
         "score": F.aggregate(
-            "_words", F.lit(0).cast("long"),
-            lambda s, w: s + F.get("_weights", _bucket(w, buckets).cast("int")))})
+            "_hashes", F.lit(0).cast("long"),
+            lambda s, c: s + F.get("_of_word", (c % buckets).cast("int")))
+        + F.aggregate(_pairs(F.col("_hashes"), buckets), F.lit(0).cast("long"),
+                      lambda s, c: s + F.get("_of_pair", c.cast("int")))})
     kept = ~F.col("base_failed") & (F.col("score") >= threshold * F.col("n_words"))
     # A row generator between: a filter on a result is not moved down to the scan, where it would
     # evaluate the lists within their own loops, once for each word.
@@ -145,26 +165,31 @@ d AS (
                      lambda w: w <> '') AS words
   FROM documents),
 w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
-g AS (SELECT doc_id, right(word, 3) AS gram FROM w),
 codes AS (
-  SELECT gram,
+  SELECT word,
          xor(list_reduce(
-           list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(gram))),
-             lambda i: ('0x' || substr(hex(encode(gram)), 2 * i + 1, 2))::BIGINT)),
-           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {buckets} AS bucket
-  FROM (SELECT DISTINCT gram FROM g), crc_table),
-f AS (SELECT doc_id, bucket FROM g JOIN codes USING (gram)),
+           list_prepend(4294967295::BIGINT, list_transform(range(octet_length(encode(word))),
+             lambda i: ('0x' || substr(hex(encode(word)), 2 * i + 1, 2))::BIGINT)),
+           lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h
+  FROM (SELECT DISTINCT word FROM w), crc_table),
+n AS (
+  SELECT doc_id, h, lead(h) OVER (PARTITION BY doc_id ORDER BY pos) AS next
+  FROM w JOIN codes USING (word)),
+f AS (
+  SELECT doc_id, 0 AS kind, h % {buckets} AS bucket FROM n
+  UNION ALL SELECT doc_id, 1, (h * 31 + next) % {buckets} FROM n WHERE next IS NOT NULL),
 good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1),
 c AS (
-  SELECT bucket, count(good.doc_id) AS target, count(*) AS raw
-  FROM f LEFT JOIN good ON f.doc_id = good.doc_id GROUP BY bucket),
+  SELECT kind, bucket, count(good.doc_id) AS target, count(*) AS raw
+  FROM f LEFT JOIN good ON f.doc_id = good.doc_id GROUP BY kind, bucket),
+totals AS (SELECT kind, sum(raw) AS all_raw, sum(target) AS all_target FROM c GROUP BY kind),
 weights AS (
-  SELECT bucket, round(ln(
-    ((target + 1) * ((SELECT sum(raw) FROM c) + {buckets}))::DOUBLE
-    / ((raw + 1) * ((SELECT sum(target) FROM c) + {buckets}))::DOUBLE) * 1000)::BIGINT AS weight
-  FROM c),
-s AS (SELECT doc_id, sum(weight)::BIGINT AS score, count(*) AS n
-      FROM f JOIN weights USING (bucket) GROUP BY doc_id),
+  SELECT kind, bucket, round(ln(
+    ((target + 1) * (all_raw + {buckets}))::DOUBLE
+    / ((raw + 1) * (all_target + {buckets}))::DOUBLE) * 1000)::BIGINT AS weight
+  FROM c JOIN totals USING (kind)),
+s AS (SELECT doc_id, sum(weight)::BIGINT AS score
+      FROM f JOIN weights USING (kind, bucket) GROUP BY doc_id),
 windows AS (
   SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n
   FROM (SELECT doc_id, pos, word AS a, lead(word) OVER x AS b, lead(word, 2) OVER x AS c
@@ -181,11 +206,11 @@ m AS (
          length(regexp_replace(text, '{space}+', '', 'g')) AS word_chars,
          length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
          coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
-         coalesce(score, 0) AS score, coalesce(n, 0) AS n
+         coalesce(score, 0) AS score
   FROM d LEFT JOIN lines USING (doc_id) LEFT JOIN again USING (doc_id) LEFT JOIN s USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, score,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
-         AND score >= {threshold} * n AS kept
+         AND score >= {threshold} * n_words AS kept
 FROM m
 """
