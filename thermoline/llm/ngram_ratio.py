@@ -50,7 +50,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     multinomials of their own; counts cover every document."""
     marks = trusted.select(F.col("doc_id").alias("good")).where("good is not null").distinct()
     # Codes of two bytes an n-gram, those of pairs below zero, go through the join in place of
-    # texts. A merge join at any size: what is trusted grows with the corpus.
+    # texts. A merge join at any size: what is trusted grows with the corpus. An outer generator:
+    # for a plain one Spark adds a filter on the list below the join, which makes it twice.
     hashed = docs.select("doc_id", _hashes(words_of(plain_spaces(F.col("text")))).alias("h"))
     coded = hashed.select("doc_id", F.concat(
         F.transform("h", lambda c: (c % buckets).cast("short")),
@@ -58,8 +59,8 @@ def bucket_weights(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS)
     counted = materialize(
         coded.join(marks.hint("merge"), F.col("doc_id") == F.col("good"), "left")
         .select(F.col("good").isNotNull().cast("long").alias("good"),
-                F.explode("codes").alias("code"))
-        .groupBy("code").agg(F.sum("good").alias("target"), F.count("*").alias("raw"))
+                F.explode_outer("codes").alias("code"))
+        .where("code is not null").groupBy("code").agg(F.sum("good").alias("target"), F.count("*").alias("raw"))
         .select(F.when(F.col("code") < 0, 1).otherwise(0).alias("kind"),
                 F.when(F.col("code") < 0, -1 - F.col("code").cast("long")).otherwise(
                     F.col("code").cast("long")).alias("bucket"), "target", "raw"), "counts")
