@@ -469,6 +469,82 @@ def test_decontamination_of_odd_rows(odd, empty, spark):
     assert {r["answered"] for r in rows} == {True}
 
 
+def test_short_items_and_scripts_without_spaces(spark):
+    """Items of two to four words are held where they come as they are; each wide character of an
+    item without spaces is a word."""
+    items = spark.createDataFrame(
+        [(1, "two words"), (2, "one"), (3, "北京是中国的首都城市"), (4, "here are four words")],
+        "item_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "Some two WORDS here."), (2, "two other words, one"), (3, "他说北京是中国的首都城市。对"),
+         (4, "here are four, words"), (5, "two"), (6, "words two"), (7, "北京 city")],
+        "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in latent.contaminated(docs, items).collect()}
+    assert found == {(1, 1), (3, 3), (4, 4)}
+
+
+def test_changed_copies_by_the_latent_space_alone(spark):
+    """Without the look-up of runs, the space finds most copies in which words were changed; with
+    it, all (`test_decontamination_recall`)."""
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(
+        "/root/testdata/sf0.01/documents.parquet").orderBy("doc_id").limit(400).collect()]
+    rows = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet").collect()
+    items = latent.items_of([(r["item_id"], r["text"], None) for r in rows])
+    r, texts = random.Random(8), [(t or "").encode() for _, t in docs]
+    hosts = [t for t in texts if len(t.split()) > 30]
+    planted = []
+    for k, row in enumerate(rows):
+        words = row["text"].encode().split()
+        for at in r.sample(range(len(words)), len(words) // 7):
+            words[at] = b"changed"
+        own = hosts[k].split()
+        at = r.randrange(len(own) + 1)
+        planted.append(b" ".join(own[:at] + words + own[at:]))
+    weight = latent.term_weights(spark.createDataFrame(docs, "doc_id long, text string"))
+    space = latent.latent_space(spark.createDataFrame(docs, "doc_id long, text string"), weight)
+    index = latent.Index(items, *latent.segments(items), weight, space)
+    index.runs = []
+    found = {(t, item) for t, item, *_ in index.search(planted)}
+    assert sum((k, row["item_id"]) in found for k, row in enumerate(rows)) >= 0.7 * len(rows)
+    index = latent.Index(items, *latent.segments(items), weight, space)
+    found = {(t, item) for t, item, *_ in index.search(planted)}
+    assert all((k, row["item_id"]) in found for k, row in enumerate(rows))
+
+
+def test_latent_space_spans_the_passages(spark):
+    """The products of passages in the space are those of an exact decomposition."""
+    r = random.Random(2)
+    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(4)]
+    texts = [" ".join(r.choices(topics[k % 4], k=32)) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weight = latent.term_weights(docs)
+    space = latent.latent_space(docs, weight, rank=8, more=16)
+    term, starts, inverse = latent._passages([t.encode() for t in texts], weight ** 2)
+    dense = np.zeros((len(starts), latent.TERMS))
+    np.add.at(dense, (np.repeat(np.arange(len(starts)), 32), term), weight[term])
+    dense *= inverse[:, None]
+    exact = np.linalg.svd(dense, full_matrices=False)
+    # The first four directions tell the topics apart; these the random range must have.
+    angle = np.linalg.svd(np.linalg.qr(space.astype(float))[0].T @ exact[2][:4].T)[1]
+    assert angle.min() > 0.99
+    assert np.allclose(np.linalg.norm(dense @ space, axis=0)[:4], 1, atol=0.02)
+
+
+def test_long_texts_are_searched_some_blocks_at_once(spark, monkeypatch):
+    rows = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet").collect()
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    items = latent.items_of([(x["item_id"], x["text"], None) for x in rows])
+    weight = latent.term_weights(docs)
+    index = latent.Index(items, *latent.segments(items), weight, latent.latent_space(docs, weight))
+    index.runs = []
+    long = " ".join([x["text"] or "" for x in docs.orderBy("doc_id").collect()]
+                    + [x["text"] for x in rows]).encode()
+    whole = {(t, k) for t, k, *_ in index.search([long, b"", long[:3000]])}
+    monkeypatch.setattr(latent, "AT_ONCE", 7)
+    assert {(t, k) for t, k, *_ in index.search([long, b"", long[:3000]])} == whole
+    assert len(whole) >= 0.7 * len(rows)
+
+
 # -- tokens -------------------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
