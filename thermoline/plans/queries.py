@@ -1375,7 +1375,7 @@ def _(t):
 
 # -- streaming ---------------------------------------------------------------------------------
 
-def message_stream(t: DataFrame, name: str, again: bool = True) -> DataFrame:
+def message_stream(t: DataFrame, name: str, again: bool = True, files: int = 4) -> DataFrame:
     """The deliveries as a stream of message files, the repeated ones last, in several batches."""
     spark, path = t.sparkSession, scratch_path(t.sparkSession, name)
     sent = inputs.deliveries(t)
@@ -1386,12 +1386,12 @@ def message_stream(t: DataFrame, name: str, again: bool = True) -> DataFrame:
             "offset", F.get_json_object(F.col("value").cast("string"), "$.arrival").cast("bigint"))
         numbered.repartition(4, "key").write.mode("append").parquet(path)
     return (spark.readStream.schema("key binary, value binary, offset bigint")
-            .option("maxFilesPerTrigger", 4).parquet(path))
+            .option("maxFilesPerTrigger", files).parquet(path))
 
 
-def _run(t: DataFrame, name: str) -> ingest.Targets:
-    targets = ingest.Targets(t.sparkSession, scratch_path(t.sparkSession, name))
-    stream = ingest.telemetry_stream(message_stream(t, name + "-in"))
+def _run(t: DataFrame, name: str, files: int = 4, **levels: int) -> ingest.Targets:
+    targets = ingest.Targets(t.sparkSession, scratch_path(t.sparkSession, name), **levels)
+    stream = ingest.telemetry_stream(message_stream(t, name + "-in", files=files))
     ingest.run_pipeline(stream, targets, targets.root + "/checkpoint",
                           {"availableNow": True}).awaitTermination()
     return targets
@@ -1462,29 +1462,45 @@ last_delivery AS (
     FROM deliveries) WHERE rn = 1)"""
 
 
-@query("t2_fan_out_status", sql("""
+STATES = sql("""
 SELECT machine_id, reading_id, branch, cast(cycle_temperature AS double) AS cycle_temperature,
        CASE WHEN cycle_temperature > 70 THEN 'ALERT' ELSE 'NORMAL' END AS status,
        cast(cycle_temperature > 68 AS int) AS breakdown_soon,
        strftime(txn_timestamp, '%Y-%m-%d %H:%M:%S.%f') AS last_updated
 FROM (SELECT *, row_number() OVER (PARTITION BY machine_id
                                    ORDER BY txn_timestamp DESC, reading_id DESC) AS rn
-      FROM last_delivery) WHERE rn = 1""", DELIVERIES, LAST_DELIVERY))
-def _(t):
-    return _run(t, "t2s").status.read()
-
-
-@query("t2_fan_out_log", sql(f"""
+      FROM last_delivery) WHERE rn = 1""", DELIVERIES, LAST_DELIVERY)
+LOGGED = sql(f"""
 SELECT {READING}, {shown('txn_timestamp')},
        CASE WHEN cycle_temperature > 70 THEN 'ALERT' ELSE 'NORMAL' END AS status,
        cast(first_temperature > 68 AS int) AS breakdown_soon
 FROM last_delivery JOIN (SELECT reading_id, cycle_temperature AS first_temperature FROM telemetry)
-     USING (reading_id)""", DELIVERIES, LAST_DELIVERY))
+     USING (reading_id)""", DELIVERIES, LAST_DELIVERY)
+
+
+@query("t2_fan_out_status", STATES)
+def _(t):
+    return _run(t, "t2s").status.read().select(*schemas.STATUS.names)
+
+
+@query("t2_fan_out_log", LOGGED)
 def _(t):
     log = ingest.read_log(t.sparkSession, _run(t, "t2l").log)
     return log.select(*LOG_COLUMNS)
 
 
+@query("k5_states_in_levels", STATES)
+def _(t):
+    # Four batches, folded two by two into runs of levels 1 and 2, then a run of level 3.
+    return _run(t, "k5l", files=2, fanout=2).status.read().select(*schemas.STATUS.names)
+
+
+@query("k6_log_in_levels", LOGGED)
+def _(t):
+    log = _run(t, "k6l", files=3, fanout=2).log
+    return ingest.read_log(t.sparkSession, log).select(*LOG_COLUMNS)
+
+
 @query("t4_dedupe_stream", sql("SELECT reading_id, machine_id FROM telemetry"))
 def _(t):
     stream = ingest.telemetry_stream(message_stream(t, "t4-in"))

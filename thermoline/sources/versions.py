@@ -1,11 +1,15 @@
 """Small tables that are replaced as a whole, version by version.
 
-Without a table format a path must not be overwritten while it is read. So each change writes
-a new `version=N` folder, and readers take the newest one that carries the job's success mark.
+Without a table format a path must not be overwritten while it is read. So each change is written
+beside the versions and then renamed to a new `version=N` folder, which fails if another job has
+done so first; readers take the newest one that carries the job's success mark.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -43,12 +47,34 @@ class VersionedTable:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self.schema).parquet(self._folder(found[-1]))
 
-    def replace(self, df: DataFrame) -> None:
-        """Makes `df`, which may read the current version, the next version. A failed write
-        leaves the current version in place."""
-        found = self.versions()
-        (df.select(*self.schema.names).write.mode("overwrite")
-         .parquet(self._folder(found[-1] + 1 if found else 0)))
+    def newest(self) -> int | None:
+        """Number of the newest version, None if there is none."""
+        return max(self.versions(), default=None)
+
+    def replace(self, df: DataFrame, after: int | None = -1) -> None:
+        """Makes `df`, which may read the current version, the next version; or the one that
+        follows version `after` (None: the first), if `df` was made from that. A failed write
+        leaves the current version in place, and a version that exists is refused."""
+        known = self.newest() if after == -1 else after
+        folder = self._folder(0 if known is None else known + 1)
+        waiting = f"{self.path}/_new-{uuid.uuid4().hex}"
+        df.select(*self.schema.names).write.parquet(waiting)
+        jvm, root, files = self._files()
+        path = jvm.org.apache.hadoop.fs.Path
+        if files.exists(path(folder)) and not files.exists(path(folder, "_SUCCESS")):
+            files.delete(path(folder), True)  # left by a failed write
+        options = self.spark.sparkContext._gateway.new_array(
+            jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        conf = self.spark._jsparkSession.sessionState().newHadoopConf()
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(
+                files.makeQualified(root).toUri(), conf).rename(
+                    path(waiting), path(folder), options)
+        except Py4JJavaError as error:
+            files.delete(path(waiting), True)
+            if "FileAlreadyExists" in str(error.java_exception.toString()):
+                raise RuntimeError(f"{folder} was committed by another job") from error
+            raise
 
     def prune(self, keep: int = 3) -> None:
         """Deletes all but the newest `keep` versions."""

@@ -13,12 +13,16 @@ from thermoline import constants as C
 from thermoline import schemas
 from thermoline.operators import aggregates, cleaning, combine, sequence
 from thermoline.sources import history, topic
+from thermoline.sources.levels import LeveledTable
 from thermoline.sources.versions import VersionedTable
 
 _LANDING = [T.StructField("arrived_at", T.TimestampType()), T.StructField("offset", T.LongType()),
             T.StructField("dt", T.DateType()), T.StructField("batch", T.StringType())]
 RAW_FILES = T.StructType([*schemas.READING.fields, *_LANDING])
 LOG_FILES = T.StructType([*schemas.LOG.fields, *_LANDING])
+STATE_FILES = T.StructType([*schemas.STATUS.fields, *_LANDING[:2]])
+STATE_ORDER = {"event": ("last_updated", "reading_id", "arrived_at", "batch", "offset"),
+               "arrival": ("last_updated", "batch", "offset", "reading_id")}
 
 
 def decoded_stream(messages: DataFrame) -> DataFrame:
@@ -76,10 +80,17 @@ def land_raw(readings: DataFrame, path: str, checkpoint: str,
 
 @dataclass(frozen=True)
 class Targets:
-    """Where `run_pipeline` keeps its four tables, and the messages that are no readings."""
+    """Where `run_pipeline` keeps its four tables, and the messages that are no readings.
+
+    A machine's state is its last event, or (`status_by="arrival"`) the last to arrive. Log and
+    states are kept in levels: `fanout` batches or runs make a run of the next level, in `buckets`
+    files by key."""
 
     spark: SparkSession
     root: str
+    status_by: str = "event"
+    buckets: int = 16
+    fanout: int = 8
 
     @property
     def raw(self) -> str:
@@ -94,8 +105,14 @@ class Targets:
         return f"{self.root}/log"
 
     @property
-    def status(self) -> VersionedTable:
-        return VersionedTable(self.spark, f"{self.root}/machine_status", schemas.STATUS)
+    def log_table(self) -> LeveledTable:
+        return log_table(self.spark, self.log, self.buckets, self.fanout)
+
+    @property
+    def status(self) -> LeveledTable:
+        return LeveledTable(self.spark, f"{self.root}/machine_states_by_{self.status_by}",
+                            STATE_FILES, "machine_id", STATE_ORDER[self.status_by],
+                            buckets=self.buckets, fanout=self.fanout)
 
     @property
     def live(self) -> VersionedTable:
@@ -128,9 +145,12 @@ def live_counts(buffer: DataFrame) -> DataFrame:
 
 
 def write_batch(readings: DataFrame, targets: Targets, batch: str,
-                buffer_size: int = C.LIVE_BUFFER, status_by: str = "event") -> None:
+                buffer_size: int = C.LIVE_BUFFER) -> None:
     """Writes one micro-batch of readings to the four tables, and those with a `reject_reason` to
-    the rejects. Each write is idempotent, so a batch that failed half-way is simply repeated."""
+    the rejects. Each write is idempotent, so a batch that failed half-way is simply repeated.
+
+    Log and states take the batch by itself: a write costs the size of the batch, not of the
+    table. Once enough batches wait they are folded, in place."""
     decoded = readings.persist()
     try:
         if "reject_reason" in decoded.columns:
@@ -139,27 +159,34 @@ def write_batch(readings: DataFrame, targets: Targets, batch: str,
         append_batch(readings, targets.raw, batch)
         append_batch(readings.select(*schemas.LOG.names, "arrived_at", "offset")
                      .filter(F.col("reading_id").isNotNull()), targets.log, batch)
-        status = targets.status
-        updated = F.col("arrived_at") if status_by == "arrival" else None
-        states = combine.status_rows(readings, updated)
-        status.replace(combine.upsert_status(status.read(), states, status_by))
-        status.prune()
+        targets.status.append(batch_states(readings, targets.status_by), batch)
         live = targets.live
         live.replace(live_buffer(live.read(), readings, buffer_size))
         live.prune()
     finally:
         decoded.unpersist()
+    targets.log_table.compact()
+    targets.status.compact()
+
+
+def batch_states(readings: DataFrame, status_by: str = "event") -> DataFrame:
+    """The last state of each machine of a micro-batch, with its `arrived_at` and `offset`."""
+    updated = "arrived_at" if status_by == "arrival" else "txn_timestamp"
+    states = readings.select(
+        *[c for c in schemas.STATUS.names if c != "last_updated"],
+        F.col(updated).alias("last_updated"), "arrived_at", "offset")
+    order = [c for c in STATE_ORDER[status_by] if c != "batch"]
+    return sequence.latest_per_key(states, "machine_id", order)
 
 
 def run_pipeline(readings: DataFrame, targets: Targets, checkpoint: str,
-                 trigger: dict[str, object] | None = None,
-                 status_by: str = "event") -> StreamingQuery:
+                 trigger: dict[str, object] | None = None) -> StreamingQuery:
     """Feeds every micro-batch to `write_batch`. Offsets are committed after the batch is
     written; a failing write fails the batch, and a restart repeats it."""
     def sink(batch: DataFrame, batch_id: int) -> None:
         # The query id lives in the checkpoint: a new checkpoint never reuses old folders.
         query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        write_batch(batch, targets, f"{query}-{batch_id:012d}", status_by=status_by)
+        write_batch(batch, targets, f"{query}-{batch_id:012d}")
 
     return (readings.writeStream.foreachBatch(sink)
             .option("checkpointLocation", checkpoint)
@@ -171,14 +198,19 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return history.read_history(spark, path, RAW_FILES)
 
 
+def log_table(spark: SparkSession, path: str, buckets: int = 16, fanout: int = 8) -> LeveledTable:
+    """The readings log: first delivery wins, but for `combine.LOG_UPDATES`, which follow the
+    last one."""
+    return LeveledTable(spark, path, LOG_FILES, "reading_id",
+                        ("arrived_at", "batch", "offset", "txn_timestamp"), combine.LOG_UPDATES,
+                        ("dt", "batch"), buckets, fanout)
+
+
 def read_log(spark: SparkSession, path: str,
              update_cols: tuple[str, ...] | str = combine.LOG_UPDATES) -> DataFrame:
-    """The readings log: one row per reading, merged over all deliveries on read. Appending
-    costs a batch only its own size; `compact_log` keeps reading cheap."""
-    rows = history.read_history(spark, path, LOG_FILES)
-    folded = combine.fold_by_key(rows.drop("dt"), "reading_id", update_cols,
-                                 ("arrived_at", "batch", "offset", "txn_timestamp"))
-    return folded.select(*schemas.LOG.names, "arrived_at", "offset")
+    """The readings log: one row per reading, merged on read over the runs and the batches that
+    are in no run yet. Only the latter are shuffled."""
+    return log_table(spark, path).read(update_cols)
 
 
 def compact_log(spark: SparkSession, path: str, target: str, batch: str = "0-compacted") -> None:
