@@ -153,6 +153,46 @@ def _(t):
                        "txn_timestamp", "status", "breakdown_soon", "dt")
 
 
+@query("s3_columns_of_all_files", sql(f"""
+SELECT {READING}, CASE WHEN event_id % 2 = 0 THEN vibration_hz END AS vibration_hz,
+       CASE WHEN event_id % 2 = 1 THEN event_id END AS event_id FROM telemetry"""))
+def _(t):
+    # Half of the files lack one column, the other half another.
+    path, rows = scratch_path(t.sparkSession, "s3l"), inputs.raw(t).select(
+        *READING_COLUMNS, "event_id", "dt")
+    even = F.col("event_id") % 2 == 0
+    rows.filter(even).drop("event_id").write.partitionBy("dt").parquet(path)
+    rows.filter(~even).drop("vibration_hz").write.mode("append").partitionBy("dt").parquet(path)
+    return history.load_history(t.sparkSession, path).select(
+        "reading_id", "machine_id", "branch", "cycle_temperature", "vibration_hz", "event_id")
+
+
+@query("s3_three_schemas_in_one_date", sql(f"""
+SELECT {READING}, {shown('txn_timestamp')}, status, breakdown_soon,
+       CASE WHEN event_id % 3 > 0 THEN vibration_hz END AS vibration_hz,
+       CASE WHEN event_id % 3 = 2 THEN event_id END AS event_id,
+       cast(cast(txn_timestamp AS date) AS varchar) AS dt FROM telemetry"""))
+def _(t):
+    # Three writers that differ in types and columns; nobody tells the reader which is which.
+    path, rows = scratch_path(t.sparkSession, "s3w"), inputs.raw(t)
+    kind, time = F.col("event_id") % 3, F.col("txn_timestamp")
+    temperature = F.col("cycle_temperature")
+    names = ["reading_id", "machine_id", "branch", "cycle_temperature", "txn_timestamp", "status",
+             "breakdown_soon", "vibration_hz", "event_id", "dt"]
+    doubles = rows.withColumns({
+        "cycle_temperature": temperature.cast("double"),
+        "txn_timestamp": F.date_format(time, cleaning.TIME_FORMAT),
+        "breakdown_soon": F.col("breakdown_soon").cast("bigint")}).select(*names)
+    texts = rows.withColumns({
+        "cycle_temperature": temperature.cast("string"),
+        "vibration_hz": F.col("vibration_hz").cast("string")}).select(*names)
+    for written in (doubles.filter(kind == 0).drop("vibration_hz", "event_id"),
+                    rows.select(*names).filter(kind == 1).drop("event_id"),
+                    texts.filter(kind == 2).withColumnRenamed("txn_timestamp", "timestamp")):
+        written.write.mode("append").partitionBy("dt").parquet(path)
+    return history.load_history(t.sparkSession, path).select(*names)
+
+
 @query("s2_broken_lines", sql("""
 SELECT (SELECT count(*) FROM telemetry) AS good,
        (SELECT count(*) FROM telemetry WHERE event_id % 10 = 0) AS rejected"""))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import partial
 
-from pyspark.errors import AnalysisException
+import pandas as pd
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,28 +70,101 @@ def rejected_lines(spark: SparkSession, path: str,
                          F.lit(C.INVALID_JSON).alias("reject_reason"))
 
 
+def _footer(uri: str) -> str:
+    """Names and types of a Parquet file's columns, from its footer alone."""
+    from pyarrow import fs, parquet
+
+    scheme, _, rest = uri.partition(":")
+    if scheme == "file":
+        system, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:  # names may hold signs that a URI escapes: only the store is looked up by URI
+        store, _, key = rest.lstrip("/").partition("/")
+        scheme = "s3" if scheme in ("s3a", "s3n") else scheme
+        system, base = fs.FileSystem.from_uri(f"{scheme}://{store}/")
+        name = f"{base.rstrip('/')}/{key}"
+    with system.open_input_file(name) as file:
+        columns = parquet.read_metadata(file).schema
+    return "; ".join(f"{c.path} {c.physical_type} {c.logical_type}" for c in columns)
+
+
+def file_layouts(spark: SparkSession, path: str) -> DataFrame:
+    """(path, layout) of every Parquet file of the tree: the physical schema that its footer
+    states. The footers are read in tasks; the data are not."""
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.assign(layout=[_footer(uri) for uri in batch["path"]])
+
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select("path").mapInPandas(read, "path string, layout string")
+
+
+def _together(schemas_found: Sequence[T.StructType]) -> list[tuple[T.StructType, list[int]]]:
+    """Schemas in as few groups as a first fit gives, so that in a group each column has one
+    type; with the group's columns and the places of its schemas."""
+    groups: list[tuple[dict[str, T.StructField], list[int]]] = []
+    for place, schema in enumerate(schemas_found):
+        have = {f.name.lower(): f for f in schema.fields}
+        for columns, places in groups:
+            if all(columns[n].dataType == f.dataType for n, f in have.items() if n in columns):
+                columns.update({n: f for n, f in have.items() if n not in columns})
+                places.append(place)
+                break
+        else:
+            groups.append((have, [place]))
+    return [(T.StructType(list(columns.values())), places) for columns, places in groups]
+
+
+def read_drifted(spark: SparkSession, path: str) -> list[DataFrame]:
+    """The Parquet files of the tree as few tables, each with all columns of its files.
+
+    Columns that some files lack are no conflict: Spark collects them in one job over the footers,
+    and there is one table. Where types differ, files are told apart by their footers' schemas;
+    those that agree in the types of all shared columns are read together. The driver gets one
+    example of each schema, and the paths of each group, as Spark's own file index does.
+    """
+    try:
+        return [read_history(spark, path, merge_schema=True)]
+    except (PySparkException, Py4JJavaError) as error:
+        if "CANNOT_MERGE_SCHEMAS" not in str(error):
+            raise
+    found = materialize(file_layouts(spark, path), "layouts")
+    examples = found.groupBy("layout").agg(F.min("path").alias("path")).orderBy("layout").collect()
+    # Folder columns keep the type that the whole tree gives them.
+    folders = spark.read.format("binaryFile").load(path).schema.fields[4:]
+    named = {f.name.lower() for f in folders}
+    parts = []
+    for schema, places in _together([spark.read.parquet(e["path"]).schema for e in examples]):
+        rows = found.filter(F.col("layout").isin(*[examples[k]["layout"] for k in places]))
+        files = [r["path"] for r in rows.select("path").collect()]
+        full = [*[f for f in schema.fields if f.name.lower() not in named], *folders]
+        parts.append(spark.read.schema(T.StructType(full)).option("basePath", path)
+                     .parquet(*files))
+    return parts
+
+
 def load_history(spark: SparkSession, path: str, dedupe: bool = False,
-                 layouts: Sequence[tuple[str, T.StructType | None]] = (("*.parquet", None),),
+                 layouts: Sequence[tuple[str, T.StructType | None]] | None = None,
                  merge_schema: bool = False) -> DataFrame:
     """Parquet and JSON-Lines files of the same date folders as one canonical table.
 
-    Files of one physical schema are a layout: a pattern of their names, and their schema or None
-    for that of one of them. Each layout is read by itself and brought to the canonical types, so
-    that doubles, texts and longs may lie beside decimals, times and ints. No footer but one a
-    layout is opened for this; `merge_schema` collects the columns of all files of a layout, which
-    takes a job. With `dedupe` a reading delivered more than once counts once (its latest copy);
-    readings without id all count.
+    Files may have been written by different writers: doubles, texts and longs may lie beside
+    decimals, times and ints, and a column that some files lack is null for these alone
+    (`read_drifted`). Where the writers are known, `layouts` saves the job over the footers: each
+    is a pattern of file names, and their schema or None for that of one of them; `merge_schema`
+    collects the columns of all files of a layout. With `dedupe` a reading delivered more than
+    once counts once (its latest copy); readings without id all count.
     """
-    def parquet(names: str, schema: T.StructType | None) -> DataFrame:
+    def parquet(names: str, schema: T.StructType | None) -> list[DataFrame]:
         reader = (spark.read.option("pathGlobFilter", names)
                   .option("mergeSchema", str(merge_schema).lower()))
-        return (reader if schema is None else reader.schema(schema)).parquet(path)
+        return [(reader if schema is None else reader.schema(schema)).parquet(path)]
 
-    reads = [partial(parquet, *layout) for layout in layouts]
+    reads = ([partial(read_drifted, spark, path)] if layouts is None
+             else [partial(parquet, *layout) for layout in layouts])
     parts = []
-    for read in [*reads, lambda: read_history_json(spark, path)]:
+    for read in [*reads, lambda: [read_history_json(spark, path)]]:
         try:
-            parts.append(cleaning.canonicalize(read()))
+            parts += [cleaning.canonicalize(part) for part in read()]
         except AnalysisException as error:
             if error.getCondition() != "UNABLE_TO_INFER_SCHEMA":
                 raise
