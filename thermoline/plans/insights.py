@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermoline import constants as C
 from thermoline import schemas
@@ -13,11 +17,13 @@ from thermoline.session import materialize
 from thermoline.sources import history
 
 
-def profile(readings: DataFrame) -> DataFrame:
-    """Readings counted by (machine, branch, hour of day), with all that the insights need. One
-    scan of four or five columns; its size depends on the fleet, not on the history."""
+def profile(readings: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Readings counted by (machine, branch, hour of day), and by the columns `by` if given, with
+    all that the insights need. One scan of four or five columns; its size depends on the fleet,
+    not on the history. Profiles of disjoint readings, one under the other, are a profile of all."""
     temperature = F.col("cycle_temperature")
-    return readings.groupBy("machine_id", "branch", F.hour("txn_timestamp").alias("hour")).agg(
+    return readings.groupBy(*by, "machine_id", "branch",
+                            F.hour("txn_timestamp").alias("hour")).agg(
         F.count(F.lit(1)).alias("readings"),
         F.count(temperature).alias("measured"),
         F.sum((temperature.cast(schemas.TEMPERATURE) * 100).cast("bigint")).alias("cents"),
@@ -26,6 +32,28 @@ def profile(readings: DataFrame) -> DataFrame:
         F.count_if(filters.normal_band()).alias("in_band"))
 
 
+# Columns of the profiles that are kept by date.
+DAILY = T.StructType([
+    *[T.StructField(n, T.StringType()) for n in ("machine_id", "branch")],
+    T.StructField("hour", T.IntegerType()),
+    *[T.StructField(n, T.LongType())
+      for n in ("readings", "measured", "cents", "alerts", "good", "in_band")],
+    T.StructField("dt", T.DateType())])
+
+
+def refresh_profiles(spark: SparkSession, raw: str, profiles: str) -> DataFrame:
+    """Profiles of the history by date, kept at `profiles`: only dates whose files changed since
+    the last refresh are read and counted again, and dates that are gone go. What was counted is
+    the manifest beside them, committed last, so a refresh that fails is repeated."""
+    history.sync_partitions(spark, raw, profiles, derive=lambda rows: profile(rows, ["dt"]))
+    try:
+        return history.read_history(spark, profiles, DAILY)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":  # no files were ever there
+            raise
+        return spark.createDataFrame([], DAILY)
+
+
 def insights(profiled: DataFrame) -> dict[str, DataFrame]:
     """The three results and the health summary, from a profile."""
     hot = profiled.filter(F.col("alerts") > 0)
@@ -105,10 +133,16 @@ def snapshot_lines(results: dict[str, DataFrame], top_n: int | None = None) -> D
 
 
 def run_insights(spark: SparkSession, raw: str, out: str, top_n: int | None = None,
-                 dedupe: bool = False) -> DataFrame:
+                 dedupe: bool = False, profiles: str | None = None) -> DataFrame:
     """Reads the history once, writes every result as Parquet and the snapshot as text: one JSON
-    object over the lines of its files, in the order of their names. Returns the lines."""
-    profiled = materialize(profile(history.load_history(spark, raw, dedupe)), "profile")
+    object over the lines of its files, in the order of their names. Returns the lines.
+
+    With `profiles`, a folder where counts by date are kept between runs, only dates that changed
+    are read. Copies of a reading may lie in several dates, so that excludes `dedupe`."""
+    if profiles is not None and dedupe:
+        raise ValueError("profiles kept by date count every copy of a reading")
+    profiled = (materialize(profile(history.load_history(spark, raw, dedupe)), "profile")
+                if profiles is None else refresh_profiles(spark, raw, profiles))
     results = insights(profiled)
     for name, result in results.items():
         history.write_result(result, f"{out}/{name}")

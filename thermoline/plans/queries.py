@@ -299,6 +299,57 @@ def _(t):
     return t.sparkSession.read.parquet(f"{out}/time_in_alert")
 
 
+# The history after the changes that `_refreshed` makes: late files, a rewritten and a gone span.
+CHANGED = f"""changed AS (
+  SELECT * FROM raw
+  WHERE dt >= DATE '2024-01-05' AND (dt >= DATE '2024-01-10' OR event_id % 2 = 0))"""
+
+
+def _refreshed(t: DataFrame, name: str) -> str:
+    """Insights kept up to date by date: a first run, changes of some dates, a second run."""
+    spark = t.sparkSession
+    source, out = scratch_path(spark, f"{name}in"), scratch_path(spark, name)
+    late = F.col("txn_timestamp") >= F.lit("2024-01-25").cast("timestamp")
+    _append(t.filter(~late | (F.col("event_id") % 3 > 0)), source)
+    insights.run_insights(spark, source, out, profiles=f"{out}-profiles")
+    _append(t.filter(late & (F.col("event_id") % 3 == 0)), source)
+    fewer = t.filter("txn_timestamp >= '2024-01-05' and txn_timestamp < '2024-01-10'")
+    history.write_history(inputs.raw(fewer.filter("event_id % 2 = 0")).select(
+        *READING_COLUMNS, "dt"), source)
+    history.drop_dates(spark, source, [f"2024-01-{d:02d}" for d in range(1, 5)])
+    insights.run_insights(spark, source, out, profiles=f"{out}-profiles")
+    return out
+
+
+@query("a1_average_after_changed_dates", sql("""
+SELECT branch, cast(round(avg(cycle_temperature), 2) AS double) AS avg_temperature
+FROM changed GROUP BY branch""", RAW, CHANGED))
+def _(t):
+    return t.sparkSession.read.parquet(f"{_refreshed(t, 'a1r')}/avg_temp_by_branch")
+
+
+@query("a2_alerts_after_changed_dates", sql("""
+SELECT machine_id, branch, count(*) AS alert_count FROM changed
+WHERE cycle_temperature > 70 GROUP BY ALL""", RAW, CHANGED))
+def _(t):
+    return t.sparkSession.read.parquet(f"{_refreshed(t, 'a2r')}/time_in_alert")
+
+
+@query("a3_hours_after_changed_dates", sql("""
+SELECT hour(txn_timestamp) AS hour, count(*) AS alert_count FROM changed
+WHERE cycle_temperature > 70 GROUP BY ALL""", RAW, CHANGED))
+def _(t):
+    return t.sparkSession.read.parquet(f"{_refreshed(t, 'a3r')}/busiest_alert_hour")
+
+
+@query("a8_health_after_changed_dates", sql("""
+SELECT count(*) FILTER (breakdown_soon = 0) AS good_condition_count,
+       count(*) FILTER (cycle_temperature BETWEEN 30 AND 70) AS normal_temp_count,
+       count(*) AS total_machines FROM changed""", RAW, CHANGED))
+def _(t):
+    return t.sparkSession.read.parquet(f"{_refreshed(t, 'a8r')}/fleet_health")
+
+
 @query("k4_land_raw", sql(f"SELECT {FULL}, cast(dt AS varchar) AS dt FROM raw", RAW))
 def _(t):
     spark = t.sparkSession

@@ -8,7 +8,7 @@ from functools import partial
 import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -281,12 +281,13 @@ def drop_dates(spark: SparkSession, target: str, dates: Sequence[str | None]) ->
 
 
 def sync_partitions(spark: SparkSession, source: str, target: str,
-                    dates: Sequence[str] | None = None,
-                    files: DataFrame | None = None) -> None:
+                    dates: Sequence[str] | None = None, files: DataFrame | None = None,
+                    derive: Callable[[DataFrame], DataFrame] | None = None) -> None:
     """Publishes raw history to another store: each date replaces that date there, in compacted
-    files, with all its columns; a date that has no files any more goes. `dates` names the dates;
-    by default those that changed since they were published, of which the driver gets the list
-    (one entry per date).
+    files, with all its columns; a date that has no files or no rows any more goes. `dates` names
+    the dates; by default those that changed since they were published, of which the driver gets
+    the list (one entry per date). With `derive` the target holds what that makes of the rows; it
+    must keep `dt`, and make the rows of a date from that date's rows alone.
 
     The source is listed first (or `files` is its listing, a written table), and the listing is
     committed as the target's manifest last. So a file that lands while the dates are written is
@@ -304,13 +305,17 @@ def sync_partitions(spark: SparkSession, source: str, target: str,
     day = F.coalesce(F.col("dt").cast("string"), F.lit(""))
     wanted = day.isin(*[d or "" for d in dates])
     held = {r["d"] for r in listed.where(wanted).select(day.alias("d")).distinct().collect()}
+    filled: set[str] = set()
     if held:
         rows = load_history(spark, source)
         named = [F.lit(d).cast("date") for d in dates if d is not None]
         chosen = F.col("dt").isin(*named) if named else F.lit(False)
-        write_history(rows.filter(chosen | F.col("dt").isNull() if None in dates else chosen),
-                      target)
-    drop_dates(spark, target, [d for d in dates if (d or "") not in held])
+        rows = rows.filter(chosen | F.col("dt").isNull() if None in dates else chosen)
+        seen = Observation()
+        write_history((rows if derive is None else derive(rows)).observe(
+            seen, F.collect_set(day).alias("dates")), target)
+        filled = set(seen.get["dates"])
+    drop_dates(spark, target, [d for d in dates if (d or "") not in filled])
     known.replace(known.read().where(~wanted).unionByName(listed.where(wanted)))
     known.prune()
 
