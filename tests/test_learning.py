@@ -2,6 +2,7 @@ import pytest
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from thermoline import schemas
@@ -102,6 +103,17 @@ def test_index_of_many_values(spark):
     assert len(learning.index_branch(df).labels) == 12_000
 
 
+def test_model_of_an_observed_session(readings, labelled):
+    # An observation stays in the session for good; a model that holds the session can't be sent.
+    seen = Observation()
+    readings([("a", "M", 1, "2024-01-01")]).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 1}
+    counts = learning.labelled_counts(labelled)
+    model = learning.train(counts.filter("training"))
+    metrics = learning.evaluate_model(model, counts.filter("NOT training")).first()
+    assert 0.3 < metrics["auc"] < 0.7
+
+
 def test_damaged_model_is_an_error(spark, tmp_path):
     from thermoline.sources import models
     (tmp_path / "bad" / "metadata").mkdir(parents=True)

@@ -23,7 +23,8 @@ from pyspark.sql.types import DoubleType
 from thermoline import constants as C
 from thermoline.functions import values
 from thermoline.operators import sequence
-from thermoline.session import materialize
+from thermoline.session import materialize, scratch_path
+from thermoline.sources import models
 
 WEIGHT = "weight"
 
@@ -121,12 +122,18 @@ def feature_assembler() -> VectorAssembler:
 
 
 def train(counts: DataFrame, max_iter: int = C.LEARNING_ITERATIONS) -> PipelineModel:
-    """Fits index, features and logistic regression on the counts of training readings."""
+    """Fits index, features and logistic regression on the counts of training readings.
+
+    The model is read back from the shared folder: as fitted, it has its training summary and
+    with it the session, which cannot go to the tasks once the session has been observed.
+    """
     data = with_temperature(counts)
     stages = [index_branch(counts, weight=WEIGHT), feature_assembler(),
               LogisticRegression(labelCol="breakdown_soon", featuresCol="features",
                                  weightCol=WEIGHT, maxIter=max_iter)]
-    return Pipeline(stages=stages).fit(data)
+    path = scratch_path(counts.sparkSession, "fitted")
+    models.save_model(Pipeline(stages=stages).fit(data), path)
+    return models.load_model([path])
 
 
 def evaluate(scored: DataFrame, raw: str = "rawPrediction",
