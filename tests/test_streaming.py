@@ -146,3 +146,17 @@ def test_counts_over_empty_buffer(spark):
     empty = spark.createDataFrame([], schemas.READING)
     assert tuple(ingest.live_counts(empty).first()) == (0, 0, 0)
     assert aggregates.reading_counts(empty).count() == 1
+
+
+def test_message_files_grow_with_the_readings(spark, telemetry, tmp_path, monkeypatch):
+    from thermoline.plans import queries
+    monkeypatch.setattr(queries, "FILE_ROWS", 125, raising=False)
+    monkeypatch.setattr(queries, "scratch_path", lambda _spark, name: str(tmp_path / name))
+    stream, batches = queries.message_stream(telemetry, "in"), []
+    run = (stream.writeStream.foreachBatch(lambda batch, _: batches.append(batch.count()))
+           .option("checkpointLocation", str(tmp_path / "checkpoint"))
+           .trigger(availableNow=True).start())
+    run.awaitTermination()
+    sizes = [spark.read.parquet(str(f)).count() for f in (tmp_path / "in").glob("*.parquet")]
+    assert len(batches) == 2 and sum(batches) == sum(sizes) == telemetry.count() * 11 // 10
+    assert len(sizes) > 8       # two parts, each of eight files, as far as machines fill them

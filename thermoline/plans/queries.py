@@ -3,6 +3,7 @@ give the same rows. Outputs go through `present`, so times are text and decimals
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from decimal import Decimal
 
@@ -1466,18 +1467,23 @@ def _(t):
 
 # -- streaming ---------------------------------------------------------------------------------
 
+FILE_ROWS = 50_000
+
+
 def message_stream(t: DataFrame, name: str, again: bool = True, files: int = 4) -> DataFrame:
-    """The deliveries as a stream of message files, the repeated ones last, in several batches."""
+    """The deliveries as a stream of message files, the repeated ones last, in several batches:
+    `files` of every four files make one, or as many times more as a file would hold more than
+    FILE_ROWS readings. So batches are as many for any input, and no task reads a fixed share."""
     spark, path = t.sparkSession, scratch_path(t.sparkSession, name)
-    sent = inputs.deliveries(t)
+    sent, times = inputs.deliveries(t), max(1, math.ceil(t.count() / (4 * FILE_ROWS)))
     for part in (F.col("arrival") < 10 ** 12, F.col("arrival") >= 10 ** 12)[:1 + again]:
         rows = sent.filter(part)
         pairs = topic.encode_records(rows.select(*READING_COLUMNS, "arrival"))
         numbered = pairs.withColumn(
             "offset", F.get_json_object(F.col("value").cast("string"), "$.arrival").cast("bigint"))
-        numbered.repartition(4, "key").write.mode("append").parquet(path)
+        numbered.repartition(4 * times, "key").write.mode("append").parquet(path)
     return (spark.readStream.schema("key binary, value binary, offset bigint")
-            .option("maxFilesPerTrigger", files).parquet(path))
+            .option("maxFilesPerTrigger", files * times).parquet(path))
 
 
 def _run(t: DataFrame, name: str, files: int = 4, **levels: int) -> ingest.Targets:
