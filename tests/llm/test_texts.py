@@ -622,3 +622,10 @@ def test_digests(documents, library):
             np.array(want, "<u4").tobytes()).hexdigest()
         assert rows[row["doc_id"]]["decoded_sha256"] == hashlib.sha256(
             (row["text"] or "").encode()).hexdigest()
+
+
+def test_packed_numbers_are_small_and_whole():
+    numbers = np.array([0, -1, (1 << 63) - 1, -(1 << 63), 7] + [3] * 5000, np.int64)
+    data = suffix_merge.packed(numbers)
+    assert suffix_merge.unpacked(data).tolist() == numbers.tolist() and len(data) < 500
+    assert suffix_merge.unpacked(suffix_merge.packed(numbers[:0])).tolist() == []

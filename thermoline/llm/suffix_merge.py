@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from numpy.lib.stride_tricks import sliding_window_view
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,6 +45,9 @@ COMMON_RUNS = 64
 #: In place of a null doc_id: larger than all others.
 NO_ID = (1 << 63) - 1
 
+#: Bits of an anchor's place among the 2^16 strings that are searched at once.
+_PLACE = np.uint64((1 << 17) - 1)
+
 HEAD = 10  # code of 8 bytes, place of the anchor, length
 
 
@@ -97,16 +101,16 @@ class Run:
         places, codes = np.empty(n, np.int32), np.empty(n, np.uint64)
         for a in range(0, n, 1 << 16):
             b = min(n, a + (1 << 16))
-            least = window_codes(raw[a:b + SPAN - 1], ANCHOR)
-            place = np.arange(a, a + len(least), dtype=np.int32)
+            code = window_codes(raw[a:b + SPAN - 1], ANCHOR)
+            # The smallest by its upper bits, of equal ones the first: the lower bits hold places.
+            least = code & ~_PLACE | np.arange(len(code), dtype=np.uint64)
             width = 1
-            while width < WINDOW:  # of equal codes the first stays
+            while width < WINDOW:
                 step = min(width, WINDOW - width)
-                later = least[step:] < least[:-step]
-                least = np.where(later, least[step:], least[:-step])
-                place = np.where(later, place[step:], place[:-step])
+                least = np.minimum(least[step:], least[:-step])
                 width += step
-            places[a:b], codes[a:b] = place, least
+            place = (least & _PLACE).astype(np.int32)
+            places[a:b], codes[a:b] = place + a, code[place]
         room = np.repeat(self.ends, self.sizes)[:n] - np.arange(n)
         whole = np.flatnonzero(room >= SPAN)
         place = places[whole]
@@ -162,18 +166,25 @@ class Run:
         n, width = len(route), HEAD + SPAN + WINDOW - 1
         rows = np.zeros((n, width), np.uint8)
         rows[:, :8] = route.astype(">u8").view(np.uint8).reshape(n, 8)
-        length = self.last - self.first + SPAN
-        rows[:, 8], rows[:, 9] = self.at - self.first, length
-        column = np.arange(width - HEAD)
-        for a in range(0, n, 1 << 14):
-            b = min(n, a + (1 << 14))
-            right = (self.last[a:b] + SPAN - self.at[a:b])[:, None]
-            take = np.where(column < right, self.at[a:b, None] + column,
-                            self.first[a:b, None] + column - right)
-            inside = column < length[a:b, None]
-            rows[a:b, HEAD:] = np.where(inside, self.raw[np.where(inside, take, 0)], 0)
-        order = np.argsort(rows.reshape(-1).view(f"S{width}"), kind="stable") if n else \
-            np.zeros(0, int)
+        left, right = self.at - self.first, self.last + SPAN - self.at
+        rows[:, 8], rows[:, 9] = left, left + right
+        # Records with equal lengths on both sides of the anchor are copied together.
+        shape = (left * (SPAN + 1) + right).astype(np.uint16)
+        alike = np.argsort(shape, kind="stable")
+        cut = np.flatnonzero(np.r_[True, np.diff(shape[alike]) != 0]) if n else []
+        for own in np.split(alike, cut[1:]) if n else []:
+            a, b = int(left[own[0]]), int(right[own[0]])
+            rows[own, HEAD:HEAD + b] = sliding_window_view(self.raw, b)[self.at[own]]
+            if a:
+                rows[own, HEAD + b:HEAD + b + a] = sliding_window_view(self.raw, a)[
+                    self.first[own]]
+        # By code; what follows the code only where codes are equal.
+        order = np.argsort(route, kind="stable")
+        equal = route[order][1:] == route[order][:-1]
+        tied = np.flatnonzero(np.r_[False, equal] | np.r_[equal, False]) if n else order
+        if len(tied):
+            order[tied] = order[tied][np.argsort(
+                rows[order[tied]].reshape(-1).view(f"S{width}"), kind="stable")]
         rows = rows[order]
         new = np.ones(n, bool)
         new[1:] = (rows[1:] != rows[:-1]).any(1)
@@ -199,10 +210,21 @@ class Run:
             rest = (column >= shared[a:b, None]) & (column < total[a:b, None])
             yield (int(range_[a]), shared[a:b].astype(np.uint8).tobytes(),
                    (total - shared)[a:b].astype(np.uint8).tobytes(),
-                   self.low[a:b].tobytes(),
+                   packed(self.low[a:b]),
                    zstandard.compress(self.rows[a:b][rest].tobytes(), 1))
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Long numbers compressed, their first bytes together, then their second ones, and so on."""
+    planes = np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view("<i8")
+
+
 def ranges(codes: np.ndarray, bits: int) -> np.ndarray:
     return (codes >> np.uint64(64 - bits)).astype(np.int64)
 
@@ -353,10 +375,12 @@ def merged(streams: list[Stream]) -> Iterator[tuple[int, int, int, bytes]]:
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(run, range, low, fewer): for each string of a run the smallest document that holds all of
-    it; and (string, place, document) where a smaller one holds a 50-byte part."""
+    it, less the run's own smallest (so 0 mostly); and (string, place, document) where a smaller one
+    holds a 50-byte part."""
     for group in arrow_groups(batches, "range"):
-        streams = [Stream(*parts) for parts in zip(
-            group["shared"], group["rest"], group["low"], group["body"], strict=True)]
+        streams = [Stream(shared, rest, unpacked(least).tobytes(), body)
+                   for shared, rest, least, body in zip(
+                       group["shared"], group["rest"], group["low"], group["body"], strict=True)]
         low = [np.full(len(s.low), NO_ID) for s in streams]
         fewer: list[list[int]] = [[] for _ in streams]
         same: list[tuple[bytes, list[tuple[int, int]]]] = []
@@ -371,7 +395,8 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             _settle(same, streams, low, fewer)
         yield pa.RecordBatch.from_arrays(
             [pa.array(group["run"]), pa.array(group["range"]),
-             pa.array([x.tobytes() for x in low]),
+             pa.array([packed(x - np.array(s.low, np.int64))
+                       for x, s in zip(low, streams, strict=True)]),
              pa.array([np.array(x, np.int64).tobytes() for x in fewer])],
             ["run", "range", "low", "fewer"])
 
@@ -405,12 +430,12 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in batch.to_pylist():
             own = _prepared(row)
             hits = sorted(row["hits"] or [], key=lambda h: h["range"])
-            lows = [np.frombuffer(h["low"], np.int64) for h in hits]
+            lows = [unpacked(h["low"]) for h in hits]
             low = np.concatenate([np.zeros(0, np.int64), *lows])
             edge = np.zeros(len(own.raw) + 1, np.int32)
             if len(low):
                 ids = own.ids[own.doc]
-                gone = low[own.string] < ids
+                gone = (low + own.low)[own.string] < ids
                 np.add.at(edge, own.first[gone], 1)
                 np.add.at(edge, own.last[gone] + SPAN, -1)
                 offset, some = 0, {}
