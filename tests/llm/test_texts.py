@@ -629,3 +629,14 @@ def test_packed_numbers_are_small_and_whole():
     data = suffix_merge.packed(numbers)
     assert suffix_merge.unpacked(data).tolist() == numbers.tolist() and len(data) < 500
     assert suffix_merge.unpacked(suffix_merge.packed(numbers[:0])).tolist() == []
+
+
+def test_sums_over_ranges_of_any_length():
+    rng = np.random.default_rng(5)
+    sizes = np.array([1, 32, 33, 5000, 2, 1, 64, 1100])
+    starts, table = np.cumsum(sizes) - sizes, rng.normal(size=(50, 7)).astype(np.float32)
+    rows = rng.integers(0, 50, sizes.sum())
+    own = latent._projected(rows, starts, table)
+    want = [table[rows[a:a + n]].astype(float).sum(0) for a, n in zip(starts, sizes, strict=True)]
+    assert own.dtype == np.float32 and np.abs(own - want).max() < 1e-3
+    assert latent._projected(rows[:0], starts[:0], table).shape == (0, 7)

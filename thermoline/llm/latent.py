@@ -156,15 +156,30 @@ def segments(items: list[Item]) -> tuple[list[np.ndarray], np.ndarray]:
     return parts, np.array(owner, np.int64)
 
 
-def _projected(term: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """Sums of the rows of `table` over ranges of terms."""
-    out = np.empty((len(starts), table.shape[1]), np.float32)
-    ends = np.append(starts[1:], len(term))
-    for a in range(0, len(starts), 512):
-        b = min(len(starts), a + 512)
-        low = starts[a]
-        out[a:b] = np.add.reduceat(table[term[low:ends[b - 1]]], starts[a:b] - low, axis=0)
-    return out
+#: Rows that are added up before their sums are.
+PIECE = 32
+
+
+def _projected(rows: np.ndarray, starts: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Sums of the `rows` of `table` over ranges, none of them empty, that begin at `starts`: the
+    first rows of all ranges, then their second rows, and so on; long ranges in pieces."""
+    sizes = np.diff(np.append(starts, len(rows)))
+    per = -(-sizes // PIECE)
+    ends = np.cumsum(per)
+    within = np.arange(per.sum()) - np.repeat(ends - per, per)
+    first = np.repeat(starts, per) + within * PIECE
+    held = np.minimum(PIECE, np.repeat(sizes, per) - within * PIECE)
+    order = np.argsort(-held, kind="stable")
+    first, longer = first[order], np.cumsum(np.bincount(held, minlength=PIECE + 1)[::-1])[::-1]
+    out = np.zeros((len(first), table.shape[1]), np.float32)
+    for j in range(PIECE if len(first) else 0):
+        n = longer[j + 1]
+        if not n:
+            break
+        out[:n] += table.take(rows[first[:n] + j], axis=0)
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return out[back] if len(back) == len(starts) else _projected(back, ends - per, out)
 
 
 def _starts(begins: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -248,9 +263,7 @@ def latent_space(docs: DataFrame, weight: np.ndarray, rank: int = RANK,
         order = np.argsort(term.astype(np.int16), kind="stable")
         some, at = np.unique(term[order], return_index=True)
         rows = np.repeat(np.arange(len(starts)), sizes)[order]
-        for a, b in blocks(np.diff(np.append(at, len(term))).tolist(), 1 << 16):
-            low, high = at[a], at[b] if b < len(at) else len(term)
-            total[some[a:b]] += np.add.reduceat(met[rows[low:high]], at[a:b] - low, axis=0)
+        total[some] += _projected(rows, at, met)
 
     back = _summed(docs, (TERMS, size), spread) * weight[:, None]
     basis = np.linalg.qr(back)[0].astype(np.float32)
