@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from thermoline.llm import bpe, byte_cnn, chosen_path, components, latent, ppm, suffix_merge
 from thermoline.llm.common import bounded_sample
+from thermoline.session import materialize
 
 PATH, PATTERN = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
@@ -81,6 +82,39 @@ def test_large_groups_of_near_copies(spark, monkeypatch):
     assert near(df, 3, 85) == linked(rows, 3, 85)
 
 
+def test_known_groups_are_not_branched_on(spark, monkeypatch):
+    """Once two trees have found a large group, the others compare what is outside it with it."""
+    monkeypatch.setattr(chosen_path, "NODE", 8)
+    made, children = Counter(), chosen_path._children
+
+    def counted(rows, level, similarity):
+        out = children(rows, level, similarity)
+        made[bool(level), "label" in rows.columns] += out.count()
+        return out
+
+    monkeypatch.setattr(chosen_path, "_children", counted)
+    r = random.Random(5)
+    base, near_base = [f"w{k}" for k in range(120)], [f"w{k}" for k in range(60)]
+    rows = [(i, edited(r, base, i % 4)) for i in range(80)]
+    # Strays share half the text: they meet the group in its nodes and are not similar enough.
+    rows += [(100 + i, " ".join(near_base + [f"v{r.random()}" for _ in range(60)]))
+             for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert near(df, 3, 85) == linked(rows, 3, 85)
+    assert made[True, False] > 80 and not made[True, True]
+    assert made[True, False] < 3 * chosen_path.DEPTH * len(rows) * chosen_path.LEAD
+
+
+def test_settled_links_take_no_round(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(components, "materialize",
+                        lambda df, name: written.append(name) or materialize(df, name))
+    links = spark.createDataFrame([(k, k % 3) for k in range(3, 60)] * 2, "a long, b long")
+    found = {r["id"]: r["component"] for r in components.connected_components(links).collect()}
+    assert found == {k: k % 3 for k in range(60)}
+    assert written == ["links"]
+
+
 def test_chains_and_short_texts(spark):
     rows = [(k, " ".join(f"w{j}" for j in range(k, k + 60))) for k in range(12)]
     rows += [(20, "a b"), (21, "A  B"), (22, "a"), (23, "b a"), (24, ""), (25, None), (26, " ")]

@@ -26,9 +26,10 @@ from thermoline.session import materialize
 #: large nodes are followed first.
 COORDS, TREES, DEPTH, LEAD = 64, 10, 6, 2
 
-#: Documents of a node that is compared exhaustively; documents and shingles that are compared
+#: Documents of a node that is compared exhaustively; times so many (and pairs so many times) once
+#: groups are known and only pairs across them count; documents and shingles that are compared
 #: exactly in one task.
-NODE, CELL_DOCS, CELL_SHINGLES = 128, 512, 4_000_000
+NODE, KNOWN, CELL_DOCS, CELL_SHINGLES = 128, 64, 512, 4_000_000
 
 #: Documents of a large group that are compared with all others of it first.
 PIVOTS = 8
@@ -96,6 +97,7 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
 
 def _children(rows: DataFrame, level: int, similarity: float) -> DataFrame:
     """Each (node, id, mh) in the node's children: one for each coordinate that the node chose.
+    A label is carried along.
 
     A node takes one or two of the coordinates, 1 / similarity on average, so that two documents
     of that similarity meet in one child on average, on every level.
@@ -108,102 +110,107 @@ def _children(rows: DataFrame, level: int, similarity: float) -> DataFrame:
     twice = F.pmod(F.xxhash64(node, F.lit(-level - 1)), F.lit(1000)) < int(1000 / similarity - 1000)
     step = 1 + F.pmod(F.xxhash64(node, F.lit("step")), F.lit(COORDS - 1))
     chosen = F.when(twice, F.array(first, (first + step) % COORDS)).otherwise(F.array(first))
-    out = rows.select("node", "id", "mh", F.explode(chosen).alias("coord"))
+    label = [F.col("label")] if "label" in rows.columns else []
+    out = rows.select("node", "id", "mh", *label, F.explode(chosen).alias("coord"))
     token = F.substring(mh, (4 * F.col("coord") + 1).cast("int"), F.lit(4))
     tree = [node.alias("tree")] if level == 0 else []
-    return out.select(F.xxhash64(node, "coord", token).alias("node"), "id", *tree)
+    return out.select(F.xxhash64(node, "coord", token).alias("node"), "id", *label, *tree)
 
 
-def _deeper(large: DataFrame, tokens: DataFrame, similarity: float,
-            labels: DataFrame | None = None) -> tuple[list[DataFrame], DataFrame | None]:
-    """Small nodes (node, id) below `large` ones, and what is still large at the last level. With
-    `labels` (id, component) nodes of one component are left out: they can link nothing anew."""
+def _deeper(large: DataFrame, tokens: DataFrame,
+            similarity: float) -> tuple[list[DataFrame], DataFrame | None]:
+    """Small nodes below `large` ones (node, id, perhaps label), and what is still large at the last
+    level."""
     small = []
     for level in range(1, DEPTH):
-        if labels is not None:
-            large = _mixed(large, labels)
-        large = materialize(large, "large")
         if large.isEmpty():
             return small, None
-        rows = _children(large.join(tokens, "id"), level, similarity)
+        rows = materialize(_children(large.join(tokens, "id"), level, similarity),
+                           f"children{level}")
         held = _sized(rows, f"level{level}")
-        small.append(held.where(F.col("size") <= NODE).select("node", "id"))
-        large = held.where(F.col("size") > NODE).select("node", "id")
+        small.append(held.where("few"))
+        large = held.where("not few").drop("few")
     return small, large
 
 
 def _sized(rows: DataFrame, name: str) -> DataFrame:
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where("size > 1")
+    """The nodes that may link documents anew, with `few`: whether they are compared exhaustively.
+    Documents of one label are linked already; only those outside a node's largest label are
+    compared with all others."""
+    if "label" in rows.columns:
+        sizes = rows.groupBy("node", "label").agg(F.count("*").alias("n")).groupBy("node").agg(
+            F.sum("n").alias("size"), F.max("n").alias("most"))
+        few = (F.col("size") <= KNOWN * NODE) & (
+            F.col("size") * (F.col("size") - F.col("most")) <= KNOWN * NODE * NODE)
+    else:
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size")).withColumn("most", F.lit(1))
+        few = F.col("size") <= NODE
+    sizes = sizes.where("size > most").select("node", few.alias("few"))
     return materialize(rows.join(sizes, "node"), name)
 
 
-def _mixed(nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """The nodes whose documents belong to more than one component."""
-    known = nodes.join(labels, "id", "left").select(
-        "node", F.coalesce("component", "id").alias("label"))
-    mixed = known.groupBy("node").agg(F.min("label").alias("a"), F.max("label").alias("b")).where(
-        "a < b").select("node")
-    return nodes.join(mixed, "node", "left_semi")
-
-
 def _candidates(reps: DataFrame, similarity: float, agree: int) -> DataFrame:
     """(id, component): groups of documents that may be similar.
 
     All trees take their first step together. Where nodes stay large, as those of many edited
-    copies of one text do in every tree, the first LEAD trees go on alone; what they connect is
-    not branched again, and the other trees go on with the nodes that still hold several groups.
+    copies of one text do in every tree, the first LEAD trees go on alone. What they connect is one
+    label for the other trees, which go on with the nodes that hold several, and only until the
+    documents outside a node's largest group are few enough to be compared with all of it.
     """
     tokens = reps.select("id", "mh")
     trees = F.sequence(F.lit(0).cast("long"), F.lit(TREES - 1).cast("long"))
     rows = _children(tokens.select(F.explode(trees).alias("node"), "id", "mh"), 0, similarity)
     held = _sized(rows, "level0")
-    small = held.where(F.col("size") <= NODE).select("node", "id")
-    large = held.where(F.col("size") > NODE)
+    small, large = held.where("few"), held.where("not few")
 
     def edges(nodes: list[DataFrame], dense: DataFrame | None) -> DataFrame:
-        union = nodes[0]
-        for more in nodes[1:]:
+        parts = [rows.select("node", "id", _label(rows)) for rows in nodes]
+        union = parts[0]
+        for more in parts[1:]:
             union = union.unionAll(more)
-        out = union.join(tokens, "id").select("node", "id", "mh").repartition(
+        out = union.join(tokens, "id").select("node", "label", "mh").repartition(
             "node").sortWithinPartitions("node").mapInArrow(_agreeing(agree), "a long, b long")
         if dense is not None:
-            centre = dense.groupBy("node").agg(F.min("id").alias("a"))
-            out = out.unionAll(dense.join(centre, "node").where("a != id").select(
-                "a", F.col("id").alias("b")))
+            dense = dense.select("node", _label(dense))
+            centre = dense.groupBy("node").agg(F.min("label").alias("a"))
+            out = out.unionAll(dense.join(centre, "node").where("a != label").select(
+                "a", F.col("label").alias("b")))
         return out
 
     more, dense = _deeper(large.where(F.col("tree") < LEAD).select("node", "id"), tokens,
                           similarity)
     groups = materialize(connected_components(edges([small, *more], dense)), "groups")
-    more, dense = _deeper(large.where(F.col("tree") >= LEAD).select("node", "id"), tokens,
-                          similarity, groups)
-    if not more:
+    large = large.where(F.col("tree") >= LEAD).select("node", "id")
+    if large.isEmpty():
         return groups
+    held = _sized(large.join(groups, "id", "left").select(
+        "node", "id", F.coalesce("component", "id").alias("label")), "labelled")
+    more, dense = _deeper(held.where("not few").drop("few"), tokens, similarity)
     known = groups.select(F.col("id").alias("a"), F.col("component").alias("b"))
-    return materialize(connected_components(known.unionAll(edges(more, dense))), "groups")
+    return materialize(connected_components(known.unionAll(
+        edges([held.where("few"), *more], dense))), "groups")
+
+
+def _label(rows: DataFrame):
+    return F.col("label" if "label" in rows.columns else "id").alias("label")
 
 
 def _agreeing(limit: int):
-    """For each small node a forest over its documents whose tokens agree in `limit` coordinates."""
-
-    def edges(ids: np.ndarray, mh: np.ndarray) -> list[tuple[int, int]]:
-        alike = (mh[:, None, :] == mh[None, :, :]).sum(2) >= limit
-        todo, out = np.ones(len(ids), bool), []
-        for start in range(len(ids)):
-            if not todo[start]:
-                continue
-            todo[start], queue = False, [start]
-            while queue:
-                u = queue.pop()
-                near = np.flatnonzero(alike[u] & todo)
-                todo[near] = False
-                queue.extend(near.tolist())
-                out.extend((ids[u], ids[v]) for v in near)
-        return out
+    """For each small node a forest over its labels: those whose documents' tokens agree in `limit`
+    coordinates. Documents outside the largest label are compared with all others."""
+
+    def edges(label: np.ndarray, mh: np.ndarray) -> list[tuple[int, int]]:
+        names, code, sizes = np.unique(label, return_inverse=True, return_counts=True)
+        rest = np.flatnonzero(code != sizes.argmax())
+        alike = np.zeros((len(names), len(names)), bool)
+        for u in rest:
+            alike[code[u], code[(mh == mh[u]).sum(1) >= limit]] = True
+        return [(names[a], names[b]) for a, b in stars(alike | alike.T)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node in arrow_groups(batches, "node"):
-            out = edges(node["id"], np.frombuffer(b"".join(node["mh"]), ">u4").reshape(-1, COORDS))
+            out = edges(np.array(node["label"]),
+                        np.frombuffer(b"".join(node["mh"]), ">u4").reshape(-1, COORDS))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([a for a, _ in out], pa.int64()),
@@ -211,21 +218,35 @@ def _agreeing(limit: int):
     return run
 
 
+def stars(linked: np.ndarray) -> list[tuple[int, int]]:
+    """(least, other) for each connected group of a symmetric table of links."""
+    todo, out = np.ones(len(linked), bool), []
+    for start in range(len(linked)):
+        queue = [start] if todo[start] else []
+        todo[start] = False
+        while queue:
+            near = np.flatnonzero(linked[queue.pop()] & todo)
+            todo[near] = False
+            queue.extend(near.tolist())
+            out.extend((start, int(v)) for v in near)
+    return out
+
+
 def _verify(shingle: int, percent: int):
-    """Links within each cell: forests of the pairs whose full sets are similar enough. Rows of
-    one `side` of a cell (0 or 1) are compared with the other side only, those of side 2 with all;
-    documents that have one `label` already are not compared."""
+    """Links (of labels) within each cell: forests of the pairs whose full sets are similar enough.
+    Rows of one `side` of a cell (0 or 1) are compared with the other side only, those of side 2
+    with all; documents that have one `label` already are not compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for cell in arrow_groups(batches, "cell"):
-            ids = np.array(cell["id"])
+            label = np.array(cell["label"])
             sets = shingle_sets(cell["text"], shingle)
             links = _forest(intersections(sets), np.array([len(s) for s in sets]),
-                            np.array(cell["label"]), np.array(cell["side"]), percent)
+                            label, np.array(cell["side"]), percent)
             if links:
                 a, b = zip(*links, strict=True)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[list(a)]), pa.array(ids[list(b)])], ["a", "b"])
+                    [pa.array(label[list(a)]), pa.array(label[list(b)])], ["a", "b"])
     return run
 
 
@@ -255,23 +276,13 @@ def _forest(common: np.ndarray, sizes: np.ndarray, label: np.ndarray, side: np.n
     union = sizes[:, None] + sizes[None, :] - common
     linked = (100 * common >= percent * union) & (label[:, None] != label[None, :])
     linked &= (side[:, None] != side[None, :]) | (side[:, None] == 2)
-    todo, out = np.ones(len(sizes), bool), []
-    for start in range(len(sizes)):
-        queue = [start] if todo[start] else []
-        todo[start] = False
-        while queue:
-            u = queue.pop()
-            near = np.flatnonzero(linked[u] & todo)
-            todo[near] = False
-            queue.extend(near.tolist())
-            out.extend((u, int(v)) for v in near)
-    return out
+    return stars(linked)
 
 
 def _check(cells: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """Links (a, b) that full sets confirm in `cells` (cell, id, label, side)."""
-    rows = cells.join(texts, "id").select("cell", "id", "label", "side", "text")
-    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(
+    """Links (a, b) of labels that full sets confirm in `cells` (cell, id, label, side)."""
+    rows = cells.join(texts, "id").select("cell", "label", "side", "text")
+    return rows.repartition("cell").sortWithinPartitions("cell", "label").mapInArrow(
         _verify(shingle, percent), "a long, b long")
 
 
@@ -317,15 +328,15 @@ def _links(reps: DataFrame, texts: DataFrame, candidates: DataFrame, shingle: in
     first = dealt.unionAll(spread).distinct().select(
         F.xxhash64("comp", "part").alias("cell"), "id", F.col("id").alias("label"),
         F.lit(2).alias("side"))
-    found = materialize(_check(small.unionAll(first), texts, shingle, percent), "found")
-    return found.unionAll(_rest(placed, found, texts, shingle, percent))
+    found = connected_components(_check(small.unionAll(first), texts, shingle, percent))
+    return found.select(F.col("id").alias("a"), F.col("component").alias("b")).unionAll(
+        _rest(placed, found, texts, shingle, percent))
 
 
-def _rest(placed: DataFrame, found: DataFrame, texts: DataFrame, shingle: int,
+def _rest(placed: DataFrame, labels: DataFrame, texts: DataFrame, shingle: int,
           percent: int) -> DataFrame:
-    """Links between the parts of large groups that are not connected yet: all documents outside
-    the largest part are compared with all others, block against block."""
-    labels = connected_components(found)
+    """Links between the components `labels` (id, component) of large groups: all documents outside
+    a group's largest component are compared with all others, block against block."""
     marked = placed.join(labels, "id", "left").withColumn(
         "label", F.coalesce("component", "id"))
     marked = materialize(marked, "marked")
@@ -391,8 +402,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
         F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias(
             "text")).join(groups.select("id"), "id", "left_semi")
     texts = materialize(texts, "texts")
-    links = materialize(_links(reps, texts, groups, shingle, percent), "confirmed")
-    found = connected_components(links)
+    found = connected_components(_links(reps, texts, groups, shingle, percent))
     by_set = reps.join(found, "id", "left").select(
         F.col("sig").alias("_sig"), F.col("n").alias("_n"),
         F.coalesce("component", "id").alias("component"))
