@@ -34,8 +34,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 def _settled(links: DataFrame) -> bool:
     """Whether no id is linked with two smaller ones, or with a smaller and a larger one."""
-    ends = links.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionAll(
-        links.select("lo", F.lit(0), F.lit(1)))
+    ends = links.select(F.col("hi").alias("id"), F.lit(1).alias("up"), F.lit(0).alias(
+        "down")).unionAll(links.select("lo", F.lit(0), F.lit(1)))
     return ends.groupBy("id").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where(
         "up > 1 or up = 1 and down = 1").count() == 0
 
