@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -221,6 +222,82 @@ def test_loser_tree_merges_in_order():
         assert a[:n] == b[:n] and (n == len(b) or a[n] != b[n])
 
 
+def run_of(texts, first=0):
+    return suffix_merge.Run({
+        "ids": [first + k for k in range(len(texts))], "sizes": [len(t) for t in texts],
+        "body": suffix_merge.zstandard.compress(b"".join(texts))})
+
+
+def test_ranges_of_anchors_are_alike_in_size():
+    own = run_of([random.Random(3).randbytes(200_000)])
+    own.anchors()
+    n = np.bincount(suffix_merge.ranges(own.code, 4), minlength=16)
+    assert n.min() > 0.9 * n.mean() and n.max() < 1.1 * n.mean()
+
+
+def test_only_codes_of_several_strings_meet_in_a_tree(monkeypatch):
+    """Two runs hold one passage, and a part of it that is cut short: the tree orders the strings
+    round the cuts, not the whole passage."""
+    r = random.Random(4)
+    text = bytes(r.choice(b"abcdefgh ") for _ in range(20_000))
+    pieces, seen = [], []
+    for k, own in enumerate([run_of([text + r.randbytes(99)]),
+                             run_of([r.randbytes(99) + text, text[5_000:5_100]], 7)]):
+        own.anchors()
+        n = len(own.known_codes()[0])
+        own.records([True] * n, [False] * n, [])
+        pieces += [(k, *p) for p in own.front_coded(2)]
+    pieces.sort(key=lambda p: p[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*pieces, strict=True)],
+                                       ["run", "range", "shared", "rest", "low", "body"])
+    tree = suffix_merge.merged
+
+    def counted(streams):
+        for x in tree(streams):
+            seen.append(x)
+            yield x
+
+    monkeypatch.setattr(suffix_merge, "merged", counted)
+    rows = [x for out in suffix_merge._merge(iter([batch])) for x in out.to_pylist()]
+    less = [np.concatenate([suffix_merge.unpacked(x["low"]) for x in rows if x["run"] == k])
+            for k in (0, 1)]
+    assert (less[0] == 0).all() and set(less[1].tolist()) == {0, -7} and len(rows) == 8
+    assert (less[1] == -7).sum() > 1_500 and len(seen) < 20
+
+
+def test_front_codes_and_back():
+    r = random.Random(6)
+    own = run_of([bytes(r.choice(b"a\0") for _ in range(90)) for _ in range(40)] + [r.randbytes(3_000)])
+    own.anchors()
+    n = len(own.known_codes()[0])
+    own.records([True] * n, [False] * n, [])
+    rows = np.concatenate([x for _, x, _ in own.strings(3)])
+    shared, rest, _, body = ([p[k] for p in own.front_coded(3)] for k in (1, 2, 3, 4))
+    back = suffix_merge.front_decoded(
+        *(np.frombuffer(b"".join(x), np.uint8).astype(np.int64) for x in (shared, rest)),
+        b"".join(map(suffix_merge.zstandard.decompress, body)))
+    assert (rows == back).all() and len(rows) > 300
+    texts = [x.tobytes() for x in rows]
+    assert texts == sorted(set(texts))
+
+
+def test_rows_with_one_code_are_told_apart():
+    keys = np.array([[1, 2], [3, 4], [1, 2], [5, 6], [3, 4]], np.uint64)
+    for codes in (None, np.zeros(5, np.uint64)):
+        order, new = suffix_merge._grouped(keys, codes)
+        groups = np.split(order, np.flatnonzero(new)[1:])
+        assert sorted(sorted(g.tolist()) for g in groups) == [[0, 2], [1, 4], [3]]
+
+
+def test_repeats_with_zero_bytes(spark):
+    r = random.Random(8)
+    rows = [(r.randrange(30), "".join(r.choice("ab\0") * r.randrange(1, 30) for _ in range(12)))
+            for _ in range(50)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert sorted(repeats(df, run_bytes=900)) == sorted(
+        without_repeats([(i, t.encode()) for i, t in rows]))
+
+
 # -- language and quality -----------------------------------------------------------------------
 
 def test_code_lengths_are_exact():

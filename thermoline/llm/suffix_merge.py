@@ -9,9 +9,10 @@ they reach, and what lies before it. Records, not strings, are sorted, exchanged
 2. `_codes`, `_recurring`: anchors that occur in one document only cannot matter; a first exchange
    of anchor codes tells each run which of its anchors come back.
 3. `_strings`, `_merge`: each run sorts its records, front-codes them (length of the prefix shared
-   with the record before, then the rest) and sends them by range; loser trees merge the runs of a
-   range. They carry common-prefix lengths along, so that known prefixes are not compared again.
-   The smallest document of each string goes back to the runs.
+   with the record before, then the rest) and sends them by range. The runs of a range are merged
+   by code; strings that share a code with others go through loser trees, which carry
+   common-prefix lengths along, so that known prefixes are not compared again. The smallest
+   document of each string goes back to the runs.
 4. `_verdicts`: each run marks the strings of its documents that a smaller document holds.
 """
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thermoline.llm.common import POWERS, arrow_groups, library_path, mix, window_codes
+from thermoline.llm.common import POWERS, arrow_groups, blocks, library_path, mix, window_codes
 from thermoline.session import materialize
 
 #: Bytes of a string that counts as repeated, and of its anchor.
@@ -37,7 +38,7 @@ SPAN, ANCHOR = 50, 32
 WINDOW = SPAN - ANCHOR + 1
 
 #: Bytes of text in a run; anchor codes that one task holds at a time.
-RUN_BYTES, RANGE_CODES = 2 << 20, 1 << 19
+RUN_BYTES, RANGE_CODES = 4 << 20, 1 << 20
 
 #: An anchor in so many runs is common: its strings are then dealt one by one, each by its own code.
 COMMON_RUNS = 64
@@ -49,6 +50,12 @@ NO_ID = (1 << 63) - 1
 _PLACE = np.uint64((1 << 17) - 1)
 
 HEAD = 10  # code of 8 bytes, place of the anchor, length
+ROW = -(-(HEAD + SPAN + WINDOW - 1) // 8) * 8
+
+#: Strings, or rows, that are worked on at once.
+BLOCK = 1 << 14
+
+COMPRESSOR = zstandard.ZstdCompressor(1)
 
 
 def _runs(docs: DataFrame, run_bytes: int) -> DataFrame:
@@ -94,13 +101,17 @@ class Run:
         """first, last: the strings of each record begin from `first` to `last`; at: its anchor;
         code: the anchor's code; doc: the document's place in the run."""
         raw, n = self.raw, len(self.raw) - SPAN + 1
+        self.first = self.last = self.at = self.doc = np.zeros(0, np.int64)
+        self.code = np.zeros(0, np.uint64)
         if n <= 0:
-            self.first = self.last = self.at = self.doc = np.zeros(0, np.int64)
-            self.code = np.zeros(0, np.uint64)
             return
-        places, codes = np.empty(n, np.int32), np.empty(n, np.uint64)
-        for a in range(0, n, 1 << 16):
-            b = min(n, a + (1 << 16))
+        # A string that would begin in the last bytes of a document is none.
+        short = np.zeros(len(raw), bool)
+        short[np.maximum(self.ends[:, None] - np.arange(1, SPAN), 0)] = True
+        first, at, codes, strings = [], [], [], []
+        seen, last, anchor = 0, -1, -1
+        for a in range(0, n, BLOCK):
+            b = min(n, a + BLOCK)
             code = window_codes(raw[a:b + SPAN - 1], ANCHOR)
             # The smallest by its upper bits, of equal ones the first: the lower bits hold places.
             least = code & ~_PLACE | np.arange(len(code), dtype=np.uint64)
@@ -109,19 +120,25 @@ class Run:
                 step = min(width, WINDOW - width)
                 least = np.minimum(least[step:], least[:-step])
                 width += step
-            place = (least & _PLACE).astype(np.int32)
-            places[a:b], codes[a:b] = place + a, code[place]
-        room = np.repeat(self.ends, self.sizes)[:n] - np.arange(n)
-        whole = np.flatnonzero(room >= SPAN)
-        place = places[whole]
-        new = np.ones(len(whole), bool)
-        new[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1] + 1)
-        start = np.flatnonzero(new)
-        self.first = whole[start]
-        self.last = whole[np.append(start[1:], len(whole))[:len(start)] - 1] if len(start) else \
-            self.first
-        self.at = place[start].astype(np.int64)
-        self.code = codes[self.first]
+            whole = np.flatnonzero(~short[a:b])
+            if not len(whole):
+                continue
+            place = (least[whole] & _PLACE).astype(np.int64)
+            new = np.empty(len(whole), bool)
+            new[0] = place[0] + a != anchor or whole[0] + a != last + 1
+            new[1:] = (place[1:] != place[:-1]) | (whole[1:] != whole[:-1] + 1)
+            start = np.flatnonzero(new)
+            first.append(whole[start] + a)
+            at.append(place[start] + a)
+            codes.append(code[place[start]])
+            strings.append(start + seen)
+            seen, last, anchor = seen + len(whole), int(whole[-1]) + a, int(place[-1]) + a
+        if not first:
+            return
+        self.first, self.at = np.concatenate(first), np.concatenate(at)
+        self.last = self.first + np.diff(np.concatenate(strings), append=seen) - 1
+        # The smallest of some codes are small: mixed again, they fill all ranges alike.
+        self.code = mix(np.concatenate(codes))
         self.doc = np.searchsorted(self.ends, self.first, side="right")
 
     def known_codes(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,8 +151,8 @@ class Run:
         return codes, low < high, where
 
     def records(self, returns: list[bool], common: list[bool], copies: list[int]) -> None:
-        """Keeps the records whose anchors come back, outside of copies of earlier documents, and
-        sorts them. Strings of common anchors are records of their own."""
+        """Keeps the records whose anchors come back, outside of copies of earlier documents.
+        Strings of common anchors are records of their own; route: the code that deals each."""
         _, _, where = self.known_codes()
         copied = np.zeros(len(self.ids), bool)
         copied[copies] = True
@@ -149,75 +166,122 @@ class Run:
         begin = self.first[owner] + np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         pick = np.concatenate([one, owner])
         self.doc, self.at = self.doc[pick], self.at[pick]
-        route = self.code[pick]
+        self.route = self.code[pick]
         self.first = np.concatenate([self.first[one], begin])
         self.last = np.concatenate([self.last[one], begin])
         if len(begin):
             up = POWERS.to(SPAN)[0][:SPAN]
             for a in range(0, len(begin), 1 << 14):
                 text = self.raw[begin[a:a + (1 << 14), None] + np.arange(SPAN)].astype(np.uint64)
-                route[len(one) + a:len(one) + a + len(text)] = mix(
+                self.route[len(one) + a:len(one) + a + len(text)] = mix(
                     ((text + np.uint64(1)) * up).sum(1, dtype=np.uint64) ^ np.uint64(SPAN))
-        self._sort(route)
-
-    def _sort(self, route: np.ndarray) -> None:
-        """rows: the different records in order, as bytes; string: each record's row; low: the
-        smallest document of each row."""
-        n, width = len(route), HEAD + SPAN + WINDOW - 1
-        rows = np.zeros((n, width), np.uint8)
-        rows[:, :8] = route.astype(">u8").view(np.uint8).reshape(n, 8)
-        left, right = self.at - self.first, self.last + SPAN - self.at
+
+    def _rows(self, own: np.ndarray) -> np.ndarray:
+        """Records as bytes: code, place of the anchor, length, from the anchor on, before it."""
+        rows = np.zeros((len(own), ROW), np.uint8)
+        rows[:, :8] = self.route[own].astype(">u8").view(np.uint8).reshape(-1, 8)
+        at, first = self.at[own], self.first[own]
+        left, right = at - first, self.last[own] + SPAN - at
         rows[:, 8], rows[:, 9] = left, left + right
-        # Records with equal lengths on both sides of the anchor are copied together.
-        shape = (left * (SPAN + 1) + right).astype(np.uint16)
-        alike = np.argsort(shape, kind="stable")
-        cut = np.flatnonzero(np.r_[True, np.diff(shape[alike]) != 0]) if n else []
-        for own in np.split(alike, cut[1:]) if n else []:
-            a, b = int(left[own[0]]), int(right[own[0]])
-            rows[own, HEAD:HEAD + b] = sliding_window_view(self.raw, b)[self.at[own]]
-            if a:
-                rows[own, HEAD + b:HEAD + b + a] = sliding_window_view(self.raw, a)[
-                    self.first[own]]
-        # By code; what follows the code only where codes are equal.
-        order = np.argsort(route, kind="stable")
-        equal = route[order][1:] == route[order][:-1]
-        tied = np.flatnonzero(np.r_[False, equal] | np.r_[equal, False]) if n else order
-        if len(tied):
-            order[tied] = order[tied][np.argsort(
-                rows[order[tied]].reshape(-1).view(f"S{width}"), kind="stable")]
-        rows = rows[order]
-        new = np.ones(n, bool)
-        new[1:] = (rows[1:] != rows[:-1]).any(1)
-        start = np.flatnonzero(new)
-        self.string = np.empty(n, np.int64)
-        self.string[order] = np.cumsum(new) - 1
-        self.rows = rows[start]
-        self.low = np.minimum.reduceat(self.ids[self.doc[order]], start) if n else np.zeros(
-            0, np.int64)
+        column = np.arange(WINDOW - 1)
+        for b in np.unique(right).tolist():
+            same = np.flatnonzero(right == b)
+            rows[same, HEAD:HEAD + b] = sliding_window_view(self.raw, b)[at[same]]
+            before = sliding_window_view(self.raw, WINDOW - 1)[first[same]]
+            rows[same, HEAD + b:HEAD + b + WINDOW - 1] = before * (column < left[same, None])
+        return rows
+
+    def strings(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The different records in order, some ranges of codes at a time: range, bytes, smallest
+        document. string: each record's place among all of them; low: their smallest documents."""
+        order = np.argsort(self.route, kind="stable")
+        self.string, lows, seen = np.empty(len(order), np.int64), [], 0
+        range_ = ranges(self.route[order], bits)
+        cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]]) if len(order) else order
+        for x, y in blocks(np.diff(cut, append=len(order)).tolist(), BLOCK):
+            a, b = cut[x], cut[y] if y < len(cut) else len(order)
+            own = order[a:b]
+            rows = self._rows(own)
+            words = rows.view(">u8")
+            # By code; what follows the code only where codes are equal.
+            equal = words[1:, 0] == words[:-1, 0]
+            tied = np.flatnonzero(np.r_[False, equal] | np.r_[equal, False])
+            if len(tied):
+                sorted_ = tied[np.lexsort(words[tied].astype(np.uint64).T[::-1])]
+                own[tied], rows[tied] = own[sorted_], rows[sorted_]
+            new = np.ones(len(own), bool)
+            next_ = np.flatnonzero(equal) + 1
+            new[next_] = (words[next_] != words[next_ - 1]).any(1)
+            start = np.flatnonzero(new)
+            self.string[own] = np.cumsum(new) - 1 + seen
+            lows.append(np.minimum.reduceat(self.ids[self.doc[own]], start))
+            seen += len(start)
+            yield range_[a:b][start], rows[start], lows[-1]
+        self.low = np.concatenate([np.zeros(0, np.int64), *lows])
 
     def front_coded(self, bits: int) -> Iterator[tuple]:
         """For each range of codes: shared prefix lengths, lengths of the rests, documents, rests."""
-        if not len(self.rows):
-            return
-        shared = np.zeros(len(self.rows), np.int64)
-        shared[1:] = (self.rows[1:] != self.rows[:-1]).argmax(1)
-        range_ = ranges(self.rows[:, :8].copy().view(">u8")[:, 0].astype(np.uint64), bits)
-        cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
-        shared[cut] = 0
-        total = HEAD + self.rows[:, 9].astype(np.int64)
-        column = np.arange(self.rows.shape[1])
-        for a, b in zip(cut, np.append(cut[1:], len(self.rows)), strict=True):
-            rest = (column >= shared[a:b, None]) & (column < total[a:b, None])
-            yield (int(range_[a]), shared[a:b].astype(np.uint8).tobytes(),
-                   (total - shared)[a:b].astype(np.uint8).tobytes(),
-                   packed(self.low[a:b]),
-                   zstandard.compress(self.rows[a:b][rest].tobytes(), 1))
+        column = np.arange(ROW)
+        for range_, rows, low in self.strings(bits):
+            cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
+            shared = shared_lengths(rows)
+            shared[cut] = 0
+            total = HEAD + rows[:, 9].astype(np.int64)
+            body = rows[(column >= shared[:, None]) & (column < total[:, None])].tobytes()
+            ends = np.cumsum(total - shared)
+            shared, rest = shared.astype(np.uint8), (total - shared).astype(np.uint8)
+            offset = 0
+            for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(rows)], strict=True):
+                end = int(ends[b - 1])
+                yield (int(range_[a]), shared[a:b].tobytes(), rest[a:b].tobytes(),
+                       packed(low[a:b]), COMPRESSOR.compress(body[offset:end]))
+                offset = end
+
+
+def shared_lengths(rows: np.ndarray) -> np.ndarray:
+    """Length of the prefix that each row shares with the one before, which differs."""
+    shared = np.zeros(len(rows), np.int64)
+    code = rows[:, :8].copy().view(">u8")[:, 0].astype(np.uint64)
+    differ = code[1:] ^ code[:-1]
+    for k in range(1, 8):
+        shared[1:] += differ < np.uint64(1 << (64 - 8 * k))
+    equal = np.flatnonzero(differ == 0) + 1
+    shared[equal] = (rows[equal] != rows[equal - 1]).argmax(1)
+    return shared
+
+
+def front_decoded(shared: np.ndarray, rest: np.ndarray, body: bytes) -> np.ndarray:
+    """The rows of many front-coded pieces one after the other; a piece begins with nothing shared."""
+    n, column = len(shared), np.arange(ROW)
+    rows, data = np.zeros((n, ROW), np.uint8), np.frombuffer(body, np.uint8)
+    ends = np.cumsum(rest)
+    for a in range(0, n, BLOCK):
+        own, many = shared[a:a + BLOCK, None], rest[a:a + BLOCK, None]
+        begin, end = ends[a] - rest[a], ends[min(n, a + BLOCK) - 1]
+        rows[a:a + BLOCK][(column >= own) & (column < own + many)] = data[begin:end]
+    _inherit(rows, shared, range(8))
+    # Few rows share more than a part of the code with the one before.
+    deep = shared > 8
+    chain = np.flatnonzero(deep | np.r_[deep[1:], False]) if n else np.zeros(0, np.int64)
+    own = rows[chain]
+    _inherit(own, shared[chain], range(8, ROW))
+    rows[chain] = own
+    return rows
+
+
+def _inherit(rows: np.ndarray, shared: np.ndarray, columns: range) -> None:
+    place = np.arange(len(rows))
+    for c in columns:
+        taken = np.flatnonzero(shared > c)
+        if len(taken):
+            source = np.maximum.accumulate(np.where(shared > c, 0, place))
+            rows[taken, c] = rows[source[taken], c]
 
 
 def packed(numbers: np.ndarray) -> bytes:
     """Long numbers compressed, their first bytes together, then their second ones, and so on."""
     planes = np.ascontiguousarray(numbers, "<i8").view(np.uint8).reshape(-1, 8).T
-    return zstandard.compress(planes.tobytes(), 1)
+    return COMPRESSOR.compress(planes.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -229,26 +293,31 @@ def ranges(codes: np.ndarray, bits: int) -> np.ndarray:
     return (codes >> np.uint64(64 - bits)).astype(np.int64)
 
 
+def _one_by_one(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+
+
 def _codes(runs: DataFrame, bits: int) -> DataFrame:
     """(range, run, keys, twice): the different anchor codes of each run, 32 bits below the range,
     and whether two documents of the run hold them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                own = Run(row)
-                own.anchors()
-                codes, twice, _ = own.known_codes()
-                if not len(codes):
-                    continue
-                range_ = ranges(codes, bits)
-                keys = (codes >> np.uint64(32 - bits)).astype("<u4")
-                cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
-                out = [(int(range_[a]), row["run"], keys[a:b].tobytes(),
-                        np.packbits(twice[a:b]).tobytes())
-                       for a, b in zip(cut, np.append(cut[1:], len(codes)), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c) for c in zip(*out, strict=True)],
-                    ["range", "run", "keys", "twice"])
+        for row in _one_by_one(batches):
+            own = Run(row)
+            own.anchors()
+            codes, twice, _ = own.known_codes()
+            if not len(codes):
+                continue
+            range_ = ranges(codes, bits)
+            keys = (codes >> np.uint64(32 - bits)).astype("<u4")
+            cut = np.flatnonzero(np.r_[True, range_[1:] != range_[:-1]])
+            out = [(int(range_[a]), row["run"], keys[a:b].tobytes(),
+                    np.packbits(twice[a:b]).tobytes())
+                   for a, b in zip(cut, np.append(cut[1:], len(codes)), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c) for c in zip(*out, strict=True)],
+                ["range", "run", "keys", "twice"])
 
     return runs.select("run", "ids", "sizes", "body").mapInArrow(
         run, "range long, run long, keys binary, twice binary")
@@ -289,13 +358,12 @@ def _prepared(row: dict) -> Run:
 
 def _strings(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                out = [(r, row["run"], *more) for r, *more in _prepared(row).front_coded(bits)]
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in zip(*out, strict=True)],
-                        ["range", "run", "shared", "rest", "low", "body"])
+        for row in _one_by_one(batches):
+            out = [(r, row["run"], *more) for r, *more in _prepared(row).front_coded(bits)]
+            if out:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c) for c in zip(*out, strict=True)],
+                    ["range", "run", "shared", "rest", "low", "body"])
     return run
 
 
@@ -373,62 +441,161 @@ def merged(streams: list[Stream]) -> Iterator[tuple[int, int, int, bytes]]:
             node >>= 1
 
 
+class Rows(Stream):
+    """The same for decoded rows."""
+
+    def __init__(self, rows: np.ndarray) -> None:
+        self.shared = shared_lengths(rows).tolist()
+        ends = (HEAD + rows[:, 9].astype(np.int64)).tolist()
+        self.texts = [x.tobytes()[:end] for x, end in zip(rows, ends, strict=True)]
+        self.at = -1
+        self.step()
+
+    def step(self) -> int:
+        self.at += 1
+        if self.at == len(self.texts):
+            self.text = None
+            return 0
+        self.text = self.texts[self.at]
+        return self.shared[self.at]
+
+
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(run, range, low, fewer): for each string of a run the smallest document that holds all of
     it, less the run's own smallest (so 0 mostly); and (string, place, document) where a smaller one
-    holds a 50-byte part."""
+    holds a 50-byte part.
+
+    Runs are merged by the codes, their strings' first bytes, all at once, and each string is
+    compared with the first of its code. Where all are alike nothing else is to be ordered; what
+    is left, still in order by run, is merged by a loser tree."""
     for group in arrow_groups(batches, "range"):
-        streams = [Stream(shared, rest, unpacked(least).tobytes(), body)
-                   for shared, rest, least, body in zip(
-                       group["shared"], group["rest"], group["low"], group["body"], strict=True)]
-        low = [np.full(len(s.low), NO_ID) for s in streams]
-        fewer: list[list[int]] = [[] for _ in streams]
-        same: list[tuple[bytes, list[tuple[int, int]]]] = []
-        for stream, place, shared, text in merged(streams):
-            if shared < 8 and same:
-                _settle(same, streams, low, fewer)
-                same = []
-            if not same or shared < len(text):
-                same.append((text, []))
-            same[-1][1].append((stream, place))
-        if same:
-            _settle(same, streams, low, fewer)
+        own = [unpacked(x) for x in group["low"]]
+        begins = np.cumsum([0, *map(len, own)])
+        lows = np.concatenate(own)
+        shared, rest = (np.frombuffer(b"".join(group[c]), np.uint8).astype(np.int64)
+                        for c in ("shared", "rest"))
+        rows = front_decoded(shared, rest, b"".join(map(zstandard.decompress, group["body"])))
+        low, first = _alike(rows, lows)
+        fewer = _compared(rows, lows, low, first, begins)
+        cut = np.searchsorted(fewer[:, 0], begins)
+        fewer[:, 0] -= begins[np.searchsorted(begins, fewer[:, 0], side="right") - 1]
+        ends = list(zip(begins[:-1], begins[1:], cut[:-1], cut[1:], strict=True))
         yield pa.RecordBatch.from_arrays(
             [pa.array(group["run"]), pa.array(group["range"]),
-             pa.array([packed(x - np.array(s.low, np.int64))
-                       for x, s in zip(low, streams, strict=True)]),
-             pa.array([np.array(x, np.int64).tobytes() for x in fewer])],
+             pa.array([packed(low[a:b] - lows[a:b]) for a, b, _, _ in ends]),
+             pa.array([fewer[a:b].tobytes() for _, _, a, b in ends])],
             ["run", "range", "low", "fewer"])
 
 
-def _settle(same: list, streams: list[Stream], low: list, fewer: list) -> None:
-    """`same`: all strings with one code, each with its places. Strings that differ may still have
-    50-byte parts in common; a code in many runs has one string, so that the table is small."""
-    least = [min(streams[s].low[p] for s, p in places) for _, places in same]
-    for (_, places), document in zip(same, least, strict=True):
-        for s, p in places:
-            low[s][p] = document
-    if len(same) == 1:
-        return
-    parts, table = [], {}
-    for (text, _), document in zip(same, least, strict=True):
-        right = HEAD + text[9] - text[8]
-        text = text[right:] + text[HEAD:right]
-        parts.append([text[j:j + SPAN] for j in range(len(text) - SPAN + 1)])
-        for part in parts[-1]:
-            if table.get(part, NO_ID + 1) > document:
-                table[part] = document
-    for (_, places), own, document in zip(same, parts, least, strict=True):
-        for j, part in enumerate(own):
-            if table[part] < document:
-                for s, p in places:
-                    fewer[s] += (p, j, table[part])
-
-
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
+def _alike(rows: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest document of all strings with each string's code; and where a code has several
+    strings, the place of its first one for each copy of that, their own for the others (else -1)."""
+    words = rows.view(">u8")
+    code = words[:, 0].astype(np.uint64)
+    order = np.argsort(code, kind="stable")  # merges what is in order by run
+    code = code[order]
+    new = np.r_[True, code[1:] != code[:-1]]
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    low = np.empty(len(order), np.int64)
+    low[order] = np.minimum.reduceat(lows[order], start)[group]
+    stands = order[start][group]
+    varied = np.zeros(len(start), bool)
+    more = np.flatnonzero(~new)
+    for a in range(0, len(more), BLOCK):
+        part = more[a:a + BLOCK]
+        part = part[(words[order[part]] != words[stands[part]]).any(1)]
+        varied[group[part]] = True
+        stands[part] = order[part]
+    first = np.empty(len(order), np.int64)
+    first[order] = np.where(varied[group], stands, -1)
+    return low, first
+
+
+def _compared(rows: np.ndarray, lows: np.ndarray, low: np.ndarray, first: np.ndarray,
+              begins: np.ndarray) -> np.ndarray:
+    """Merges the strings of codes that have several; writes the smallest documents of each to
+    `low`. (string, place, document) in order, where a smaller document holds a part."""
+    members = np.flatnonzero(first >= 0)
+    if not len(members):
+        return np.zeros((0, 3), np.int64)
+    chosen = members[first[members] == members]
+    cut = np.searchsorted(chosen, begins)
+    at = [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True) if a < b]
+    order, new, code = [], [], []
+    for stream, place, shared, text in merged([Rows(rows[chosen[a:b]]) for a, b in at]):
+        order.append(at[stream][0] + place)
+        new.append(not new or shared < len(text))
+        code.append(len(new) == 1 or shared < 8)
+    string = np.empty(len(chosen), np.int64)
+    string[order] = np.cumsum(new) - 1
+    string = string[np.searchsorted(chosen, first[members])]
+    least = np.full(sum(new), NO_ID)
+    np.minimum.at(least, string, lows[members])
+    low[members] = least[string]
+    found, place, document = _parts(
+        rows[chosen[np.array(order)[new]]], (np.cumsum(code) - 1)[new], least)
+    # All members that are such a string.
+    by_string = np.argsort(string, kind="stable")
+    begin = np.searchsorted(string[by_string], np.arange(len(least) + 1))
+    hit, who = _each(begin[found], begin[found + 1])
+    fewer = np.stack([members[by_string[who]], place[hit], document[hit]], 1)
+    return fewer[np.argsort(fewer[:, 0], kind="stable")]
+
+
+def _each(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of each range, and the range of each."""
+    n = end - begin
+    range_ = np.repeat(np.arange(len(n)), n)
+    return range_, begin[range_] + np.arange(len(range_)) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _parts(rows: np.ndarray, code: np.ndarray, least: np.ndarray) -> tuple:
+    """For different strings, in order of their codes: string, place, and smallest document of those
+    50-byte parts that a string of a smaller document with the same code holds too."""
+    out = []
+    for a, b in blocks(np.bincount(code).tolist(), BLOCK):
+        x, y = np.searchsorted(code, [a, b])
+        left, total = rows[x:y, 8].astype(np.int64), rows[x:y, 9].astype(np.int64)
+        column = np.arange(ROW - HEAD)
+        text = np.take_along_axis(rows[x:y], np.minimum(HEAD + np.where(
+            column < left[:, None], column + (total - left)[:, None],
+            column - left[:, None]), ROW - 1), 1)
+        string, place = _each(np.zeros(y - x, np.int64), total - SPAN + 1)
+        parts = np.zeros((len(string), SPAN + 6), np.uint8)
+        parts[:, :SPAN] = sliding_window_view(text, SPAN, axis=1)[string, place]
+        keys = np.concatenate([code[x:y][string, None].astype(np.uint64),
+                               parts.view(np.uint64)], 1)
+        order, new = _grouped(keys)
+        start = np.flatnonzero(new)
+        own = least[x:y][string]
+        low = np.empty(len(order), np.int64)
+        low[order] = np.minimum.reduceat(own[order], start)[np.cumsum(new) - 1]
+        hit = np.flatnonzero(low < own)
+        out.append((string[hit] + x, place[hit], low[hit]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
+
+
+def _grouped(keys: np.ndarray, codes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal rows together, and where the next ones begin: by a code of each
+    row, and by all of the row should two different ones have the same code."""
+    if codes is None:
+        codes = mix((mix(keys) * POWERS.to(keys.shape[1])[0][:keys.shape[1]]).sum(
+            1, dtype=np.uint64))
+    order = np.argsort(codes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    if (new[1:] & (codes[order[1:]] == codes[order[:-1]])).any():
+        order = np.lexsort(keys.T)
+        new[1:] = (keys[order[1:]] != keys[order[:-1]]).any(1)
+    return order, new
+
+
+def _verdicts(bits: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _one_by_one(batches):
             own = _prepared(row)
+            for _ in own.strings(bits):
+                pass
             hits = sorted(row["hits"] or [], key=lambda h: h["range"])
             lows = [unpacked(h["low"]) for h in hits]
             low = np.concatenate([np.zeros(0, np.int64), *lows])
@@ -438,24 +605,25 @@ def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 gone = (low + own.low)[own.string] < ids
                 np.add.at(edge, own.first[gone], 1)
                 np.add.at(edge, own.last[gone] + SPAN, -1)
-                offset, some = 0, {}
-                for hit, part in zip(hits, lows, strict=True):
-                    for s, j, document in np.frombuffer(hit["fewer"], np.int64).reshape(
-                            -1, 3).tolist():
-                        some.setdefault(s + offset, []).append((j, document))
-                    offset += len(part)
-                if some:
-                    open_ = np.flatnonzero(~gone & np.isin(own.string, list(some)))
-                    for r in open_.tolist():
-                        for j, document in some[int(own.string[r])]:
-                            if document < ids[r]:
-                                edge[own.first[r] + j] += 1
-                                edge[own.first[r] + j + SPAN] -= 1
+                offsets = np.cumsum([0, *map(len, lows)])
+                fewer = [np.frombuffer(h["fewer"], np.int64).reshape(-1, 3) for h in hits]
+                string = np.concatenate([x[:, 0] + o for x, o in zip(fewer, offsets, strict=False)])
+                place, document = np.concatenate(fewer)[:, 1:].T
+                open_ = np.flatnonzero(~gone)
+                open_ = open_[np.argsort(own.string[open_], kind="stable")]
+                hit, who = _each(*(np.searchsorted(own.string[open_], string, side=side)
+                                   for side in ("left", "right")))
+                who = open_[who]
+                less = document[hit] < ids[who]
+                begin = (own.first[who] + place[hit])[less]
+                np.add.at(edge, begin, 1)
+                np.add.at(edge, begin + SPAN, -1)
             covered = np.cumsum(edge[:-1]) > 0
             for i in row["copies"] or []:
                 if own.sizes[i] >= SPAN:
                     covered[own.begins[i]:own.ends[i]] = True
             yield _documents(own, covered)
+    return run
 
 
 def _documents(own: Run, covered: np.ndarray) -> pa.RecordBatch:
@@ -519,5 +687,5 @@ def remove_repeats(docs: DataFrame, run_bytes: int = RUN_BYTES) -> DataFrame:
     struck = hits.groupBy("run").agg(F.collect_list(
         F.struct("range", "low", "fewer")).alias("hits"))
     return told.join(struck, "run", "left").mapInArrow(
-        _verdicts, "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, "
+        _verdicts(bits), "doc_id long, n_bytes long, spans array<struct<begin:long,end:long>>, "
                    "kept binary")
